@@ -18,6 +18,7 @@ BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _MULS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=U)
@@ -94,14 +95,15 @@ def chunks(texts: pa.Array, limit: int = 2 * BLOCK) -> Iterator[tuple[int, pa.Ar
         first = last
 
 
-def words_of(texts: pa.Array, lower: bool = True) -> Words:
+def words_of(texts: pa.Array, lower: bool = True, breaks: str = "space") -> Words:
+    """``breaks``: "space", or "punctuation" to end words at any ASCII byte that is neither letter nor digit."""
     buf, offsets = text_bytes(texts)
     low = LOWER[buf] if lower else buf
     n = len(buf)
     if n == 0:
         empty = np.zeros(0, dtype=np.int64)
         return Words(np.zeros(0, dtype=U), np.zeros(len(offsets), dtype=np.int64), empty, empty, low, offsets)
-    solid = ~SPACE[buf]
+    solid = ~(SPACE if breaks == "space" else PUNCTUATION)[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     start = solid.copy()
