@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textvec import U, binary_column, chunks, mix, words_of
 
@@ -133,7 +134,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
             for first, part in chunks(batch.column(at)):
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, len(part)) for c in batch.columns), pa.array(held.value.score(part, table))], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, docs.schema.add(score_col, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
