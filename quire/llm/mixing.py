@@ -85,12 +85,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     rows = cut(_sized(docs, id_col, text_col, source_col, seed), "sized")
     placed, targets = _prefixed(rows, share, most, weights, range_rows)
-    last = placed.where("part > 0").groupBy("sid").agg(F.max("key").alias("last_key"), F.first("whole").alias("w0"))
+    last = placed.where("part > 0").groupBy("sid").agg(F.max("key").alias("last_key"))
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    cuts = cut(targets.join(last.select("sid", "last_key"), "sid", "left").select(F.col("source").alias("_of"), whole.alias("_whole"), "last_key"), "cuts")
+    cuts = cut(targets.join(last.select("sid", "last_key"), "sid", "left").select(F.col("source").alias("_of"), whole.alias("_whole"), F.col("last_key").alias("_last_key")), "cuts")
     keyed = docs.withColumn("_key", random_key(id_col, seed)).join(cuts, F.col(source_col).eqNullSafe(F.col("_of")))
-    copies = F.col("_whole") + F.when(F.col("_key") <= F.col("last_key"), F.lit(1)).otherwise(F.lit(0))
-    return keyed.withColumn("copies", copies.cast("long")).where("copies > 0").drop("_key", "_of", "_whole", "last_key")
+    copies = F.col("_whole") + F.when(F.col("_key") <= F.col("_last_key"), F.lit(1)).otherwise(F.lit(0))
+    return keyed.withColumn("copies", copies.cast("long")).where("copies > 0").drop("_key", "_of", "_whole", "_last_key")
 
 
 OP1_SQL = r"""
