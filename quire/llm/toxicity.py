@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are split at every ASCII byte that is neither letter nor digit. A document's features are the 64-bit hashes of its
-words, neighbouring pairs and pairs with one word between, each counted once. Per-coordinate learning rates and the L1 term
+words, of the stems (first bytes) of longer words, of neighbouring pairs and of pairs with one word between, each counted once. Per-coordinate learning rates and the L1 term
 keep most weights at exactly zero, so the model is a short table that is broadcast. It is fitted on at most ``per_class``
 labelled documents of either class (the smallest id hashes; the bound is a parameter and keeps the driver's share fixed);
 the intercept is then moved to the classes' true proportion, counted over all labels. Every text is scored whole.
@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from .textvec import U, binary_column, chunks, mix, words_of
 
-PER_CLASS = 3000
-MIN_DOCS = 3
+PER_CLASS = 2000
+MIN_DOCS = 5
+STEMS = (4, 5, 6)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +39,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             same = np.flatnonzero(owner[gap:] == owner[:-gap])
             parts.append(mix(w.h[same] * U(salt) + w.h[same + gap]))
             owners.append(owner[same])
+    for stem in STEMS:
+        long = np.flatnonzero(w.ends - w.starts > stem)
+        packed = np.zeros(len(long), dtype=U)
+        for j in range(stem):
+            packed = (packed << U(8)) | w.buf[w.starts[long] + j].astype(U)
+        parts.append(mix(packed ^ U((stem * 0x9FB21C651E98DF25) % 2**64)))
+        owners.append(owner[long])
     return np.concatenate(parts), np.concatenate(owners)
 
 
@@ -65,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: list[int], positives: int, negatives: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5, epochs: int = 4, min_docs: int = MIN_DOCS) -> Model:
+def fit_ftrl(rows: list[np.ndarray], labels: list[int], positives: int, negatives: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5, epochs: int = 12, min_docs: int = MIN_DOCS) -> Model:
     """``rows`` are distinct features of each sampled document; positives and negatives count all labels, for the intercept."""
     prior = math.log((positives + 1) / (negatives + 1))
     if not rows or min(sum(labels), len(labels) - sum(labels)) == 0:
