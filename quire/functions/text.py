@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import taxonomy as tx
 from .regexes import BLANK
@@ -46,7 +47,7 @@ def mask_lines(text: Column, confidence: Column) -> Column:
     return F.when(confidence.isNull(), text).otherwise(F.array_join(lines, NL))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -41,7 +41,7 @@ def question() -> dict:
 
 @dataclass
 class HttpBackend:
-    """A JSON service. Redirects are refused, as they could carry text elsewhere; 5xx, 408, 429 and network errors are retried."""
+    """A JSON service at ``url`` + ``path``. Redirects are refused, as they could carry text elsewhere; 5xx, 408, 429 and network errors are retried."""
 
     name: str
     url: str
@@ -53,6 +53,7 @@ class HttpBackend:
     criteria: Callable[[dict], object] = field(default=lambda c: c)
     answer: Callable[[object], object] = field(default=lambda a: a)
     pause_s: float = 1.5
+    path: str = "/v1/answers"
 
     def __post_init__(self):
         check_options(retries=self.retries, timeout_s=self.timeout_s)
@@ -63,7 +64,7 @@ class HttpBackend:
                 return None
 
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
-        request = urllib.request.Request(self.url.rstrip("/") + "/v1/systemone", data=body, headers=headers, method="POST")
+        request = urllib.request.Request(self.url.rstrip("/") + self.path, data=body, headers=headers, method="POST")
         try:
             with urllib.request.build_opener(Stay).open(request, timeout=self.timeout_s) as response:
                 return response.status, response.read().decode()

@@ -16,7 +16,7 @@ def manifest_json(results: DataFrame, with_model: bool = False) -> DataFrame:
     named = named.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
     rows = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*RESULT_COLUMNS))).alias("results"))
     n = F.size("results")
-    mode = "local-rules+laya" if with_model else "local-rules"
+    mode = "local-rules+model" if with_model else "local-rules"
     body = F.struct(F.lit(MANIFEST_SCHEMA).alias("schemaVersion"), F.lit(mode).alias("mode"), F.lit(True).alias("requiresReview"), F.struct(n.alias("pages"), n.alias("review"), F.lit(0).alias("automaticallyFiled")).alias("summary"), F.col("results"))
     return rows.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
