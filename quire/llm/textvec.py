@@ -79,7 +79,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def chunks(texts: pa.Array, limit: int = 2 * BLOCK) -> Iterator[tuple[int, pa.Array]]:
+def chunks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, pa.Array]]:
     """Slices of about ``limit`` bytes (a longer single text is a slice of its own), with the index of their first row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
