@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .textvec import U, binary_column, chunks, mix, words_of
 
-PER_CLASS = 2000
+PER_CLASS = 1500
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 
@@ -78,6 +78,13 @@ def fit_ftrl(rows: list[np.ndarray], labels: list[int], positives: int, negative
     prior = math.log((positives + 1) / (negatives + 1))
     if not rows or min(sum(labels), len(labels) - sum(labels)) == 0:
         return Model(np.zeros(0, dtype=U), np.zeros(0), prior)
+    # a coarse count by the low bits first: most features occur once and need not be sorted
+    coarse = np.zeros(1 << 23, dtype=np.uint16)
+    low = U((1 << 23) - 1)
+    for x in rows:
+        coarse[np.unique((x & low).astype(np.int64))] += 1
+    rows = [x[coarse[(x & low).astype(np.int64)] >= min_docs] for x in rows]
+    del coarse
     values, where, counts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     dense = np.cumsum(counts >= min_docs) - 1
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
@@ -128,7 +135,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str
     got = rows.mapInArrow(_training_rows, "h long, y int, x binary").toArrow()
     order = np.lexsort((np.asarray(got.column("h")),)) if got.num_rows else []
     y, x = got.column("y").to_pylist(), got.column("x")
-    return fit_ftrl([np.frombuffer(x[int(i)].as_py(), dtype=U) for i in order], [y[int(i)] for i in order], known.get(1, 0), known.get(0, 0))
+    model = fit_ftrl([np.frombuffer(x[int(i)].as_buffer(), dtype=U) for i in order], [y[int(i)] for i in order], known.get(1, 0), known.get(0, 0))
+    del got, x
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
