@@ -30,10 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when no result of an operator is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan of the result starts at those files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
