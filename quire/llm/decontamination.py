@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import LOWER, SPACE, U, chunks, text_bytes
+from .store import text_batches
+from .textvec import LOWER, SPACE, U, chunks, text_bytes, tidy
 
 RATE = 0.1
 BLOCK_BYTES = 8 << 20
@@ -200,6 +201,7 @@ def matches(texts: pa.Array, items: Items) -> list[tuple[int, int, int]]:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float, block_bytes: int):
     """The benchmark's search tables, a bounded block at a time."""
+    text_batches(benchmark.sparkSession)
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first().b
     n = -(-int(total) // block_bytes)
@@ -216,7 +218,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, rate, block_bytes):
 
-        def run(batches, items=items):
+        @tidy
+        def run(batches):
             for batch in batches:
                 for first, part in chunks(batch.column(1)):
                     got = matches(part, items.value)
@@ -236,7 +239,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col, rate, block_bytes):
 
-        def run(batches, items=items):
+        @tidy
+        def run(batches):
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for first, part in chunks(batch.column(at)):

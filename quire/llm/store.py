@@ -13,6 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts that are handed to a Python worker at once, unless the session names its own number.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small batches: at Spark's default of 10,000 rows a batch of long texts alone takes hundreds of
+    MB outside the heap. A number that the session has set itself is left as it is."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

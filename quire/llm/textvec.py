@@ -7,6 +7,8 @@ by prefix sums over whole blocks of text, so no Python object is made for a word
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +48,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["q"]
 
 
+def tidy(run):
+    """Wraps a worker's function over batches: what it has freed goes back to the system when it ends, as workers are kept."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 @dataclass
 class Words:
     """Words of several texts: ``bounds[i]:bounds[i + 1]`` are those of text i; starts and ends are byte offsets in ``buf``."""

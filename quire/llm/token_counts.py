@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
-from .textvec import chunks
+from .store import cut, text_batches
+from .textvec import chunks, tidy
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,6 +34,7 @@ def load_encoder(data: bytes, pattern: str = PATTERN):
 
 
 def _lengths(data, pattern: str):
+    @tidy
     def run(batches):
         encode = load_encoder(data.value, pattern).encode_ordinary
         for batch in batches:
@@ -47,6 +48,7 @@ def _lengths(data, pattern: str):
 
 def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, n_docs): how many documents have each encoded length."""
+    text_batches(docs.sparkSession)
     with open(tokenizer, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
     return docs.select(F.col(text_col)).mapInArrow(_lengths(data, pattern), "n_tokens long, c long").groupBy("n_tokens").agg(F.sum("c").alias("n_docs"))

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textvec import U, binary_column, chunks, mix, words_of
+from .store import text_batches
+from .textvec import U, binary_column, chunks, mix, tidy, words_of
 
 PER_CLASS = 1500
 MIN_DOCS = 5
@@ -113,6 +114,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: list[int], positives: int, negative
     return Model(values[live], w[live], bias + shift)
 
 
+@tidy
 def _training_rows(batches):
     for batch in batches:
         for first, part in chunks(batch.column(0)):
@@ -127,6 +129,7 @@ def _training_rows(batches):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """``learns`` says, over ``labels``, which ids may teach."""
+    text_batches(docs.sparkSession)
     usable = labels.where(learns & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y")).withColumn("h", F.xxhash64("_id"))
     known = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     sample = usable.where("y = 1").orderBy("h", "_id").limit(per_class).union(usable.where("y = 0").orderBy("h", "_id").limit(per_class))
@@ -143,9 +146,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         table = held.value.table()
         for batch in batches:
