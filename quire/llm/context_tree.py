@@ -3,10 +3,13 @@
 Texts are lower-cased (A-Z) bytes with an end mark. Every byte is eight binary choices, most significant bit first; each of
 the 255 places in that binary tree has a context tree of its own over the preceding ``DEPTH`` bytes, with a
 Krichevsky-Trofimov estimate at every node, and the weighted probability of a node mixes its own estimate with the product
-of its children's. Contexts are grown where they were seen at least a ``1 / MAX_CONTEXTS`` part of the corpus's bytes: that
-bounds each depth to MAX_CONTEXTS nodes whatever the input; all rarer children of a node share one leaf. The trained tree
-is turned into one conditional distribution of the next byte per leaf, which is broadcast (at most 1 KB a leaf), and
-a text's code length is looked up byte by byte, over the whole text.
+of its children's. Every context of the training rows is in the tree, however rare, so the model grows with the corpus.
+
+No process holds the model. Texts are taken in groups of about GROUP bytes; a group asks for each different place (context
+and byte) that it holds, once, with the count of its training rows. Places are dealt to shards by their nearest ROOT bytes,
+as many shards as the corpus has SHARD bytes. A shard adds up the counts of all groups, weighs its subtrees and hands the
+sums at their roots up; the levels above (contexts of under ROOT bytes, so their number does not depend on the corpus) are
+weighed by the driver and broadcast; with them the shard answers every group's places, and answers meet their texts again.
 
 Beside it the base model: add-one word frequencies. Counts are made over all training rows, pre-aggregated where they are
 made. The HOT_WORDS most frequent counts are broadcast (12 bytes each); all other words meet their counts in a join.
@@ -19,14 +22,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut, text_batches
-from .textvec import LOWER, U, chunks, text_bytes, tidy, words_of
+from .textvec import LOWER, U, chunks, mix, text_bytes, tidy, words_of
 
-DEPTH = 4
-MAX_CONTEXTS = 1 << 15
+DEPTH = 6
+ROOT = 3
+GROUP = 1 << 24
+SHARD = 1 << 23
 HOT_WORDS = 1 << 18
 END_WORD = 0x5BD1E9955BD1E995
 END_BYTE = 0xFF
@@ -50,18 +57,18 @@ def padded(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def _keys(out: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` bytes before each place and its own, packed with the own byte lowest."""
+    """The ``depth`` bytes before each place, the nearest highest, and its own byte lowest."""
     key = out[at].astype(U)
     for j in range(1, depth + 1):
-        key |= out[at - j].astype(U) << U(8 * j)
+        key |= out[at - j].astype(U) << U(8 * (depth - j + 1))
     return key
 
 
 class _Tally:
     """Counts of keys within a task, folded whenever many are held and handed on when the table itself is large."""
 
-    def __init__(self, kind: int, hold: int = 1 << 21, most: int = 1 << 20):
-        self.kind, self.hold, self.most = kind, hold, most
+    def __init__(self, hold: int = 1 << 21, most: int = 1 << 20):
+        self.hold, self.most = hold, most
         self.raw, self.size = [], 0
         self.keys, self.counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
 
@@ -83,21 +90,83 @@ class _Tally:
             self.keys, self.counts = both[first], np.add.reduceat(sums, first) if len(first) else sums
             self.raw, self.size = [], 0
         if len(self.keys) and (done or len(self.keys) > self.most):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), self.kind, dtype=np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.counts)], names=["kind", "k", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts)], names=["h", "c"])
             self.keys, self.counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
 
 
-def _count(depth: int):
+@tidy
+def _count(batches):
+    words = _Tally()
+    for batch in batches:
+        for _, part in chunks(batch.column(0)):
+            yield from words.add(np.concatenate([words_of(part).h, np.full(len(part), END_WORD, dtype=U)]))
+    yield from words.fold(True)
+
+
+def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and their counts in all."""
+    both, sums = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(both, kind="stable")
+    both, sums = both[order], sums[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
+    return both[first], np.add.reduceat(sums, first) if len(first) else sums
+
+
+def _dealt(keys: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by shard, and the bounds of the shards in it."""
+    shard = (mix(keys >> U(8 * (depth - min(ROOT, depth) + 1))) % U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys by their steps, byte planes apart, as most planes hold little."""
+    steps = np.diff(keys, prepend=U(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U).ravel(), dtype=U)
+
+
+ASKED = ["grp", "shard", "n", "places", "counts", "rid", "doc_id", "held_out", "t"]
+
+
+def _ask(depth: int, shards: int, group: int):
+    """Rows of texts with their group, and for each group and shard the group's places with their counts in training rows."""
+
     @tidy
     def run(batches):
-        words, grams = _Tally(0), _Tally(1)
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def asked():
+            keys, counts = _folded([k for k, _ in held], [c for _, c in held])
+            order, bounds = _dealt(keys, depth, shards)
+            some = np.flatnonzero(np.diff(bounds))
+            mine = [order[bounds[i] : bounds[i + 1]] for i in some]
+            blobs = [_packed(keys[m]) for m in mine]
+            seen = [pa.compress(counts[m].astype(np.int64).tobytes(), codec="zstd", asbytes=True) for m in mine]
+            m = len(some)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(some.astype(np.int32)), pa.array([len(x) for x in mine], pa.int32()), pa.array(blobs, pa.binary()), pa.array(seen, pa.binary()), *(pa.nulls(m, t) for t in types)], names=ASKED)
+
         for batch in batches:
-            for _, part in chunks(batch.column(0)):
-                yield from words.add(np.concatenate([words_of(part).h, np.full(len(part), END_WORD, dtype=U)]))
-                out, at, _ = padded(part, depth)
-                yield from grams.add(_keys(out, at, depth))
-        yield from words.fold(True)
-        yield from grams.fold(True)
+            types = [c.type for c in batch.columns]
+            for first, part in chunks(batch.column(3)):
+                out, at, bounds = padded(part, depth)
+                keys = _keys(out, at, depth)
+                apart = np.repeat(np.asarray(batch.column(2).slice(first, len(part)).to_numpy(zero_copy_only=False), dtype=bool), np.diff(bounds))
+                teach, counts = np.unique(keys[~apart], return_counts=True)
+                ask = np.unique(keys[apart])
+                held += [(teach, counts), (ask, np.zeros(len(ask), dtype=np.int64))]
+                size += len(keys)
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(np.full(m, -1, dtype=np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *(batch.column(c).slice(first, m) for c in range(4))], names=ASKED)
+                if size >= group:
+                    yield asked()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield asked()
 
     return run
 
@@ -186,48 +255,179 @@ def build_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: i
     return Tree(depth, child, log_p.astype(np.float32).ravel())
 
 
-def fit_tree(grams: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> Tree:
-    """``grams``: (k, c) counts of packed places. Rarer contexts are pruned before anything reaches the driver."""
-    total = grams.agg(F.sum("c").alias("n")).first().n or 0
-    least = max(2, -(-total // max_contexts))
-    levels = []
-    for d in range(depth + 1):
-        level = grams.groupBy(F.col("k").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("k")).agg(F.sum("c").alias("c")) if d < depth else grams
-        level = level.withColumn("ctx", F.shiftrightunsigned("k", 8))
-        if d:
-            kept = level.groupBy("ctx").agg(F.sum("c").alias("m")).where(F.col("m") >= least).select("ctx")
-            level = level.join(kept, "ctx", "left_semi")
-        got = level.select("k", "c").toArrow()
-        k = np.asarray(got.column("k")).view(U)
-        levels.append((k >> U(8), (k & U(255)).astype(np.int64), np.asarray(got.column("c"), dtype=np.float64)))
-    return build_tree(levels, depth)
-
-
-def _score(tree, hot, unit: float):
-    @tidy
-    def run(batches):
-        values, logs, unknown = hot.value
-        for batch in batches:
-            for first, part in chunks(batch.column(3)):
-                w = words_of(part)
-                n = len(part)
-                h = np.concatenate([w.h, np.full(n, END_WORD, dtype=U)])
-                owner = np.concatenate([w.owner(), np.arange(n)])
-                kinds, which, = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(values, kinds), max(len(values) - 1, 0))
-                found = values[at] == kinds if len(values) else np.zeros(len(kinds), dtype=bool)
-                value = np.where(found, logs[at] if len(values) else 0.0, 0.0)
-                base = np.bincount(owner, weights=value[which], minlength=n)
-                known = np.bincount(owner, weights=found[which], minlength=n).astype(np.int64)
-                ids = [batch.column(c).slice(first, n) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(w.counts() + 1), pa.array(known), pa.array(base), pa.array(tree.value.score(part)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=NAMES)
-                rare = np.flatnonzero(~found[which])
-                if unknown and len(rare):
-                    order = rare[np.lexsort((which[rare], owner[rare]))]
-                    new = np.flatnonzero(np.concatenate([[True], (which[order][1:] != which[order][:-1]) | (owner[order][1:] != owner[order][:-1])]))
-                    times = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
-                    m = len(new)
-                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(owner[order[new]])), pa.nulls(m, ids[1].type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(h[order[new]].view(np.int64)), pa.array(times)], names=NAMES)
+_SMALL = 1 << 16
+_tables: list[np.ndarray] = []
+
+
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_log_kt of whole numbers, by tables where they are small."""
+    if not _tables:
+        _tables.extend([_lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)])
+    half, whole = _tables
+    out = np.empty(len(a))
+    few = a + b < _SMALL
+    x, y = a[few], b[few]
+    out[few] = half[x] + half[y] - whole[x + y] - np.log(np.pi)
+    out[~few] = _log_kt(a[~few].astype(np.float64), b[~few].astype(np.float64))
+    return out
+
+
+def _climb(name: np.ndarray, two: np.ndarray, bit: int, levels: int, below: np.ndarray | None = None) -> list[tuple]:
+    """Weighs the nodes of one bit, deepest level first: (names, counts of 0 and 1, share that stays, places of parents).
+
+    A name is the context followed by ``bit`` bits of the byte. The last level's fourth entry is its weighted log probability.
+    """
+    out = []
+    own = _kt(two[0], two[1])
+    weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
+    stay = np.ones(len(name)) if below is None else np.exp(np.minimum(0.0, own - np.log(2) - weighted))
+    for _ in range(levels):
+        up_name, up = np.unique((name >> U(8 + bit)) << U(bit) | (name & U((1 << bit) - 1)), return_inverse=True)
+        out.append((name, two, stay, up))
+        name, n = up_name, len(up_name)
+        two = np.stack([np.bincount(up, weights=x, minlength=n).astype(np.int64) for x in two])
+        below = np.bincount(up, weights=weighted, minlength=n)
+        own = _kt(two[0], two[1])
+        weighted = np.logaddexp(own, below) - np.log(2)
+        stay = np.exp(np.minimum(0.0, own - np.log(2) - weighted))
+    out.append((name, two, stay, weighted))
+    return out
+
+
+def _descend(levels: list[tuple], gone: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(settled probability of 0 and 1, weight that is left) at the deepest nodes, from those above the shallowest."""
+    for i in range(len(levels) - 1, -1, -1):
+        _, two, stay, _ = levels[i]
+        gone = gone + rest * stay * ((two + 0.5) / (two.sum(axis=0) + 1))
+        rest = rest * (1 - stay)
+        if i:
+            up = levels[i - 1][3]
+            gone, rest = gone[:, up], rest[up]
+    return gone, rest
+
+
+def _bottom(keys: np.ndarray, counts: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, counts, node of each key) of one bit's deepest nodes."""
+    name, node = np.unique(keys >> U(8 - bit), return_inverse=True)
+    one = ((keys >> U(7 - bit)) & U(1)).astype(bool)
+    return name, np.stack([np.bincount(node, weights=np.where(one == v, counts, 0), minlength=len(name)).astype(np.int64) for v in (False, True)]), node
+
+
+def _joint(name: np.ndarray, bit: int) -> np.ndarray:
+    """Names of nodes of one bit, made different from those of other bits."""
+    return (name >> U(bit)) << U(8) | U(1 << bit) | (name & U((1 << bit) - 1))
+
+
+def subtree_roots(keys: np.ndarray, counts: np.ndarray, depth: int) -> pa.Table:
+    """(node, n0, n1, w): parents of the shard's roots, each with its share of their counts and weighted log probability."""
+    root = min(ROOT, depth)
+    parts = []
+    for bit in range(8):
+        name, two, _ = _bottom(keys, counts, bit)
+        name, two, _, w = _climb(name, two, bit, depth - root)[-1]
+        up_name, up = np.unique((name >> U(8 + bit)) << U(bit) | (name & U((1 << bit) - 1)), return_inverse=True)
+        parts.append((_joint(up_name, bit), *(np.bincount(up, weights=x, minlength=len(up_name)) for x in (*two, w))))
+    node, n0, n1, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.table({"node": pa.array(node.view(np.int64)), "n0": pa.array(n0.astype(np.int64)), "n1": pa.array(n1.astype(np.int64)), "w": pa.array(w)})
+
+
+def weigh_top(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, settled probabilities, weights left) above the shards' roots."""
+    root = min(ROOT, depth)
+    parts = [(np.zeros(0, dtype=U), np.zeros((2, 0)), np.zeros(0))]
+    for bit in range(8):
+        here = ((node & U(255)) >> U(bit)) == U(1)
+        name = (node[here] >> U(8)) << U(bit) | (node[here] & U((1 << bit) - 1))
+        order = np.argsort(name)
+        levels = _climb(name[order], np.stack([n0[here][order], n1[here][order]]), bit, root - 1, w[here][order])
+        m = len(levels[-1][0])
+        gone, rest = _descend(levels, np.zeros((2, m)), np.ones(m))
+        parts.append((_joint(levels[0][0], bit), gone, rest))
+    nodes, gone, rest = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1), np.concatenate([p[2] for p in parts])
+    order = np.argsort(nodes)
+    return nodes[order], gone[:, order], rest[order]
+
+
+def place_logs(keys: np.ndarray, counts: np.ndarray, depth: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of each place of a shard."""
+    root = min(ROOT, depth)
+    nodes, above, left = top
+    total = np.zeros(len(keys))
+    for bit in range(8):
+        name, two, node = _bottom(keys, counts, bit)
+        levels = _climb(name, two, bit, depth - root)
+        first = levels[-1][0]
+        at = np.searchsorted(nodes, _joint((first >> U(8 + bit)) << U(bit) | (first & U((1 << bit) - 1)), bit))
+        gone, _ = _descend(levels, above[:, at], left[at])
+        total += np.log10(gone[((keys >> U(7 - bit)) & U(1)).astype(np.int64), node])
+    return total.astype(np.float32)
+
+
+def _gathered(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A shard's places by group, and all its places with their counts."""
+    sizes = table.column("n").to_pylist()
+    keys = [_unpacked(b, n) for b, n in zip(table.column("places").to_pylist(), sizes, strict=True)]
+    counts = [np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.int64) for b, n in zip(table.column("counts").to_pylist(), sizes, strict=True)]
+    return keys, *_folded(keys, counts)
+
+
+def _roots(depth: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, keys, counts = _gathered(table)
+        return subtree_roots(keys, counts, depth)
+
+    return run
+
+
+def _answer(depth: int, top):
+    def run(table: pa.Table) -> pa.Table:
+        asked, keys, counts = _gathered(table)
+        logs = place_logs(keys, counts, depth, top.value)
+        return pa.table({"grp": table.column("grp"), "shard": table.column("shard"), "logs": pa.array([logs[np.searchsorted(keys, k)].tobytes() for k in asked], pa.binary())})
+
+    return run
+
+
+def _score(depth: int, shards: int, hot):
+    """Scores of a group's texts, from the answers to its places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, logs = hot.value
+        answers = table.filter(pa.compute.greater_equal(table.column("shard"), 0)).sort_by("shard")
+        texts = table.filter(pa.compute.less(table.column("shard"), 0)).select(["rid", "doc_id", "held_out", "t"]).combine_chunks()
+        column = texts.column("t").combine_chunks()
+        found = []
+        for _, part in chunks(column):
+            out, at, _ = padded(part, depth)
+            found.append(np.unique(_keys(out, at, depth)))
+        keys, _ = _folded(found, [np.zeros(len(k), dtype=np.int64) for k in found])
+        order, _ = _dealt(keys, depth, shards)
+        told = np.empty(len(keys), dtype=np.float32)
+        told[order] = np.frombuffer(b"".join(answers.column("logs").to_pylist()), dtype=np.float32)
+        parts = []
+        for first, part in chunks(column):
+            out, at, bounds = padded(part, depth)
+            score = np.add.reduceat(told[np.searchsorted(keys, _keys(out, at, depth))].astype(np.float64), bounds[:-1])
+            w = words_of(part)
+            n = len(part)
+            h = np.concatenate([w.h, np.full(n, END_WORD, dtype=U)])
+            owner = np.concatenate([w.owner(), np.arange(n)])
+            kinds, which = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(values, kinds), max(len(values) - 1, 0))
+            known = values[at] == kinds if len(values) else np.zeros(len(kinds), dtype=bool)
+            value = np.where(known, logs[at] if len(values) else 0.0, 0.0)
+            base = np.bincount(owner, weights=value[which], minlength=n)
+            seen = np.bincount(owner, weights=known[which], minlength=n).astype(np.int64)
+            ids = [texts.column(c).combine_chunks().slice(first, n) for c in range(3)]
+            parts.append(pa.table([*ids, pa.array(w.counts() + 1), pa.array(seen), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=NAMES))
+            rare = np.flatnonzero(~known[which])
+            if len(rare):
+                order = rare[np.lexsort((which[rare], owner[rare]))]
+                new = np.flatnonzero(np.concatenate([[True], (which[order][1:] != which[order][:-1]) | (owner[order][1:] != owner[order][:-1])]))
+                times = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
+                m = len(new)
+                parts.append(pa.table([ids[0].take(pa.array(owner[order[new]])), pa.nulls(m, ids[1].type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(h[order[new]].view(np.int64)), pa.array(times)], names=NAMES))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -235,24 +435,30 @@ def _score(tree, hot, unit: float):
 NAMES = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h", "times"]
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, hot_words: int = HOT_WORDS, group: int = GROUP, shard: int = SHARD) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes code length) of every row; rows where ``held_out`` is false teach."""
     text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     held = F.coalesce(held_out, F.lit(False))
-    counts = docs.where(~held).select(F.col(text_col).alias("t")).mapInArrow(_count(depth), "kind int, k long, c long").groupBy("kind", "k").agg(F.sum("c").alias("c"))
-    counts = cut(counts, "counts")
-    words = counts.where("kind = 0").select(F.col("k").alias("h"), "c")
-    tree = sc.broadcast(fit_tree(counts.where("kind = 1").select("k", "c"), depth, max_contexts))
+    words = cut(docs.where(~held).select(F.col(text_col).alias("t")).mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v")).first()
     unit = total.n + total.v + 1
     top = words.orderBy(F.desc("c"), "h").limit(hot_words).toArrow()
     h, c = np.asarray(top.column("h")).view(U), np.asarray(top.column("c"), dtype=np.float64)
     order = np.argsort(h)
-    hot = sc.broadcast((h[order], np.log10((c[order] + 1) / unit), True))
+    hot = sc.broadcast((h[order], np.log10((c[order] + 1) / unit)))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("t"))
+    shards = max(8, -(-(docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0) // shard))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = cut(rows.mapInArrow(_score(tree, hot, unit), f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times int"), "scored")
+    asked = cut(rows.mapInArrow(_ask(depth, shards, group), f"grp long, shard int, n int, places binary, counts binary, rid long, doc_id {id_type}, held_out boolean, t string"), "asked")
+    places = asked.where("shard >= 0").select("grp", "shard", "n", "places", "counts")
+    roots = places.groupBy("shard").applyInArrow(_roots(depth), "node long, n0 long, n1 long, w double")
+    roots = roots.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("n0", "n1", "w"))).toArrow()
+    above = sc.broadcast(weigh_top(np.asarray(roots.column("node")).view(U), *(np.asarray(roots.column(x)) for x in ("n0", "n1", "w")), depth))
+    answers = places.groupBy("shard").applyInArrow(_answer(depth, above), "grp long, shard int, logs binary")
+    texts = asked.where("shard < 0").select("grp", "shard", F.lit(None).cast("binary").alias("logs"), "rid", "doc_id", "held_out", "t")
+    met = texts.unionByName(answers, allowMissingColumns=True)
+    scored = cut(met.groupBy("grp").applyInArrow(_score(depth, shards, hot), f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times int"), "scored")
     rare = scored.where("h IS NOT NULL").select("rid", "h", "times").join(words, "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(unit)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
     whole = scored.where("h IS NULL").join(rare, "rid", "left")

@@ -180,3 +180,24 @@ def test_no_training_rows(spark, odd, empty):
     assert score_texts(empty, F.lit(False)).count() == 0
     got = score_texts(odd.where("doc_id = 7"), F.lit(True)).first()
     assert got.n_known == 0 and got.train_tokens == 0 and got.score < 0 and got.base_score == 0
+
+
+def test_every_context_counts_and_the_model_grows(spark):
+    """Shards against the tree in memory with all contexts; one line in 100,000 bytes that occurs twice is learnt."""
+    rng = np.random.RandomState(2)
+    twice = "qzx jwvk qqzz xkcd vwxyz"
+    texts = [" ".join(rng.choice(["one", "two", "three", "four"], 400)) for _ in range(60)] + [twice, twice, twice, None, "é x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") == 62
+    got = {r.doc_id: r.score for r in score_texts(docs, held, depth=4, group=30_000, shard=20_000).collect()}
+    assert len(got) == len(texts)
+    out, at, _ = padded(pa.array([t for i, t in enumerate(texts) if i != 62]), 4)
+    levels = []
+    for d in range(5):
+        ctx = sum((out[at - j].astype(np.uint64) << np.uint64(8 * (j - 1)) for j in range(1, d + 1)), np.zeros(len(at), dtype=np.uint64))
+        pairs, c = np.unique(np.stack([ctx, out[at].astype(np.uint64)]), axis=1, return_counts=True)
+        levels.append((pairs[0], pairs[1].astype(np.int64), c.astype(float)))
+    want = build_tree(levels, 4).score(pa.array(texts))
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+    deeper = {r.doc_id: r.score for r in score_texts(docs, held, group=30_000, shard=20_000).collect()}
+    assert deeper[62] > -1.0 * len(twice)
