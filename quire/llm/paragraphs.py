@@ -7,8 +7,8 @@ over and over) are left out.
 
 Each paragraph has ``BANDS`` keys of ``ROWS`` MinHash values over its 5-word shingles. ``tune`` gives the bands: at 0.8
 similarity a paragraph is found with probability 0.76 and a passage of three with 0.98. A key that occurs in two documents
-makes its paragraphs candidates; different contents under one key are joined to the key's smallest content (never in pairs),
-verified by exact Jaccard of their shingles (0.8 or more), and clustered by connected components. In each cluster the first
+makes its paragraphs candidates; all different contents under one key meet, in pairs, in memory or in blocks by their number,
+by exact Jaccard of their shingles (0.8 or more), and are clustered by connected components. In each cluster the first
 paragraph (smallest doc_id, then place) is kept and those of other documents are removed. Where contents are equal, the
 match is extended word by word to its true ends, up to WORDS beyond the paragraph, which covers the passage because its
 first and last anchors are nearer than that. Removals that touch, or lie within ``GAP`` words, become one span; spans under
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
+from .jaccard import LEAF_MEMBERS, join_in_memory
 from .store import cut, text_batches
 from .textvec import U, Words, binary_column, chunks, grams, mix, tidy, words_of
 
@@ -37,6 +38,7 @@ SIMILARITY = (80, 100)
 MIN_SHINGLES = 8
 MIN_WORDS = 50
 GAP = 8
+PAIRS = 8
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
 
 
@@ -197,6 +199,39 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
 
 
+def _linked(table: pa.Table) -> pa.Table:
+    """All links among the contents of one key that join them, by op4's exact join in memory."""
+    per, of = SIMILARITY
+    h = np.asarray(table.column("h").combine_chunks())
+    own = np.frombuffer(b"".join(table.column("own").to_pylist()), dtype=np.uint32).reshape(len(h), WORDS).astype(U)
+    n = WORDS - SHINGLE + 1
+    z = sum((own[:, j : j + n] * _SEEDS[j] for j in range(SHINGLE)), np.zeros((len(h), n), dtype=U))
+    roots = np.array(join_in_memory([np.unique(x) for x in mix(z)], per, of))
+    other = np.flatnonzero(roots != np.arange(len(h)))
+    return pa.table({"a": pa.array(h[roots[other]]), "b": pa.array(h[other])})
+
+
+def linked_contents(found: DataFrame, bands: list[str]) -> DataFrame:
+    """(a, b): links that join all contents that share a key and are alike. Keys of up to PAIRS contents are compared in pairs,
+    others in memory, and those of over LEAF_MEMBERS in pairs of blocks, so every two contents of a key meet."""
+    contents = found.groupBy("h", *bands).agg(F.lit(1).alias("one")).drop("one")
+    listed = None
+    for b in bands:
+        part = contents.select(F.col(b).alias("k"), "h")
+        listed = part if listed is None else listed.union(part)
+    listed = cut(listed, "listed")
+    sizes = listed.groupBy("k").agg(F.count("h").alias("m")).where("m > 1")
+    shared = cut(listed.join(sizes, "k"), "shared")
+    sample = cut(found.select("h", "own").join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("own").alias("own")), "sample")
+    few = shared.where(F.col("m") <= PAIRS)
+    pairs = few.select("k", F.col("h").alias("a")).join(few.select("k", F.col("h").alias("b")), "k").where("a < b").select("a", "b").distinct()
+    links = pairs.join(sample.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(sample.select(F.col("h").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    many = shared.where(F.col("m") > PAIRS).withColumn("nb", F.when(F.col("m") > LEAF_MEMBERS, F.ceil(F.col("m") * 2 / LEAF_MEMBERS)).otherwise(1).cast("int"))
+    many = many.withColumn("mine", F.pmod(F.xxhash64("h"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    many = many.select(F.xxhash64("k", F.least("mine", "other"), F.greatest("mine", "other")).alias("p"), "h").distinct()
+    return links.union(many.join(sample, "h").groupBy("p").applyInArrow(_linked, "a long, b long"))
+
+
 @tidy
 def _extended(batches):
     """Spans, in words, of paragraphs at the ends of a removal: as far as the words around them and around the kept one agree."""
@@ -239,17 +274,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = docs.sparkSession.sparkContext.broadcast(bloom.make(keys))
     bands = [f"k{b}" for b in range(BANDS)]
     found = cut(texts.mapInArrow(_candidates(table), f"doc_id long, pos int, h long, {', '.join(f'{b} long' for b in bands)}, own binary"), "found")
-    contents = found.groupBy("h", *bands).agg(F.lit(1).alias("one")).drop("one")
-    listed = None
-    for b in bands:
-        part = contents.select(F.col(b).alias("k"), "h")
-        listed = part if listed is None else listed.union(part)
-    listed = cut(listed, "listed")
-    hubs = listed.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("k", "a")
-    pairs = cut(listed.join(hubs, "k").where("h <> a").select("a", F.col("h").alias("b")).distinct(), "pairs")
-    involved = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "involved")
-    sample = cut(found.select("h", "own").join(involved, "h").groupBy("h").agg(F.min("own").alias("own")), "sample")
-    links = pairs.join(sample.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(sample.select(F.col("h").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    links = linked_contents(found, bands)
     cluster = components(links)
     placed = found.select("doc_id", "pos", "h").join(cluster.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("c"), "doc_id", "pos", "h")
     placed = cut(placed, "placed")

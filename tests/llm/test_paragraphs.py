@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from quire.llm.paragraphs import MIN_WORDS, WINDOW, WORDS, anchors, remove_repeats, repeated_spans, tune
+from quire.llm.paragraphs import MIN_WORDS, WINDOW, WORDS, anchors, linked_contents, remove_repeats, repeated_spans, tune
 from quire.llm.textvec import words_of
 
 
@@ -95,3 +96,15 @@ def test_bands():
     assert tune(0.8, 3, 0.98) == 2 and tune(0.8, 1, 0.75) == 2
     rate = 1 - (1 - 0.8**3) ** 2
     assert np.isclose(rate, 0.76, atol=0.01)
+
+
+@pytest.mark.parametrize("more", [0, 20])
+def test_contents_of_a_key_meet_without_the_smallest(spark, more):
+    """b and c are alike, neither is like the key's smallest content; with few contents and with many."""
+    rng = np.random.RandomState(3)
+    own = rng.randint(1, 1 << 31, (2 + more, WORDS)).astype(np.uint32)
+    like = own[1].copy()
+    like[-1] += 1  # 19 of 21 shingles shared
+    rows = [(i, 7, bytearray(x.tobytes())) for i, x in enumerate([*own, like])]
+    got = linked_contents(spark.createDataFrame(rows, "h long, k0 long, own binary"), ["k0"]).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == {(1, 2 + more)}
