@@ -9,8 +9,8 @@ Each paragraph has ``BANDS`` keys of ``ROWS`` MinHash values over its 5-word shi
 similarity a paragraph is found with probability 0.76 and a passage of three with 0.98. A key that occurs in two documents
 makes its paragraphs candidates; all different contents under one key meet, in pairs, in memory or in blocks by their number,
 by exact Jaccard of their shingles (0.8 or more), and are clustered by connected components. In each cluster the first
-paragraph (smallest doc_id, then place) is kept and those of other documents are removed. Where contents are equal, the
-match is extended word by word to its true ends, up to WORDS beyond the paragraph, which covers the passage because its
+paragraph (smallest doc_id, then place) is kept and those of other documents are removed. Where an earlier document
+holds the same content, whether or not it comes first in the cluster, the match with the first such place is extended word by word to its true ends, up to WORDS beyond the paragraph, which covers the passage because its
 first and last anchors are nearer than that. Removals that touch, or lie within ``GAP`` words, become one span; spans under
 ``MIN_WORDS`` words are left alone.
 
@@ -234,7 +234,7 @@ def linked_contents(found: DataFrame, bands: list[str]) -> DataFrame:
 
 @tidy
 def _extended(batches):
-    """Spans, in words, of paragraphs at the ends of a removal: as far as the words around them and around the kept one agree."""
+    """Spans, in words, of paragraphs at the ends of a removal: as far as the words around them and around the first place of the same content agree."""
     for batch in batches:
         n = batch.num_rows
         pos = np.asarray(batch.column(1), dtype=np.int64)
@@ -279,18 +279,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = found.select("doc_id", "pos", "h").join(cluster.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("c"), "doc_id", "pos", "h")
     placed = cut(placed, "placed")
     kept = placed.groupBy("c").agg(F.min(F.struct("doc_id", "pos", "h")).alias("m"), F.max("doc_id").alias("z")).where("m.doc_id <> z")
-    kept = cut(kept.select("c", F.col("m.doc_id").alias("keep_id"), F.col("m.pos").alias("keep_pos"), F.col("m.h").alias("keep_h")), "kept")
-    removed = placed.join(kept, "c").where("doc_id <> keep_id").select("doc_id", "pos", (F.col("h") == F.col("keep_h")).alias("same"), "keep_id", "keep_pos")
+    kept = cut(kept.select("c", F.col("m.doc_id").alias("keep_id")), "kept")
+    first = placed.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z")).where("m.doc_id <> z")
+    first = cut(first.select("h", F.col("m.doc_id").alias("first_id"), F.col("m.pos").alias("first_pos")), "first")
+    removed = placed.join(kept, "c").where("doc_id <> keep_id").join(first, "h", "left")
+    removed = removed.select("doc_id", "pos", F.coalesce(F.col("first_id") != F.col("doc_id"), F.lit(False)).alias("same"), "keep_id", "first_id", "first_pos")
     in_doc = Window.partitionBy("doc_id", "same").orderBy("pos")
     apart = lambda p, q: F.coalesce(q - p > WORDS, F.lit(True))
     removed = removed.withColumn("end", F.col("same") & (apart(F.lag("pos").over(in_doc), F.col("pos")) | apart(F.col("pos"), F.lead("pos").over(in_doc))))
     removed = cut(removed.drop("same"), "removed")
-    ends = removed.where("end").select("doc_id", "pos", "keep_id", "keep_pos")
-    places = ends.select("doc_id", "pos").union(ends.select("keep_id", "keep_pos")).mapInArrow(_keyed, "k long")
+    ends = removed.where("end").select("doc_id", "pos", "keep_id", "first_id", "first_pos")
+    places = ends.select("doc_id", "pos").union(ends.select("first_id", "first_pos")).mapInArrow(_keyed, "k long")
     near = texts.mapInArrow(_surroundings(docs.sparkSession.sparkContext.broadcast(bloom.make(places))), "doc_id long, pos int, around binary")
     near = cut(near.dropDuplicates(["doc_id", "pos"]), "around")
-    grown = ends.join(near, ["doc_id", "pos"]).join(near.select(F.col("doc_id").alias("keep_id"), F.col("pos").alias("keep_pos"), F.col("around").alias("keep_around")), ["keep_id", "keep_pos"])
-    grown = grown.select("doc_id", "pos", "keep_id", "around", "keep_around").mapInArrow(_extended, "doc_id long, a int, b int, keep_id long")
+    grown = ends.join(near, ["doc_id", "pos"]).join(near.select(F.col("doc_id").alias("first_id"), F.col("pos").alias("first_pos"), F.col("around").alias("first_around")), ["first_id", "first_pos"])
+    grown = grown.select("doc_id", "pos", "keep_id", "around", "first_around").mapInArrow(_extended, "doc_id long, a int, b int, keep_id long")
     spans = removed.select("doc_id", F.col("pos").alias("a"), (F.col("pos") + WORDS).alias("b"), "keep_id").union(grown)
     marks = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b", "keep_id"))).alias("spans"))
     merged = marks.mapInArrow(_merged, "doc_id long, first_word int, end_word int, keep_id long")

@@ -108,3 +108,17 @@ def test_contents_of_a_key_meet_without_the_smallest(spark, more):
     rows = [(i, 7, bytearray(x.tobytes())) for i, x in enumerate([*own, like])]
     got = linked_contents(spark.createDataFrame(rows, "h long, k0 long, own binary"), ["k0"]).collect()
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == {(1, 2 + more)}
+
+
+def test_exact_copies_reach_their_ends_behind_an_edited_copy(spark):
+    """Documents 1 and 2 hold the passage word for word, document 0 with one word changed: the exact copy in 2 goes whole in 93 of 100 cases."""
+    docs, length = [], 51
+    for case in range(100):
+        rng = random.Random(case)
+        passage = words(rng, length)
+        edited = list(passage)
+        edited[length // 2 + 10] = "changed"
+        docs += [(3 * case + i, " ".join(words(rng, 60) + p + words(rng, 60))) for i, p in enumerate((edited, passage, passage))]
+    got = {r.doc_id: r for r in repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    whole = [c for c in range(100) if 3 * c + 2 in got and got[3 * c + 2].first_word <= 60 and got[3 * c + 2].end_word >= 60 + length]
+    assert len(whole) >= 90
