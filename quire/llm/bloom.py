@@ -27,12 +27,19 @@ def _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], names=["w", "v"])
 
 
+def _whole(batches):
+    """The filter, from its different words (at most 2 ** (BITS - 6) rows whatever the input)."""
+    table = np.zeros(1 << (BITS - 6), dtype=U)
+    for batch in batches:
+        table[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).view(U)
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["t"])
+
+
 def make(keys: DataFrame) -> np.ndarray:
     """The filter of a one-column table of long keys without nulls."""
-    got = keys.mapInArrow(_words, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    table = np.zeros(1 << (BITS - 6), dtype=U)
-    table[np.asarray(got.column("w"))] = np.asarray(got.column("v")).view(U)
-    return table
+    words = keys.mapInArrow(_words, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v"))
+    got = words.repartition(1).mapInArrow(_whole, "t binary").toArrow().column("t")
+    return np.frombuffer(got[0].as_py(), dtype=U) if len(got) else np.zeros(1 << (BITS - 6), dtype=U)
 
 
 def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -2,50 +2,57 @@
 
 A paragraph is a run of ``WORDS`` words that begins at an anchor: a word pair whose hash is the smallest of ``WINDOW``
 neighbouring pairs. Anchors depend on nearby words only, so a passage has the same paragraphs wherever it is embedded, and
-every exact passage of WINDOW + WORDS words or more holds a whole one. Paragraphs with few different shingles (a word said
-over and over) are left out.
-
-Each paragraph has ``BANDS`` keys of ``ROWS`` MinHash values over its 5-word shingles. ``tune`` gives the bands: at 0.8
-similarity a paragraph is found with probability 0.76 and a passage of three with 0.98. A key that occurs in two documents
-makes its paragraphs candidates; all different contents under one key meet, in pairs, in memory or in blocks by their number,
-by exact Jaccard of their shingles (0.8 or more), and are clustered by connected components. In each cluster the first
-paragraph (smallest doc_id, then place) is kept and those of other documents are removed. Where an earlier document
-holds the same content, whether or not it comes first in the cluster, the match with the first such place is extended word by word to its true ends, up to WORDS beyond the paragraph, which covers the passage because its
-first and last anchors are nearer than that. Removals that touch, or lie within ``GAP`` words, become one span; spans under
-``MIN_WORDS`` words are left alone.
+every run of WINDOW + WORDS - 1 = 25 words that two documents share holds a whole one. A passage of 51 words or more whose
+five-word shingles are 0.8 alike has such a run whichever words were replaced: one replaced word costs five shingles, so there
+is at most one for every 45 words, and the longest run between them has 25 words or more.
+
+1. Each paragraph has ``BANDS`` keys of ``ROWS`` MinHash values over its shingles; ``tune`` gives the bands for a recall of 0.95
+   of *one* paragraph at 0.8. A key that two documents hold makes its paragraphs candidates; equal ones always collide.
+2. Candidates are verified and linked: equal contents are one node; two different contents of ten different shingles are 0.8
+   alike exactly when they share nine (9 / 11), that is, when they differ in the first or the last word only. So contents with
+   the same ``WORDS`` - 1 words at either side form a star around the smallest, whatever their number, and no pair is missed.
+   Connected components of these links are the clusters.
+3. Each paragraph is held against an earlier place: the first document with the same content, or else the first of its
+   cluster. Where a chain of paragraphs along one such document ends, the words around both places (``AROUND``) are aligned
+   outwards, across single replaced, added or left out words.
+4. The matched runs along one earlier document are joined over at most ``GAP`` words into a span, as long as the span's
+   shingles are 0.8 alike to what it is aligned with; spans of ``MIN_WORDS`` words or more are removed.
 
 Cases: a null or short text has no paragraph; a null id takes no part and its text stays as it is; rows that share an id are
-one document (a span is applied only where its words are found again); repeats within one document stay; an empty table gives
-an empty result; other columns are kept by :func:`remove_repeats`.
+one document (a span is applied only where its words are found again); repeats within one document stay; a line said over and
+over is matched along its whole run as soon as an earlier document says it for a paragraph's length; an empty table gives an
+empty result; other columns, whatever their names, are kept by :func:`remove_repeats`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .jaccard import LEAF_MEMBERS, join_in_memory
-from .store import cut, text_batches
+from .store import cut, join_hot, text_batches, unused
 from .textvec import U, Words, binary_column, chunks, grams, mix, tidy, words_of
 
-WORDS, WINDOW, SHINGLE = 24, 24, 5
-BANDS, ROWS = 2, 3
+WORDS, WINDOW, SHINGLE = 14, 12, 5
+BANDS, ROWS = 3, 2
 SIMILARITY = (80, 100)
-MIN_SHINGLES = 8
 MIN_WORDS = 50
 GAP = 8
-PAIRS = 8
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U)
+AROUND = 40
+EDITS, RUN = 3, 4
+_SEEDS = np.array(
+    [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB],
+    dtype=U,
+)
 
 
-def tune(similarity: float, paragraphs: int, recall: float, rows: int = ROWS) -> int:
-    """The fewest bands of ``rows`` values with which a passage of so many paragraphs is found with the given recall."""
+def tune(similarity: float, recall: float, rows: int = ROWS) -> int:
+    """The fewest bands of ``rows`` values with which one paragraph of that similarity is found with the given recall."""
     bands = 1
-    while 1 - (1 - similarity**rows) ** (bands * paragraphs) < recall:
+    while 1 - (1 - similarity**rows) ** bands < recall:
         bands += 1
     return bands
 
@@ -68,48 +75,50 @@ def _runs(x: np.ndarray, width: int, pick) -> np.ndarray:
 def anchors(w: Words) -> np.ndarray:
     """Word indices at which a paragraph of WORDS words begins."""
     n = len(w.h)
-    if n < WORDS + WINDOW:
-        width = min(WINDOW, max(1, n))
-    else:
-        width = WINDOW
     if n < WORDS:
         return np.zeros(0, dtype=np.int64)
     last = np.repeat(w.bounds[1:], w.counts())
     v = mix(w.h * U(0x9FB21C651E98DF25) + np.concatenate([w.h[1:], w.h[:1]])) | U(1)
+    width = min(WINDOW, n)
     least = _runs(v, width, np.minimum)
+    # a text's last window begins where it holds pairs of this text only, or at its first word
     least[np.arange(n) + width + 1 > last] = 0
     back = _runs(np.concatenate([np.zeros(width - 1, dtype=U), least]), width, np.maximum)[:n]
     at = np.flatnonzero((back == v) & (np.arange(n) + WORDS <= last))
     if len(at):
-        again = np.zeros(len(at), dtype=bool)
-        again[1:] = (at[1:] == at[:-1] + 1) & (v[at[1:]] == v[at[:-1]])
-        at = at[~again]
+        # of a run of equal pairs every WORDS-th is enough
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (v[at[1:]] != v[at[:-1]])
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+        at = at[(np.arange(len(at)) - begin) % WORDS == 0]
     return at
 
 
-def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first words, content hashes, band keys by band) of the paragraphs of several texts."""
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, content hashes, band keys by band, hashes without the last and without the first word) of the paragraphs
+    of several texts. The last two are 0 for a paragraph that says a shingle twice, which only its like is held to resemble."""
     at = anchors(w)
-    if not len(at):
-        return at, np.zeros(0, dtype=U), np.zeros((BANDS, 0), dtype=U)
     n = WORDS - SHINGLE + 1
     z, first = grams(w, SHINGLE)
     s = np.zeros(len(w.h), dtype=U)
     s[first] = z
-    inside = s[at[:, None] + np.arange(n)] if len(at) < 200_000 else np.stack([s[at + j] for j in range(n)], axis=1)
-    ordered = np.sort(inside, axis=1)
-    varied = (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) + 1 >= MIN_SHINGLES
-    at, inside = at[varied], inside[varied]
-    content = np.zeros(len(at), dtype=U)
+    inside = np.stack([s[at + j] for j in range(n)]) if len(at) else np.zeros((n, 0), dtype=U)
+    ordered = np.sort(inside, axis=0)
+    varied = (ordered[1:] != ordered[:-1]).all(axis=0)
+    content, early = np.zeros(len(at), dtype=U), np.zeros(len(at), dtype=U)
+    late = np.zeros(len(at), dtype=U)
     for j in range(n):
-        content = content * U(0x9E3779B97F4A7C15) + inside[:, j]
+        if j:
+            late = late * U(0x9E3779B97F4A7C15) + inside[j]
+        if j == n - 1:
+            early = content
+        content = content * U(0x9E3779B97F4A7C15) + inside[j]
     keys = np.zeros((BANDS, len(at)), dtype=U)
     for b in range(BANDS):
         for r in range(ROWS):
-            least = (inside * _SEEDS[b * ROWS + r]).min(axis=1) if len(at) else np.zeros(0, dtype=U)
-            keys[b] = keys[b] * U(0xC2B2AE3D27D4EB4F) + mix(least)
+            keys[b] = keys[b] * U(0xC2B2AE3D27D4EB4F) + mix((inside * _SEEDS[b * ROWS + r]).min(axis=0))
         keys[b] = mix(keys[b] + U(b + 1))
-    return at, mix(content), keys
+    return at, mix(content), keys, np.where(varied, mix(early + U(1)), U(0)), np.where(varied, mix(late + U(2)), U(0))
 
 
 @tidy
@@ -117,7 +126,7 @@ def _all_keys(batches):
     for batch in batches:
         for first, part in chunks(batch.column(1)):
             w = words_of(part)
-            at, _, keys = paragraphs(w)
+            at, _, keys, _, _ = paragraphs(w)
             if len(at):
                 owner = np.searchsorted(w.bounds, at, side="right") - 1
                 ids = batch.column(0).slice(first, len(part)).take(pa.array(owner))
@@ -131,17 +140,16 @@ def _candidates(table):
         for batch in batches:
             for first, part in chunks(batch.column(1)):
                 w = words_of(part)
-                at, content, keys = paragraphs(w)
+                at, content, keys, early, late = paragraphs(w)
                 keep = np.flatnonzero(np.logical_or.reduce([bloom.maybe(table.value, k) for k in keys])) if len(at) else []
                 if not len(keep):
                     continue
                 at = at[keep]
                 owner = np.searchsorted(w.bounds, at, side="right") - 1
-                own = (w.h[at[:, None] + np.arange(WORDS)] >> U(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)).take(pa.array(owner)), pa.array((at - w.bounds[owner]).astype(np.int32)), pa.array(content[keep].view(np.int64)), *(pa.array(k[keep].view(np.int64)) for k in keys), binary_column(own.ravel(), np.arange(len(at) + 1) * WORDS)],
-                    names=["doc_id", "pos", "h", *(f"k{b}" for b in range(BANDS)), "own"],
-                )
+                sides = (pa.array(x[keep].view(np.int64), mask=x[keep] == 0) for x in (early, late))
+                ids = batch.column(0).slice(first, len(part)).take(pa.array(owner))
+                pos = pa.array((at - w.bounds[owner]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, pos, pa.array(content[keep].view(np.int64)), *sides], names=["doc_id", "pos", "h", "early", "late"])
 
     return run
 
@@ -153,11 +161,13 @@ def _place_keys(doc_id: np.ndarray, pos: np.ndarray) -> np.ndarray:
 @tidy
 def _keyed(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_place_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1))).view(np.int64))], names=["k"])
+        key = _place_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["k"])
 
 
 def _surroundings(table):
-    """(doc_id, pos, around): WORDS words before, in and after the paragraphs whose places the filter holds; 0 beyond the text."""
+    """(doc_id, pos, around): the paragraphs whose places the filter holds, with AROUND words before and after, 16 bits a word
+    and 0 beyond the text."""
 
     @tidy
     def run(batches):
@@ -173,139 +183,193 @@ def _surroundings(table):
                 if not len(keep):
                     continue
                 at, owner, ids = at[keep], owner[keep], ids[keep]
-                place = at[:, None] + np.arange(-WORDS, 2 * WORDS)
+                place = at[:, None] + np.arange(-AROUND, WORDS + AROUND)
                 real = (place >= w.bounds[owner][:, None]) & (place < w.bounds[owner + 1][:, None])
-                around = np.where(real, (w.h[np.clip(place, 0, len(w.h) - 1)] >> U(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((at - w.bounds[owner]).astype(np.int32)), binary_column(around.ravel(), np.arange(len(at) + 1) * 3 * WORDS)], names=["doc_id", "pos", "around"])
+                around = np.where(real, (w.h[np.clip(place, 0, len(w.h) - 1)] >> U(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
+                pos = pa.array((at - w.bounds[owner]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pos, binary_column(around.ravel(), np.arange(len(at) + 1) * around.shape[1])], names=["doc_id", "pos", "around"])
 
     return run
 
 
-def _shingles(own: bytes) -> set[bytes]:
-    return {own[4 * i : 4 * (i + SHINGLE)] for i in range(WORDS - SHINGLE + 1)}
-
-
-@tidy
-def _verified(batches):
-    per, of = SIMILARITY
-    for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        kept = []
-        for i in range(len(a)):
-            s, t = _shingles(x[i]), _shingles(y[i])
-            both = len(s & t)
-            if of * both >= per * (len(s) + len(t) - both):
-                kept.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
-
-
-def _linked(table: pa.Table) -> pa.Table:
-    """All links among the contents of one key that join them, by op4's exact join in memory."""
-    per, of = SIMILARITY
-    h = np.asarray(table.column("h").combine_chunks())
-    own = np.frombuffer(b"".join(table.column("own").to_pylist()), dtype=np.uint32).reshape(len(h), WORDS).astype(U)
-    n = WORDS - SHINGLE + 1
-    z = sum((own[:, j : j + n] * _SEEDS[j] for j in range(SHINGLE)), np.zeros((len(h), n), dtype=U))
-    roots = np.array(join_in_memory([np.unique(x) for x in mix(z)], per, of))
-    other = np.flatnonzero(roots != np.arange(len(h)))
-    return pa.table({"a": pa.array(h[roots[other]]), "b": pa.array(h[other])})
-
-
-def linked_contents(found: DataFrame, bands: list[str]) -> DataFrame:
-    """(a, b): links that join all contents that share a key and are alike. Keys of up to PAIRS contents are compared in pairs,
-    others in memory, and those of over LEAF_MEMBERS in pairs of blocks, so every two contents of a key meet."""
-    contents = found.groupBy("h", *bands).agg(F.lit(1).alias("one")).drop("one")
-    listed = None
-    for b in bands:
-        part = contents.select(F.col(b).alias("k"), "h")
-        listed = part if listed is None else listed.union(part)
-    listed = cut(listed, "listed")
-    sizes = listed.groupBy("k").agg(F.count("h").alias("m")).where("m > 1")
-    shared = cut(listed.join(sizes, "k"), "shared")
-    sample = cut(found.select("h", "own").join(shared.select("h").distinct(), "h").groupBy("h").agg(F.min("own").alias("own")), "sample")
-    few = shared.where(F.col("m") <= PAIRS)
-    pairs = few.select("k", F.col("h").alias("a")).join(few.select("k", F.col("h").alias("b")), "k").where("a < b").select("a", "b").distinct()
-    links = pairs.join(sample.select(F.col("h").alias("a"), F.col("own").alias("x")), "a").join(sample.select(F.col("h").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-    many = shared.where(F.col("m") > PAIRS).withColumn("nb", F.when(F.col("m") > LEAF_MEMBERS, F.ceil(F.col("m") * 2 / LEAF_MEMBERS)).otherwise(1).cast("int"))
-    many = many.withColumn("mine", F.pmod(F.xxhash64("h"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    many = many.select(F.xxhash64("k", F.least("mine", "other"), F.greatest("mine", "other")).alias("p"), "h").distinct()
-    return links.union(many.join(sample, "h").groupBy("p").applyInArrow(_linked, "a long, b long"))
+def near_links(contents: DataFrame) -> DataFrame:
+    """(a, b): stars of contents that agree but for their first or last word. ``contents`` is one row (h, early, late) a content."""
+    links = None
+    for side in ("early", "late"):
+        some = contents.where(F.col(side).isNotNull()).select(F.col(side).alias("k"), "h")
+        sizes = cut(some.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("a")).where("c > 1"), "sides")
+        star = join_hot(some, sizes.select("k", "a"), "k", sizes.select("k", "c")).where("a <> h").select("a", F.col("h").alias("b"))
+        links = star if links is None else links.union(star)
+    return links
+
+
+def _outwards(x: np.ndarray, y: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Matched runs (first, end, shift of y against x) of each row to the right of ``start``, across up to EDITS single edits;
+    the first run may be empty, a later one has RUN words or more."""
+    n, width = x.shape
+    shifts = np.arange(-EDITS, EDITS + 1)
+    length = np.zeros((len(shifts), n, width + 2), dtype=np.int16)
+    for i, d in enumerate(shifts):
+        a, b = max(0, -d), min(width, width - d)
+        same = np.zeros((n, width), dtype=bool)
+        same[:, a:b] = (x[:, a:b] == y[:, a + d : b + d]) & (x[:, a:b] != 0)
+        for k in range(width - 1, -1, -1):
+            length[i, :, k] = np.where(same[:, k], length[i, :, k + 1] + 1, 0)
+    rows = np.arange(n)
+    at, d = np.full(n, start), np.full(n, EDITS)
+    out, alive = [], np.ones(n, dtype=bool)
+    for turn in range(EDITS + 1):
+        if turn:
+            ways = [(np.minimum(at + 1, width), d), (np.minimum(at + 1, width), np.maximum(d - 1, 0)), (at, np.minimum(d + 1, 2 * EDITS))]
+            runs = np.stack([length[w, rows, k] for k, w in ways])
+            best = runs.argmax(axis=0)
+            at, d = (np.stack([way[j] for way in ways])[best, rows] for j in range(2))
+            alive &= runs.max(axis=0) >= RUN
+        run = np.where(alive, length[d, rows, at], 0)
+        out.append((at.copy(), at + run, shifts[d]))
+        at = at + run
+    return out
 
 
 @tidy
 def _extended(batches):
-    """Spans, in words, of paragraphs at the ends of a removal: as far as the words around them and around the first place of the same content agree."""
+    """Matched runs (doc_id, ref_id, first word, end word, shift) around the paragraphs at the ends of chains."""
+    width, middle = WORDS + 2 * AROUND, AROUND + WORDS // 2
     for batch in batches:
-        n = batch.num_rows
-        pos = np.asarray(batch.column(1), dtype=np.int64)
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(n, 3 * WORDS) for c in (3, 4))
-        alike = (x == y) & (x != 0)
-        left = np.cumprod(alike[:, WORDS - 1 :: -1], axis=1).sum(axis=1)
-        right = np.cumprod(alike[:, 2 * WORDS :], axis=1).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((pos - left).astype(np.int32)), pa.array((pos + WORDS + right).astype(np.int32)), batch.column(2)], names=["doc_id", "a", "b", "keep_id"])
+        for first in range(0, batch.num_rows, 4096):
+            part = batch.slice(first, 4096)
+            n = part.num_rows
+            pos, off = (np.asarray(part.column(c), dtype=np.int64) for c in (1, 3))
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(n, width) for c in (4, 5))
+            right = _outwards(x, y, middle)
+            left = [(width - b, width - a, -d) for a, b, d in _outwards(x[:, ::-1], y[:, ::-1], width - middle)]
+            runs = [(left[0][0], right[0][1], right[0][2]), *left[1:], *right[1:]]
+            for a, b, d in runs:
+                some = np.flatnonzero(b > a)
+                at = pos[some] - AROUND
+                columns = [(at + a[some]).astype(np.int32), (at + b[some]).astype(np.int32), (off[some] + d[some]).astype(np.int32)]
+                take = pa.array(some)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), *map(pa.array, columns)], names=["doc_id", "ref_id", "a", "b", "shift"])
+
+
+def spans_of(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans of MIN_WORDS words or more from sorted matched runs (first, end, shift) along one other document."""
+    per, of = SIMILARITY
+    pieces: list[list[int]] = []
+    for a, b, d in runs:
+        if pieces and a <= pieces[-1][1] and (d == pieces[-1][2] or a + SHINGLE <= pieces[-1][1] or b <= pieces[-1][1]):
+            if b > pieces[-1][1]:
+                pieces[-1][1:] = [b, d]
+        else:
+            pieces.append([a, b, d])
+    out, i = [], 0
+    while i < len(pieces):
+        best, matched, j = None, 0, i
+        while j < len(pieces) and (j == i or (pieces[j][0] - pieces[j - 1][1] <= GAP and abs(pieces[j][2] - pieces[j - 1][2]) <= GAP)):
+            a, b, _ = pieces[j]
+            matched += max(0, b - a - SHINGLE + 1)
+            all_ = b - pieces[i][0] - SHINGLE + 1
+            if b - pieces[i][0] >= MIN_WORDS and of * matched >= per * (2 * all_ - matched):
+                best = j
+            j += 1
+        if best is None:
+            i += 1
+        else:
+            out.append((pieces[i][0], pieces[best][1]))
+            i = best + 1
+    return out
 
 
 @tidy
 def _merged(batches):
-    """A document's spans, joined where they lie within GAP words, without those under MIN_WORDS words."""
+    """A document's spans, from its matched runs; those that touch become one, with the smallest document that keeps a part."""
     for batch in batches:
         out = []
-        for doc_id, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a = b = keep = None
-            for s in spans:
-                if a is not None and s["a"] <= b + GAP:
-                    b, keep = max(b, s["b"]), min(keep, s["keep_id"])
+        for doc_id, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by_ref: dict[int, list[tuple[int, int, int]]] = {}
+            for r in runs:
+                by_ref.setdefault(r["ref_id"], []).append((r["a"], r["b"], r["shift"]))
+            spans = sorted((a, b, ref) for ref, found in by_ref.items() for a, b in spans_of(found))
+            last = None
+            for a, b, ref in spans:
+                if last is not None and a <= last[1]:
+                    last = (last[0], max(last[1], b), min(last[2], ref))
                     continue
-                if a is not None and b - a >= MIN_WORDS:
-                    out.append((doc_id, a, b, keep))
-                a, b, keep = s["a"], s["b"], s["keep_id"]
-            if a is not None and b - a >= MIN_WORDS:
-                out.append((doc_id, a, b, keep))
+                if last is not None:
+                    out.append((doc_id, *last))
+                last = (a, b, ref)
+            if last is not None:
+                out.append((doc_id, *last))
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "first_word", "end_word", "keep_id"])
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "first_word", "end_word", "keep_id"])
+
+
+def _earlier(found: DataFrame) -> DataFrame:
+    """(doc_id, pos, ref_id, ref_pos, exact): each paragraph that an earlier document holds, with that place."""
+    contents = found.groupBy("h").agg(
+        F.first("early").alias("early"), F.first("late").alias("late"), F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("c")
+    )
+    contents = cut(contents, "contents")
+    cluster = components(near_links(contents.select("h", "early", "late")))
+    joined = contents.join(cluster.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").withColumn("g", F.coalesce("g", "h"))
+    joined = cut(joined.select("h", "g", "m", "z", "c"), "joined")
+    groups = joined.groupBy("g").agg(F.min("m").alias("gm"), F.max("z").alias("gz"), F.count(F.lit(1)).alias("c"))
+    groups = cut(groups.where("gm.doc_id <> gz"), "groups")
+    first = join_hot(joined.drop("c"), groups.select("g", "gm"), "g", groups.select("g", "c")).where("gm IS NOT NULL")
+    first = cut(first.select("h", "m", "gm"), "first")
+    met = join_hot(found.select("doc_id", "pos", "h"), first, "h", contents.select("h", "c")).where("m IS NOT NULL")
+    exact = F.col("m.doc_id") != F.col("doc_id")
+    ref = F.when(exact, F.col("m")).when(F.col("gm.doc_id") != F.col("doc_id"), F.col("gm"))
+    met = met.select("doc_id", "pos", exact.alias("exact"), ref.alias("ref")).where("ref IS NOT NULL")
+    return met.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"), "exact")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first_word, end_word, keep_id): spans of words to remove, each with the document that keeps the passage."""
+    """(doc_id, first_word, end_word, keep_id): spans of words to remove, each with the first document that holds a part of it."""
     text_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    keys = texts.mapInArrow(_all_keys, "k long, doc_id long").groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("k")
-    keys = cut(keys, "keys")
-    table = docs.sparkSession.sparkContext.broadcast(bloom.make(keys))
-    bands = [f"k{b}" for b in range(BANDS)]
-    found = cut(texts.mapInArrow(_candidates(table), f"doc_id long, pos int, h long, {', '.join(f'{b} long' for b in bands)}, own binary"), "found")
-    links = linked_contents(found, bands)
-    cluster = components(links)
-    placed = found.select("doc_id", "pos", "h").join(cluster.select(F.col("node").alias("h"), "component"), "h", "left").select(F.coalesce("component", "h").alias("c"), "doc_id", "pos", "h")
-    placed = cut(placed, "placed")
-    kept = placed.groupBy("c").agg(F.min(F.struct("doc_id", "pos", "h")).alias("m"), F.max("doc_id").alias("z")).where("m.doc_id <> z")
-    kept = cut(kept.select("c", F.col("m.doc_id").alias("keep_id")), "kept")
-    first = placed.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z")).where("m.doc_id <> z")
-    first = cut(first.select("h", F.col("m.doc_id").alias("first_id"), F.col("m.pos").alias("first_pos")), "first")
-    removed = placed.join(kept, "c").where("doc_id <> keep_id").join(first, "h", "left")
-    removed = removed.select("doc_id", "pos", F.coalesce(F.col("first_id") != F.col("doc_id"), F.lit(False)).alias("same"), "keep_id", "first_id", "first_pos")
-    in_doc = Window.partitionBy("doc_id", "same").orderBy("pos")
-    apart = lambda p, q: F.coalesce(q - p > WORDS, F.lit(True))
-    removed = removed.withColumn("end", F.col("same") & (apart(F.lag("pos").over(in_doc), F.col("pos")) | apart(F.col("pos"), F.lead("pos").over(in_doc))))
-    removed = cut(removed.drop("same"), "removed")
-    ends = removed.where("end").select("doc_id", "pos", "keep_id", "first_id", "first_pos")
-    places = ends.select("doc_id", "pos").union(ends.select("first_id", "first_pos")).mapInArrow(_keyed, "k long")
-    near = texts.mapInArrow(_surroundings(docs.sparkSession.sparkContext.broadcast(bloom.make(places))), "doc_id long, pos int, around binary")
-    near = cut(near.dropDuplicates(["doc_id", "pos"]), "around")
-    grown = ends.join(near, ["doc_id", "pos"]).join(near.select(F.col("doc_id").alias("first_id"), F.col("pos").alias("first_pos"), F.col("around").alias("first_around")), ["first_id", "first_pos"])
-    grown = grown.select("doc_id", "pos", "keep_id", "around", "first_around").mapInArrow(_extended, "doc_id long, a int, b int, keep_id long")
-    spans = removed.select("doc_id", F.col("pos").alias("a"), (F.col("pos") + WORDS).alias("b"), "keep_id").union(grown)
-    marks = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b", "keep_id"))).alias("spans"))
+    keys = texts.mapInArrow(_all_keys, "k long, doc_id long").groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    table = sc.broadcast(bloom.make(keys.where("a <> b").select("k")))
+    found = cut(texts.mapInArrow(_candidates(table), "doc_id long, pos int, h long, early long, late long"), "found")
+    table.destroy()
+    met = cut(_earlier(found), "met")
+    along = Window.partitionBy("doc_id", "ref_id").orderBy("pos")
+    shift = F.col("ref_pos") - F.col("pos")
+
+    def broken(step) -> Column:
+        return F.coalesce((F.abs(step("pos").over(along) - F.col("pos")) > WORDS) | (step("shift").over(along) != F.col("shift")), F.lit(True))
+
+    met = met.withColumn("shift", shift).withColumn("end", ~F.col("exact") | broken(F.lag) | broken(F.lead))
+    met = cut(met.select("doc_id", "pos", "ref_id", "ref_pos", "shift", "end"), "chains")
+    ends = met.where("end").select("doc_id", "pos", "ref_id", "ref_pos", "shift")
+    places = ends.select("doc_id", "pos").union(ends.select("ref_id", "ref_pos")).mapInArrow(_keyed, "k long")
+    table = sc.broadcast(bloom.make(places))
+    place = F.xxhash64("doc_id", "pos")
+    near = texts.mapInArrow(_surroundings(table), "doc_id long, pos int, around binary").select(place.alias("k"), "around")
+    near = cut(near.dropDuplicates(["k"]), "around")
+    table.destroy()
+    own = ends.withColumn("k", place).join(near, "k").select("doc_id", "pos", "ref_id", "shift", F.xxhash64("ref_id", "ref_pos").alias("k"), F.col("around").alias("x"))
+    own = cut(own, "own")
+    sizes = cut(own.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "sizes")
+    both = join_hot(own, near, "k", sizes).where("around IS NOT NULL").select("doc_id", "pos", "ref_id", "shift", "x", F.col("around").alias("y"))
+    grown = both.mapInArrow(_extended, "doc_id long, ref_id long, a int, b int, shift int")
+    runs = met.where("NOT end").select("doc_id", "ref_id", F.col("pos").alias("a"), (F.col("pos") + WORDS).alias("b"), "shift").union(grown)
+    marks = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b", "shift", "ref_id"))).alias("runs"))
     merged = marks.mapInArrow(_merged, "doc_id long, first_word int, end_word int, keep_id long")
     return merged.withColumnRenamed("doc_id", id_col)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` without the repeated spans; documents of which only blanks are left go."""
+    """``docs`` without the repeated spans; documents of which only blanks are left go. The spans meet their documents in a join:
+    a broadcast while they are few, else a shuffle of the texts."""
     spans = cut(repeated_spans(docs, id_col, text_col), "spans")
-    marks = spans.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("_s"))
-    marked = docs.join(marks, docs[id_col] == F.col("_id"), "left").drop("_id").withColumn("_s", F.coalesce(F.flatten(F.transform("_s", lambda s: F.array(s["first_word"], s["end_word"]))), F.array().cast("array<int>")))
-    at, spans_at = marked.columns.index(text_col), marked.columns.index("_s")
+    own, cuts = unused(docs, "span_id"), unused(docs, "cuts")
+    marks = spans.groupBy(F.col(id_col).alias(own)).agg(F.array_sort(F.collect_list(F.array("first_word", "end_word"))).alias(cuts))
+    marked = docs.join(marks, F.col(id_col) == F.col(own), "left").drop(own)
+    marked = marked.withColumn(cuts, F.coalesce(F.flatten(cuts), F.array().cast("array<int>")))
+    at, spans_at = marked.columns.index(text_col), marked.columns.index(cuts)
 
     @tidy
     def run(batches):

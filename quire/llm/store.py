@@ -1,8 +1,8 @@
 """Shared intermediate tables.
 
 Lineage is cut by writing Parquet under the folder that ``spark.checkpoint.dir`` names, which every executor can read,
-so a lost executor never loses an intermediate result. The folder is set here only where the session names none (tests,
-single machine).
+so a lost executor never loses an intermediate result. A folder of this machine is used only where the session names none
+and the master is local; on a cluster a session without that setting is refused, as executors share no local folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -19,8 +20,9 @@ BATCH_ROWS = 1000
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in small batches: at Spark's default of 10,000 rows a batch of long texts alone takes hundreds of
-    MB outside the heap. A number that the session has set itself is left as it is."""
+    """Hand texts to Python in small batches. Spark bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB)
+    and by 10,000 rows; ordinary texts fill the former, several times over in flight, so the latter is lowered. It stays so in
+    the session, as results are lazy; a number that the session has set itself is left as it is."""
     if spark.conf.get(_ROWS) == "10000":
         spark.conf.set(_ROWS, str(BATCH_ROWS))
 
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found.isDefined():
         return found.get().rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
@@ -60,6 +64,24 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, share: int = 500, least: int = 100) -> DataFrame:
+    """``rows.join(table, key, "left")`` without a hot key in one task. ``table`` has one row a key; ``sizes`` (key, c) counts the
+    rows of each key. Keys that hold over 1 / ``share`` of all rows are fewer than ``share``, so theirs are broadcast."""
+    total = sizes.agg(F.sum("c").alias("n")).first().n or 0
+    hot = sizes.where((F.col("c") * share > total) & (F.col("c") > least)).select(key)
+    found = cut(table.join(F.broadcast(hot), key, "left_semi"), "hot")
+    keys = F.broadcast(found.select(key))
+    return rows.join(keys, key, "left_anti").join(table, key, "left").unionByName(rows.join(F.broadcast(found), key))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut`; only for tables that no later result reads."""
     spark = df.sparkSession

@@ -2,13 +2,15 @@
 
 Words are split at every ASCII byte that is neither letter nor digit. A document's features are the 64-bit hashes of its
 words, of the stems (first bytes) of longer words, of neighbouring pairs and of pairs with one word between, each counted once. Per-coordinate learning rates and the L1 term
-keep most weights at exactly zero, so the model is a short table that is broadcast. It is fitted on at most ``per_class``
-labelled documents of either class (the smallest id hashes; the bound is a parameter and keeps the driver's share fixed);
-the intercept is then moved to the classes' true proportion, counted over all labels. Every text is scored whole.
+keep most weights at exactly zero, so the model is a short table that is broadcast. It is fitted in one executor task on at
+most ``per_class`` labelled documents of either class (the smallest id hashes), in the order of their hashes, as long as their different
+features number ``max_features`` at most (both bounds are parameters and keep the task's share fixed); only the weights come to
+the driver. The intercept is then moved to the classes' true proportion, counted over all labels. Every text is scored whole.
 
 Cases: a null, empty or wordless text gets the intercept's score; with no usable label the score is 0.5 (the smoothed rate
 when only one class is labelled); repeated label rows of an id count once, by the larger label; null labels or ids teach
-nothing; an empty table gives an empty result; other columns are ignored.
+nothing; labelled ids that several rows share teach by each of them, within the bounds; an empty table gives an empty result;
+other columns, whatever their names, are ignored or, by :func:`score_toxicity`, kept.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import text_batches
+from .store import text_batches, unused
 from .textvec import U, binary_column, chunks, mix, tidy, words_of
 
-PER_CLASS = 1500
+PER_CLASS = 3000
+MAX_FEATURES = 16_000_000
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 
@@ -74,7 +77,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: list[int], positives: int, negatives: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5, epochs: int = 12, min_docs: int = MIN_DOCS) -> Model:
+def fit_ftrl(
+    rows: list[np.ndarray], labels: list[int], positives: int, negatives: int, alpha: float = 0.3, beta: float = 1.0,
+    l1: float = 5.0, l2: float = 0.5, epochs: int = 12, min_docs: int = MIN_DOCS,
+) -> Model:
     """``rows`` are distinct features of each sampled document; positives and negatives count all labels, for the intercept."""
     prior = math.log((positives + 1) / (negatives + 1))
     if not rows or min(sum(labels), len(labels) - sum(labels)) == 0:
@@ -127,26 +133,49 @@ def _training_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(part)), batch.column(2).slice(first, len(part)), binary_column(z[keep], bounds)], names=["h", "y", "x"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def _fit(positives: int, negatives: int, max_features: int):
+    @tidy
+    def run(batches):
+        rows, labels, held = [], [], 0
+        for batch in batches:
+            for y, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = np.frombuffer(x.as_buffer(), dtype=U)
+                if held + len(found) <= max_features:
+                    rows.append(found)
+                    labels.append(y)
+                    held += len(found)
+        model = fit_ftrl(rows, labels, positives, negatives)
+        yield pa.RecordBatch.from_arrays([pa.array([model.values.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["v", "w", "bias"])
+
+    return run
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    per_class: int = PER_CLASS, max_features: int = MAX_FEATURES,
+) -> Model:
     """``learns`` says, over ``labels``, which ids may teach."""
     text_batches(docs.sparkSession)
-    usable = labels.where(learns & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y")).withColumn("h", F.xxhash64("_id"))
+    usable = labels.where(learns & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+    usable = usable.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).withColumn("h", F.xxhash64("i"))
     known = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
-    sample = usable.where("y = 1").orderBy("h", "_id").limit(per_class).union(usable.where("y = 0").orderBy("h", "_id").limit(per_class))
-    # at most 2 * per_class rows of three numbers
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("_id")).select(F.col(text_col), "h", "y")
-    got = rows.mapInArrow(_training_rows, "h long, y int, x binary").toArrow()
-    order = np.lexsort((np.asarray(got.column("h")),)) if got.num_rows else []
-    y, x = got.column("y").to_pylist(), got.column("x")
-    model = fit_ftrl([np.frombuffer(x[int(i)].as_buffer(), dtype=U) for i in order], [y[int(i)] for i in order], known.get(1, 0), known.get(0, 0))
-    del got, x
-    pa.default_memory_pool().release_unused()
-    return model
+    sample = [usable.where(F.col("y") == y).orderBy("h", "i").limit(per_class) for y in (0, 1)]
+    # at most 2 * per_class rows of three numbers; the rows are taken in the order of their hashes
+    sample = sample[0].union(sample[1])
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(sample), "i").select("t", "h", "y").mapInArrow(_training_rows, "h long, y int, x binary")
+    fit = _fit(known.get(1, 0), known.get(0, 0), max_features)
+    got = rows.repartition(1).sortWithinPartitions("h", "y", "x").mapInArrow(fit, "v binary, w binary, bias double").first()
+    if got is None:
+        return fit_ftrl([], [], known.get(1, 0), known.get(0, 0))
+    return Model(np.frombuffer(got.v, dtype=U), np.frombuffer(got.w), got.bias)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score."""
+    """All columns of ``docs`` and the score; ``score_col`` must be a new name."""
     text_batches(docs.sparkSession)
+    if score_col != unused(docs, score_col):
+        raise ValueError(f"{score_col} is a column already; name another score_col")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
