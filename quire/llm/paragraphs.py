@@ -8,8 +8,8 @@ is at most one for every 45 words, and the longest run between them has 25 words
 
 1. Each paragraph has ``BANDS`` keys of ``ROWS`` MinHash values over its shingles; ``tune`` gives the bands for a recall of 0.95
    of *one* paragraph at 0.8. A key that two documents hold makes its paragraphs candidates; equal ones always collide.
-2. Candidates are verified and linked: equal contents are one node; two different contents of ten different shingles are 0.8
-   alike exactly when they share nine (9 / 11), that is, when they differ in the first or the last word only. So contents with
+2. Candidates are verified and linked: equal contents are one node; two different contents of nine different shingles are 0.8
+   alike exactly when they share eight (8 / 10), that is, when they differ in the first or the last word only. So contents with
    the same ``WORDS`` - 1 words at either side form a star around the smallest, whatever their number, and no pair is missed.
    Connected components of these links are the clusters.
 3. Each paragraph is held against an earlier place: the first document with the same content, or else the first of its
@@ -33,16 +33,18 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .store import cut, join_hot, text_batches, unused
+from .store import cut, drop, join_hot, text_batches, unused
 from .textvec import U, Words, binary_column, chunks, grams, mix, tidy, words_of
 
-WORDS, WINDOW, SHINGLE = 14, 12, 5
+WORDS, WINDOW, SHINGLE = 13, 13, 5
 BANDS, ROWS = 3, 2
 SIMILARITY = (80, 100)
 MIN_WORDS = 50
 GAP = 8
 AROUND = 40
 EDITS, RUN = 3, 4
+MIDDLE = WORDS // 2
+OUTWARDS = AROUND + WORDS - MIDDLE
 _SEEDS = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB],
     dtype=U,
@@ -154,20 +156,21 @@ def _candidates(table):
     return run
 
 
-def _place_keys(doc_id: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return mix(doc_id.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U))
+def _place_keys(doc_id: np.ndarray, pos: np.ndarray, side: np.ndarray | int) -> np.ndarray:
+    place = doc_id.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U) * U(2)
+    return mix(place + (U(side) if isinstance(side, int) else side.astype(U)))
 
 
 @tidy
 def _keyed(batches):
     for batch in batches:
-        key = _place_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        key = _place_keys(*(np.asarray(batch.column(c)) for c in range(3)))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["k"])
 
 
 def _surroundings(table):
-    """(doc_id, pos, around): the paragraphs whose places the filter holds, with AROUND words before and after, 16 bits a word
-    and 0 beyond the text."""
+    """(doc_id, pos, side, words): for paragraphs whose places the filter holds, OUTWARDS words from the middle to the left (side
+    0) or to the right (1), 16 bits a word and 0 beyond the text."""
 
     @tidy
     def run(batches):
@@ -179,15 +182,15 @@ def _surroundings(table):
                     continue
                 owner = np.searchsorted(w.bounds, at, side="right") - 1
                 ids = np.asarray(batch.column(0).slice(first, len(part)))[owner]
-                keep = np.flatnonzero(bloom.maybe(table.value, _place_keys(ids, at - w.bounds[owner])))
-                if not len(keep):
-                    continue
-                at, owner, ids = at[keep], owner[keep], ids[keep]
-                place = at[:, None] + np.arange(-AROUND, WORDS + AROUND)
-                real = (place >= w.bounds[owner][:, None]) & (place < w.bounds[owner + 1][:, None])
-                around = np.where(real, (w.h[np.clip(place, 0, len(w.h) - 1)] >> U(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
-                pos = pa.array((at - w.bounds[owner]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pos, binary_column(around.ravel(), np.arange(len(at) + 1) * around.shape[1])], names=["doc_id", "pos", "around"])
+                for side, steps in enumerate((np.arange(MIDDLE - 1, MIDDLE - 1 - OUTWARDS, -1), np.arange(MIDDLE, MIDDLE + OUTWARDS))):
+                    keep = np.flatnonzero(bloom.maybe(table.value, _place_keys(ids, at - w.bounds[owner], side)))
+                    if not len(keep):
+                        continue
+                    place, own = at[keep][:, None] + steps, owner[keep]
+                    real = (place >= w.bounds[own][:, None]) & (place < w.bounds[own + 1][:, None])
+                    words = np.where(real, (w.h[np.clip(place, 0, len(w.h) - 1)] >> U(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
+                    columns = [pa.array(ids[keep]), pa.array((at[keep] - w.bounds[own]).astype(np.int32)), pa.array(np.full(len(keep), side, dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, binary_column(words.ravel(), np.arange(len(keep) + 1) * OUTWARDS)], names=["doc_id", "pos", "side", "words"])
 
     return run
 
@@ -203,12 +206,12 @@ def near_links(contents: DataFrame) -> DataFrame:
     return links
 
 
-def _outwards(x: np.ndarray, y: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Matched runs (first, end, shift of y against x) of each row to the right of ``start``, across up to EDITS single edits;
-    the first run may be empty, a later one has RUN words or more."""
+def _outwards(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Matched runs (first, end, shift of y against x) of each row from its first word on, across up to EDITS single edits; the
+    first run may be empty, a later one has RUN words or more."""
     n, width = x.shape
     shifts = np.arange(-EDITS, EDITS + 1)
-    length = np.zeros((len(shifts), n, width + 2), dtype=np.int16)
+    length = np.zeros((len(shifts), n, width + 1), dtype=np.int16)
     for i, d in enumerate(shifts):
         a, b = max(0, -d), min(width, width - d)
         same = np.zeros((n, width), dtype=bool)
@@ -216,10 +219,11 @@ def _outwards(x: np.ndarray, y: np.ndarray, start: int) -> list[tuple[np.ndarray
         for k in range(width - 1, -1, -1):
             length[i, :, k] = np.where(same[:, k], length[i, :, k + 1] + 1, 0)
     rows = np.arange(n)
-    at, d = np.full(n, start), np.full(n, EDITS)
+    at, d = np.zeros(n, dtype=np.int64), np.full(n, EDITS)
     out, alive = [], np.ones(n, dtype=bool)
     for turn in range(EDITS + 1):
         if turn:
+            # a word replaced, a word more in x, a word more in y
             ways = [(np.minimum(at + 1, width), d), (np.minimum(at + 1, width), np.maximum(d - 1, 0)), (at, np.minimum(d + 1, 2 * EDITS))]
             runs = np.stack([length[w, rows, k] for k, w in ways])
             best = runs.argmax(axis=0)
@@ -233,23 +237,20 @@ def _outwards(x: np.ndarray, y: np.ndarray, start: int) -> list[tuple[np.ndarray
 
 @tidy
 def _extended(batches):
-    """Matched runs (doc_id, ref_id, first word, end word, shift) around the paragraphs at the ends of chains."""
-    width, middle = WORDS + 2 * AROUND, AROUND + WORDS // 2
+    """Matched runs (doc_id, ref_id, first word, end word, shift) outwards from the paragraphs at the ends of chains."""
     for batch in batches:
         for first in range(0, batch.num_rows, 4096):
             part = batch.slice(first, 4096)
             n = part.num_rows
-            pos, off = (np.asarray(part.column(c), dtype=np.int64) for c in (1, 3))
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(n, width) for c in (4, 5))
-            right = _outwards(x, y, middle)
-            left = [(width - b, width - a, -d) for a, b, d in _outwards(x[:, ::-1], y[:, ::-1], width - middle)]
-            runs = [(left[0][0], right[0][1], right[0][2]), *left[1:], *right[1:]]
-            for a, b, d in runs:
+            pos, off, side = (np.asarray(part.column(c), dtype=np.int64) for c in (1, 3, 4))
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(n, OUTWARDS) for c in (5, 6))
+            middle, right = pos + MIDDLE, side == 1
+            for a, b, d in _outwards(x, y):
                 some = np.flatnonzero(b > a)
-                at = pos[some] - AROUND
-                columns = [(at + a[some]).astype(np.int32), (at + b[some]).astype(np.int32), (off[some] + d[some]).astype(np.int32)]
+                begin, end = np.where(right, middle + a, middle - b), np.where(right, middle + b, middle - a)
+                columns = [begin, end, off + np.where(right, d, -d)]
                 take = pa.array(some)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), *map(pa.array, columns)], names=["doc_id", "ref_id", "a", "b", "shift"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), *(pa.array(c[some].astype(np.int32)) for c in columns)], names=["doc_id", "ref_id", "a", "b", "shift"])
 
 
 def spans_of(runs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -305,8 +306,9 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "first_word", "end_word", "keep_id"])
 
 
-def _earlier(found: DataFrame) -> DataFrame:
-    """(doc_id, pos, ref_id, ref_pos, exact): each paragraph that an earlier document holds, with that place."""
+def _earlier(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, pos, ref_id, ref_pos, exact): each paragraph that an earlier document holds, with that place; and the tables that
+    this reads."""
     contents = found.groupBy("h").agg(
         F.first("early").alias("early"), F.first("late").alias("late"), F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("c")
     )
@@ -322,7 +324,7 @@ def _earlier(found: DataFrame) -> DataFrame:
     exact = F.col("m.doc_id") != F.col("doc_id")
     ref = F.when(exact, F.col("m")).when(F.col("gm.doc_id") != F.col("doc_id"), F.col("gm"))
     met = met.select("doc_id", "pos", exact.alias("exact"), ref.alias("ref")).where("ref IS NOT NULL")
-    return met.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"), "exact")
+    return met.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"), "exact"), [contents, joined, groups, first]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,28 +336,32 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = sc.broadcast(bloom.make(keys.where("a <> b").select("k")))
     found = cut(texts.mapInArrow(_candidates(table), "doc_id long, pos int, h long, early long, late long"), "found")
     table.destroy()
-    met = cut(_earlier(found), "met")
+    met, used = _earlier(found)
     along = Window.partitionBy("doc_id", "ref_id").orderBy("pos")
-    shift = F.col("ref_pos") - F.col("pos")
-
-    def broken(step) -> Column:
-        return F.coalesce((F.abs(step("pos").over(along) - F.col("pos")) > WORDS) | (step("shift").over(along) != F.col("shift")), F.lit(True))
-
-    met = met.withColumn("shift", shift).withColumn("end", ~F.col("exact") | broken(F.lag) | broken(F.lead))
-    met = cut(met.select("doc_id", "pos", "ref_id", "ref_pos", "shift", "end"), "chains")
-    ends = met.where("end").select("doc_id", "pos", "ref_id", "ref_pos", "shift")
-    places = ends.select("doc_id", "pos").union(ends.select("ref_id", "ref_pos")).mapInArrow(_keyed, "k long")
-    table = sc.broadcast(bloom.make(places))
-    place = F.xxhash64("doc_id", "pos")
-    near = texts.mapInArrow(_surroundings(table), "doc_id long, pos int, around binary").select(place.alias("k"), "around")
-    near = cut(near.dropDuplicates(["k"]), "around")
+    met = met.withColumn("shift", F.col("ref_pos") - F.col("pos"))
+
+    def ends(step) -> Column:
+        apart = F.abs(step("pos").over(along) - F.col("pos")) > WORDS
+        return ~F.col("exact") | F.coalesce(apart | (step("shift").over(along) != F.col("shift")), F.lit(True))
+
+    met = met.withColumn("left", ends(F.lag)).withColumn("right", ends(F.lead))
+    met = cut(met.select("doc_id", "pos", "ref_id", "shift", "left", "right", "exact"), "chains")
+    for table in (found, *used):
+        drop(table)
+    sides = F.filter(F.array(F.when(F.col("left"), 0), F.when(F.col("right"), 1)), lambda s: s.isNotNull())
+    asked = met.where("left OR right").select("doc_id", "pos", "ref_id", "shift", F.explode(sides).alias("side"))
+    ref_pos = F.col("pos") + F.col("shift")
+    places = asked.select("doc_id", "pos", "side").union(asked.select("ref_id", ref_pos, "side"))
+    table = sc.broadcast(bloom.make(places.mapInArrow(_keyed, "k long")))
+    near = texts.mapInArrow(_surroundings(table), "doc_id long, pos int, side int, words binary")
+    near = cut(near.select(F.xxhash64("doc_id", "pos", "side").alias("k"), "words"), "around")
     table.destroy()
-    own = ends.withColumn("k", place).join(near, "k").select("doc_id", "pos", "ref_id", "shift", F.xxhash64("ref_id", "ref_pos").alias("k"), F.col("around").alias("x"))
-    own = cut(own, "own")
-    sizes = cut(own.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "sizes")
-    both = join_hot(own, near, "k", sizes).where("around IS NOT NULL").select("doc_id", "pos", "ref_id", "shift", "x", F.col("around").alias("y"))
-    grown = both.mapInArrow(_extended, "doc_id long, ref_id long, a int, b int, shift int")
-    runs = met.where("NOT end").select("doc_id", "ref_id", F.col("pos").alias("a"), (F.col("pos") + WORDS).alias("b"), "shift").union(grown)
+    near = near.dropDuplicates(["k"])  # rows that share an id
+    own = asked.withColumn("k", F.xxhash64("doc_id", "pos", "side")).join(near.withColumnRenamed("words", "x"), "k").drop("k")
+    sizes = cut(asked.groupBy(F.xxhash64("ref_id", ref_pos, "side").alias("k")).agg(F.count(F.lit(1)).alias("c")), "sizes")
+    both = join_hot(own.withColumn("k", F.xxhash64("ref_id", ref_pos, "side")), near, "k", sizes).where("words IS NOT NULL")
+    grown = both.select("doc_id", "pos", "ref_id", "shift", "side", "x", "words").mapInArrow(_extended, "doc_id long, ref_id long, a int, b int, shift int")
+    runs = met.where("exact").select("doc_id", "ref_id", F.col("pos").alias("a"), (F.col("pos") + WORDS).alias("b"), "shift").union(grown)
     marks = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b", "shift", "ref_id"))).alias("runs"))
     merged = marks.mapInArrow(_merged, "doc_id long, first_word int, end_word int, keep_id long")
     return merged.withColumnRenamed("doc_id", id_col)

@@ -108,11 +108,11 @@ def test_bands():
 def test_links_of_contents_by_brute_force(spark):
     """Contents with the same words but the first or the last are linked, in crowds too; all others are not 0.8 alike."""
     rng = random.Random(2)
-    base = [b for b in (words(rng, WORDS) for _ in range(200)) if 0 in anchors(words_of(pa.array([" ".join(b)])))][:4]
+    base = [b for b in (words(rng, WORDS) for _ in range(200)) if 0 in anchors(words_of(pa.array([" ".join([*b, "tail"])])))][:4]
     texts = base + [b[:-1] + [f"x{i}"] for b in base[:3] for i in range(150)] + [[f"y{i}"] + b[1:] for b in base[1:3] for i in range(20)]
     texts += [b[:7] + ["z"] + b[8:] for b in base]
     # each of the base texts begins with a paragraph; only first paragraphs count here
-    w = words_of(pa.array([" ".join(t) for t in texts]))
+    w = words_of(pa.array([" ".join([*t, "tail"]) for t in texts]))
     at, content, _, early, late = paragraphs(w)
     some = np.flatnonzero(np.isin(at, w.bounds))
     rows = [(int(content[i].view(np.int64)), int(early[i].view(np.int64)), int(late[i].view(np.int64))) for i in some]
