@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, text_batches
+from .store import cut, drop, text_batches
 from .textvec import LOWER, U, chunks, mix, text_bytes, tidy, words_of
 
 DEPTH = 6
 ROOT = 3
-GROUP = 1 << 24
+GROUP = 1 << 23
 SHARD = 1 << 23
 HOT_WORDS = 1 << 18
 END_WORD = 0x5BD1E9955BD1E995
@@ -130,11 +130,22 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(U).ravel(), dtype=U)
 
 
-ASKED = ["grp", "shard", "n", "places", "counts", "rid", "doc_id", "held_out", "t"]
+ASKED = ["grp", "shard", "n", "places", "counts", "rows"]
+SENT = ["rid", "doc_id", "held_out", "t"]
+
+
+def _shipped(columns: list[pa.Array]) -> bytes:
+    """A record batch of rows, compressed."""
+    batch = pa.RecordBatch.from_arrays(columns, names=SENT)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _ask(depth: int, shards: int, group: int):
-    """Rows of texts with their group, and for each group and shard the group's places with their counts in training rows."""
+    """Compressed batches of texts (shard -1) with their group, and for each group and shard the group's places with their counts
+    in training rows."""
 
     @tidy
     def run(batches):
@@ -148,10 +159,10 @@ def _ask(depth: int, shards: int, group: int):
             blobs = [_packed(keys[m]) for m in mine]
             seen = [pa.compress(counts[m].astype(np.int64).tobytes(), codec="zstd", asbytes=True) for m in mine]
             m = len(some)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(some.astype(np.int32)), pa.array([len(x) for x in mine], pa.int32()), pa.array(blobs, pa.binary()), pa.array(seen, pa.binary()), *(pa.nulls(m, t) for t in types)], names=ASKED)
+            columns = [pa.array(np.full(m, number)), pa.array(some.astype(np.int32)), pa.array([len(x) for x in mine], pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary()), pa.array(seen, pa.binary()), pa.nulls(m, pa.binary())], names=ASKED)
 
         for batch in batches:
-            types = [c.type for c in batch.columns]
             for first, part in chunks(batch.column(3)):
                 out, at, bounds = padded(part, depth)
                 keys = _keys(out, at, depth)
@@ -161,7 +172,9 @@ def _ask(depth: int, shards: int, group: int):
                 held += [(teach, counts), (ask, np.zeros(len(ask), dtype=np.int64))]
                 size += len(keys)
                 m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(np.full(m, -1, dtype=np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *(batch.column(c).slice(first, m) for c in range(4))], names=ASKED)
+                sent = _shipped([batch.column(c).slice(first, m) for c in range(4)])
+                columns = [pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sent])]
+                yield pa.RecordBatch.from_arrays(columns, names=ASKED)
                 if size >= group:
                     yield asked()
                     number, held, size = number + 1, [], 0
@@ -394,20 +407,22 @@ def _score(depth: int, shards: int, hot):
     def run(table: pa.Table) -> pa.Table:
         values, logs = hot.value
         answers = table.filter(pa.compute.greater_equal(table.column("shard"), 0)).sort_by("shard")
-        texts = table.filter(pa.compute.less(table.column("shard"), 0)).select(["rid", "doc_id", "held_out", "t"]).combine_chunks()
-        column = texts.column("t").combine_chunks()
+        sent = table.filter(pa.compute.less(table.column("shard"), 0)).column("rows").to_pylist()
+        batches = [b for blob in sent for b in pa.ipc.open_stream(blob)]
+        # a chunk's places are sorted once; which of them each byte has is kept in 32 bits
         found = []
-        for _, part in chunks(column):
-            out, at, _ = padded(part, depth)
-            found.append(np.unique(_keys(out, at, depth)))
-        keys, _ = _folded(found, [np.zeros(len(k), dtype=np.int64) for k in found])
+        for texts in batches:
+            out, at, bounds = padded(texts.column("t"), depth)
+            places, which = np.unique(_keys(out, at, depth), return_inverse=True)
+            found.append((places, which.astype(np.int32), bounds))
+        keys, _ = _folded([f[0] for f in found], [np.zeros(len(f[0]), dtype=np.int64) for f in found])
         order, _ = _dealt(keys, depth, shards)
         told = np.empty(len(keys), dtype=np.float32)
         told[order] = np.frombuffer(b"".join(answers.column("logs").to_pylist()), dtype=np.float32)
         parts = []
-        for first, part in chunks(column):
-            out, at, bounds = padded(part, depth)
-            score = np.add.reduceat(told[np.searchsorted(keys, _keys(out, at, depth))].astype(np.float64), bounds[:-1])
+        for texts, (places, which, bounds) in zip(batches, found, strict=True):
+            part = texts.column("t")
+            score = np.add.reduceat(told[np.searchsorted(keys, places)].astype(np.float64)[which], bounds[:-1])
             w = words_of(part)
             n = len(part)
             h = np.concatenate([w.h, np.full(n, END_WORD, dtype=U)])
@@ -418,29 +433,34 @@ def _score(depth: int, shards: int, hot):
             value = np.where(known, logs[at] if len(values) else 0.0, 0.0)
             base = np.bincount(owner, weights=value[which], minlength=n)
             seen = np.bincount(owner, weights=known[which], minlength=n).astype(np.int64)
-            ids = [texts.column(c).combine_chunks().slice(first, n) for c in range(3)]
-            parts.append(pa.table([*ids, pa.array(w.counts() + 1), pa.array(seen), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=NAMES))
+            ids = [texts.column(c) for c in range(3)]
+            parts.append(pa.table([*ids, pa.array(w.counts() + 1), pa.array(seen), pa.array(base), pa.array(score), pa.array(np.diff(bounds)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=NAMES))
             rare = np.flatnonzero(~known[which])
             if len(rare):
                 order = rare[np.lexsort((which[rare], owner[rare]))]
                 new = np.flatnonzero(np.concatenate([[True], (which[order][1:] != which[order][:-1]) | (owner[order][1:] != owner[order][:-1])]))
                 times = np.diff(np.concatenate([new, [len(order)]])).astype(np.int32)
                 m = len(new)
-                parts.append(pa.table([ids[0].take(pa.array(owner[order[new]])), pa.nulls(m, ids[1].type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(h[order[new]].view(np.int64)), pa.array(times)], names=NAMES))
+                parts.append(pa.table([ids[0].take(pa.array(owner[order[new]])), pa.nulls(m, ids[1].type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.int64()), pa.array(h[order[new]].view(np.int64)), pa.array(times)], names=NAMES))
         return pa.concat_tables(parts)
 
     return run
 
 
-NAMES = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h", "times"]
+NAMES = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "h", "times"]
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, hot_words: int = HOT_WORDS, group: int = GROUP, shard: int = SHARD) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes code length) of every row; rows where ``held_out`` is false teach."""
+def score_texts(
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, hot_words: int = HOT_WORDS,
+    group: int = GROUP, shard: int = SHARD,
+) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row; rows where
+    ``held_out`` is false teach. ``n_bytes`` counts the end mark; ``bits_per_byte`` is the code length that the score means."""
     text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     held = F.coalesce(held_out, F.lit(False))
-    words = cut(docs.where(~held).select(F.col(text_col).alias("t")).mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    teaching = docs.where(~held).select(F.col(text_col).alias("t"))
+    words = cut(teaching.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("c").alias("v")).first()
     unit = total.n + total.v + 1
     top = words.orderBy(F.desc("c"), "h").limit(hot_words).toArrow()
@@ -450,16 +470,27 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("t"))
     shards = max(8, -(-(docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0) // shard))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    asked = cut(rows.mapInArrow(_ask(depth, shards, group), f"grp long, shard int, n int, places binary, counts binary, rid long, doc_id {id_type}, held_out boolean, t string"), "asked")
+    asked = cut(rows.mapInArrow(_ask(depth, shards, group), "grp long, shard int, n int, places binary, counts binary, rows binary"), "asked")
     places = asked.where("shard >= 0").select("grp", "shard", "n", "places", "counts")
     roots = places.groupBy("shard").applyInArrow(_roots(depth), "node long, n0 long, n1 long, w double")
     roots = roots.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("n0", "n1", "w"))).toArrow()
-    above = sc.broadcast(weigh_top(np.asarray(roots.column("node")).view(U), *(np.asarray(roots.column(x)) for x in ("n0", "n1", "w")), depth))
-    answers = places.groupBy("shard").applyInArrow(_answer(depth, above), "grp long, shard int, logs binary")
-    texts = asked.where("shard < 0").select("grp", "shard", F.lit(None).cast("binary").alias("logs"), "rid", "doc_id", "held_out", "t")
+    counted = (np.asarray(roots.column(x)) for x in ("n0", "n1", "w"))
+    above = sc.broadcast(weigh_top(np.asarray(roots.column("node")).view(U), *counted, depth))
+    answers = cut(places.groupBy("shard").applyInArrow(_answer(depth, above), "grp long, shard int, logs binary"), "answers")
+    above.destroy()
+    texts = asked.where("shard < 0").select("grp", "shard", F.lit(None).cast("binary").alias("logs"), "rows")
     met = texts.unionByName(answers, allowMissingColumns=True)
-    scored = cut(met.groupBy("grp").applyInArrow(_score(depth, shards, hot), f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times int"), "scored")
+    schema = f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, h long, times int"
+    scored = cut(met.groupBy("grp").applyInArrow(_score(depth, shards, hot), schema), "scored")
+    hot.destroy()
+    for table in (asked, answers):
+        drop(table)
     rare = scored.where("h IS NOT NULL").select("rid", "h", "times").join(words, "h", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(unit)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
+    more = F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(unit))))
+    rare = rare.groupBy("rid").agg(more.alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
     whole = scored.where("h IS NULL").join(rare, "rid", "left")
-    return whole.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    return whole.select(
+        F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
+        F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        "score", "n_bytes", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
+    )

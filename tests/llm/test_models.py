@@ -201,3 +201,11 @@ def test_every_context_counts_and_the_model_grows(spark):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
     deeper = {r.doc_id: r.score for r in score_texts(docs, held, group=30_000, shard=20_000).collect()}
     assert deeper[62] > -1.0 * len(twice)
+
+
+def test_the_tree_beats_word_frequencies_on_held_out_rows(spark):
+    """Code length per byte, and the held-out total against add-one word frequencies."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).where("held_out")
+    r = got.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count_if(F.col("score") > F.col("base_score")).alias("up"), F.count(F.lit(1)).alias("n"), F.min("bits_per_byte").alias("least")).first()
+    assert r.s > r.b and r.up > 0.9 * r.n and r.least > 0
