@@ -1,7 +1,7 @@
 """A fixed-size membership filter that is made where the keys are and sent to every task.
 
-The filter has ``2 ** BITS`` bits (8 MB) whatever the input, so its broadcast is bounded; where many keys saturate it, more
-rows pass and the exact join behind it does the work.
+The filter has ``2 ** BITS`` bits (16 MB) whatever the input, two for a key, so its broadcast is bounded; where many keys
+saturate it, more rows pass and the exact join behind it does the work.
 """
 
 from __future__ import annotations
@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from .textvec import U, mix
 
-BITS = 26
+BITS = 27
+
+
+def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key."""
+    first = mix(keys)
+    return first >> U(64 - BITS), mix(first + U(0x9E3779B97F4A7C15)) >> U(64 - BITS)
 
 
 def _words(batches):
     for batch in batches:
         keys = np.asarray(batch.column(0)).view(U)
         if len(keys):
-            at = mix(keys) >> U(64 - BITS)
-            word, where = np.unique(at >> U(6), return_inverse=True)
-            value = np.zeros(len(word), dtype=U)
-            np.bitwise_or.at(value, where, U(1) << (at & U(63)))
+            at = np.unique(np.concatenate(_bits(keys)))
+            word, first = np.unique(at >> U(6), return_index=True)
+            value = np.bitwise_or.reduceat(U(1) << (at & U(63)), first)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], names=["w", "v"])
 
 
@@ -44,5 +49,5 @@ def make(keys: DataFrame) -> np.ndarray:
 
 def maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys (uint64) may have been put in."""
-    at = mix(keys) >> U(64 - BITS)
-    return ((table[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).astype(bool)
+    one, two = (((table[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).astype(bool) for at in _bits(keys))
+    return one & two

@@ -32,7 +32,7 @@ from .textvec import LOWER, U, chunks, mix, text_bytes, tidy, words_of
 
 DEPTH = 6
 ROOT = 3
-GROUP = 1 << 23
+GROUP = 1 << 24
 SHARD = 1 << 23
 HOT_WORDS = 1 << 18
 END_WORD = 0x5BD1E9955BD1E995
@@ -392,11 +392,24 @@ def _roots(depth: int):
     return run
 
 
+def _packed_logs(logs: np.ndarray) -> bytes:
+    """log10 probabilities in steps of 2 ** -19 (an error of at most one millionth), three byte planes."""
+    steps = np.clip(np.rint(logs * -(1 << 19)), 0, (1 << 24) - 1).astype(np.uint32)
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_logs(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=3 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(3, n)
+    steps = planes[0].astype(np.int32) | planes[1].astype(np.int32) << 8 | planes[2].astype(np.int32) << 16
+    return steps * -(2.0**-19)
+
+
 def _answer(depth: int, top):
     def run(table: pa.Table) -> pa.Table:
         asked, keys, counts = _gathered(table)
         logs = place_logs(keys, counts, depth, top.value)
-        return pa.table({"grp": table.column("grp"), "shard": table.column("shard"), "logs": pa.array([logs[np.searchsorted(keys, k)].tobytes() for k in asked], pa.binary())})
+        blobs = [_packed_logs(logs[np.searchsorted(keys, k)]) for k in asked]
+        return pa.table({"grp": table.column("grp"), "shard": table.column("shard"), "n": table.column("n"), "logs": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -417,12 +430,12 @@ def _score(depth: int, shards: int, hot):
             found.append((places, which.astype(np.int32), bounds))
         keys, _ = _folded([f[0] for f in found], [np.zeros(len(f[0]), dtype=np.int64) for f in found])
         order, _ = _dealt(keys, depth, shards)
-        told = np.empty(len(keys), dtype=np.float32)
-        told[order] = np.frombuffer(b"".join(answers.column("logs").to_pylist()), dtype=np.float32)
+        told = np.empty(len(keys))
+        told[order] = np.concatenate([_unpacked_logs(b, n) for b, n in zip(answers.column("logs").to_pylist(), answers.column("n").to_pylist(), strict=True)])
         parts = []
         for texts, (places, which, bounds) in zip(batches, found, strict=True):
             part = texts.column("t")
-            score = np.add.reduceat(told[np.searchsorted(keys, places)].astype(np.float64)[which], bounds[:-1])
+            score = np.add.reduceat(told[np.searchsorted(keys, places)][which], bounds[:-1])
             w = words_of(part)
             n = len(part)
             h = np.concatenate([w.h, np.full(n, END_WORD, dtype=U)])
@@ -476,15 +489,14 @@ def score_texts(
     roots = roots.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("n0", "n1", "w"))).toArrow()
     counted = (np.asarray(roots.column(x)) for x in ("n0", "n1", "w"))
     above = sc.broadcast(weigh_top(np.asarray(roots.column("node")).view(U), *counted, depth))
-    answers = cut(places.groupBy("shard").applyInArrow(_answer(depth, above), "grp long, shard int, logs binary"), "answers")
-    above.destroy()
-    texts = asked.where("shard < 0").select("grp", "shard", F.lit(None).cast("binary").alias("logs"), "rows")
+    answers = places.groupBy("shard").applyInArrow(_answer(depth, above), "grp long, shard int, n int, logs binary")
+    texts = asked.where("shard < 0").select("grp", "shard", "n", F.lit(None).cast("binary").alias("logs"), "rows")
     met = texts.unionByName(answers, allowMissingColumns=True)
     schema = f"rid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, h long, times int"
     scored = cut(met.groupBy("grp").applyInArrow(_score(depth, shards, hot), schema), "scored")
-    hot.destroy()
-    for table in (asked, answers):
-        drop(table)
+    for sent in (hot, above):
+        sent.destroy()
+    drop(asked)
     rare = scored.where("h IS NOT NULL").select("rid", "h", "times").join(words, "h", "left")
     more = F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(unit))))
     rare = rare.groupBy("rid").agg(more.alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
