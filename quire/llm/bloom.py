@@ -1,6 +1,6 @@
 """A fixed-size membership filter that is made where the keys are and sent to every task.
 
-The filter has ``2 ** BITS`` bits (16 MB) whatever the input, two for a key, so its broadcast is bounded; where many keys
+The filter has ``2 ** BITS`` bits (8 MB) whatever the input, two for a key, so its broadcast is bounded; where many keys
 saturate it, more rows pass and the exact join behind it does the work.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .textvec import U, mix
 
-BITS = 27
+BITS = 26
 
 
 def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = cut(edges, "edges")
-    names = edges
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -39,5 +38,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     else:
         raise RuntimeError("components did not settle")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    del names
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("root", "node").alias("component"))

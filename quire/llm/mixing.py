@@ -8,7 +8,8 @@ of a range are sorted together.
 
 Everything is DataFrame expressions. Cases: a null text has size 0; a null source is a source of its own and comes last; a
 source without words has target 0; rows with the same id, size and source are alike and share the words in any order; an
-empty table gives an empty result; other columns are ignored (:func:`mixture` keeps them).
+empty table gives an empty result; other columns are ignored (:func:`mixture` keeps them). Targets are set over one row a
+source in single-task windows, which is meant for up to some hundred thousand different sources.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -68,7 +69,7 @@ def _prefixed(rows: DataFrame, share: float, most: float, weights: tuple[int, ..
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.col("budget") - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.withColumn("whole", whole).withColumn("part", part), targets
+    return placed.withColumn("whole", whole).withColumn("rest", rest).withColumn("part", part), targets
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix:", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -78,19 +79,32 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.select(F.col("doc_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix:", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The documents that the mix takes, all columns, with ``copies``: how often each is taken (the one on the cut counts whole).
+def mixture(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.5, most: float = 2.0, seed: str = "mix:", range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """The documents that the mix takes, all columns, with ``copies`` (how often each is taken, in part or whole) and ``taken``
+    (how many of its words, repeats counted): the document on the cut gives just the words that are left, so a source's words
+    sum up to its budget. Rows that share that document's id are each cut there. Where ``docs`` has columns of these names they
+    stay, and the new ones end in an underscore.
 
     The cut is one key a source, so the texts are not shuffled: each row is held against its source's key.
     """
     rows = cut(_sized(docs, id_col, text_col, source_col, seed), "sized")
     placed, targets = _prefixed(rows, share, most, weights, range_rows)
-    last = placed.where("part > 0").groupBy("sid").agg(F.max("key").alias("last_key"))
+    last = placed.where((F.col("part") > 0) & (F.col("before") + F.col("size") >= F.col("rest")))
+    last = last.groupBy("sid").agg(F.max(F.struct("key", "doc_id", "part")).alias("last"))
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    cuts = cut(targets.join(last.select("sid", "last_key"), "sid", "left").select(F.col("source").alias("_of"), whole.alias("_whole"), F.col("last_key").alias("_last_key")), "cuts")
-    keyed = docs.withColumn("_key", random_key(id_col, seed)).join(cuts, F.col(source_col).eqNullSafe(F.col("_of")))
-    copies = F.col("_whole") + F.when(F.col("_key") <= F.col("_last_key"), F.lit(1)).otherwise(F.lit(0))
-    return keyed.withColumn("copies", copies.cast("long")).where("copies > 0").drop("_key", "_of", "_whole", "_last_key")
+    of, key, copies, taken = (unused(docs, c) for c in ("mixed_of", "mix_key", "copies", "taken"))
+    cuts = targets.join(last, "sid", "left").select(F.struct(F.col("source").alias("of"), whole.alias("whole"), "last").alias(of))
+    keyed = docs.withColumn(key, random_key(id_col, seed)).join(cut(cuts, "cuts"), F.col(source_col).eqNullSafe(F.col(f"{of}.of")))
+    limit, size = F.col(f"{of}.last"), size_of(text_col)
+    on_cut = (F.col(key) == limit["key"]) & F.col(id_col).eqNullSafe(limit["doc_id"])
+    part = F.when(on_cut, F.least(limit["part"], size)).when(F.col(key) <= limit["key"], size).otherwise(F.lit(0))
+    once = F.when(F.col(key) <= limit["key"], F.lit(1)).otherwise(F.lit(0))
+    keyed = keyed.withColumn(copies, (F.col(f"{of}.whole") + once).cast("long"))
+    keyed = keyed.withColumn(taken, (F.col(f"{of}.whole") * size + part).cast("long"))
+    return keyed.where(F.col(copies) > 0).select(*docs.columns, copies, taken)
 
 
 OP1_SQL = r"""

@@ -9,9 +9,12 @@ becomes smallest distance by one added coordinate, sqrt(M - |x|^2), with M the l
 The index is a table (one row a shard, written to the shared folder), so searches in blocks of ``query_rows`` queries read it
 without building it again. Every valid row is indexed.
 
+Graphs are walked in single precision; results are scored on the original components in double precision.
+
 Cases: rows with a null id or a vector that is null, empty, zero, of another length than most, or with null or non-finite parts
-take no part; equal vectors tie by smaller id, and a node keeps its k + 1 smallest ids, as no query can return more of them;
-small shards are searched exactly; an empty table gives an empty result; other columns are ignored.
+take no part; rows that share an id are one vector, the smallest of theirs in order of components; equal vectors tie by smaller
+id, and a node keeps its k + 1 smallest ids, as no query can return more of them; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import cut
 
 SHARDS, SHARD_ROWS, QUERY_ROWS = 12, 100_000, 20_000
 DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 80, 1.2
-EXACT = 256
 
 
 def _dist(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -36,8 +39,11 @@ def _dist(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the ``beam`` nearest nodes met from ``start``, for each query; -1 where fewer were met."""
+def beam_search(
+    x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int, width: int = 4, met: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the ``beam`` nearest nodes met from ``start``, for each query; -1 where fewer were met. ``met`` is
+    scratch space of at least len(q) x len(x) False values, which is left as it was found."""
     b, n = len(q), len(x)
     ids = np.full((b, beam), -1, dtype=np.int64)
     ids[:, 0] = start
@@ -45,8 +51,9 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
     d[:, 0] = _dist(x, ids[:, :1], q)[:, 0]
     open_ = np.zeros((b, beam), dtype=bool)
     open_[:, 0] = True
-    met = np.zeros((b, n), dtype=bool)
-    met[:, start] = True
+    met = np.zeros((b, n), dtype=bool) if met is None else met
+    met[:b, start] = True
+    marked = []
     live = np.arange(b)
     while len(live):
         order = np.where(open_[live], d[live], np.inf)
@@ -60,7 +67,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         near[(near >= 0) & met[live[:, None], np.maximum(near, 0)]] = -1
         rows, cols = np.nonzero(near >= 0)
-        met[live[rows], near[rows, cols]] = True
+        marked.append((live[rows], near[rows, cols]))
+        met[marked[-1]] = True
         all_d = np.concatenate([d[live], _dist(x, near, q[live])], axis=1)
         all_ids = np.concatenate([ids[live], near], axis=1)
         all_open = np.concatenate([open_[live], near >= 0], axis=1)
@@ -69,6 +77,9 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         ids[~np.isfinite(d)] = -1
         open_ &= ids >= 0
         live = live[open_[live].any(axis=1)]
+    met[:b, start] = False
+    for places in marked:
+        met[places] = False
     return ids, d
 
 
@@ -103,11 +114,11 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     graph = np.full((n, degree), -1, dtype=np.int64)
     order = np.random.RandomState(seed).permutation(n)
     order = np.concatenate([[start], order[order != start]])
-    done = 1
+    done, met = 1, np.zeros((256, n), dtype=bool)
     while done < n:
         size = min(max(1, done // 2), 256, n - done)
         new = order[done : done + size]
-        ids, _ = beam_search(x, graph, start, x[new], beam)
+        ids, _ = beam_search(x, graph, start, x[new], beam, met=met)
         graph[new] = robust_prune(x, new, ids, degree, alpha)
         done += size
         src = np.repeat(new, degree)
@@ -138,52 +149,55 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
 
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten(), dtype=np.float32).reshape(len(flat), -1)
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
+
+
+def _wide(x: np.ndarray, top: float) -> np.ndarray:
+    """Single-precision vectors with the coordinate that turns inner products into distances."""
+    return np.concatenate([x, np.sqrt(np.maximum(0, top - (x.astype(np.float64) ** 2).sum(axis=1)))[:, None]], axis=1).astype(np.float32)
 
 
 def _index(top: float, keep: int):
     def run(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("vec_id"))
         raw = _matrix(table.column("embedding"))
-        order = np.lexsort((ids,))
+        order = np.argsort(ids, kind="stable")
         ids, raw = ids[order], np.ascontiguousarray(raw[order])
-        _, first, node = np.unique(raw.view(np.dtype((np.void, raw.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
+        bounds = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
+        own = [a if b - a == 1 else a + min(range(b - a), key=lambda i, a=a: raw[a + i].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids, raw = ids[own], raw[own]
+        _, first, node = np.unique(raw.view(np.dtype((np.void, raw.shape[1] * raw.itemsize))).ravel(), return_index=True, return_inverse=True)
         x = raw[first]
         by = np.argsort(node, kind="stable")
         rank = np.arange(len(by)) - np.searchsorted(node[by], node[by])
         held = rank < keep
-        wide = np.concatenate([x, np.sqrt(np.maximum(0, top - (x.astype(np.float64) ** 2).sum(axis=1)))[:, None].astype(np.float32)], axis=1)
-        graph, start = build_graph(wide) if len(x) > EXACT else (np.zeros((0, 0), dtype=np.int64), 0)
+        graph, start = build_graph(_wide(x, top))
         row = {"shard": [table.column("shard")[0].as_py()], "dim": [x.shape[1]], "start": [start], "vectors": [x.tobytes()], "edges": [graph.astype(np.int32).tobytes()], "node": [node[by][held].astype(np.int32).tobytes()], "ids": [ids[by][held].astype(np.int64).tobytes()]}
         return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("start", pa.int32()), ("vectors", pa.binary()), ("edges", pa.binary()), ("node", pa.binary()), ("ids", pa.binary())]))
 
     return run
 
 
-def _search(top: float, k: int, beam: int):
+def _search(top: float, k: int, beam: int, kind: str):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(key, index: pa.Table, queries: pa.Table) -> pa.Table:
         if not index.num_rows or not queries.num_rows:
             return schema.empty_table()
         row = {c: index.column(c)[0].as_py() for c in index.column_names}
-        x = np.frombuffer(row["vectors"], dtype=np.float32).reshape(-1, row["dim"])
+        x = np.frombuffer(row["vectors"], dtype=kind).reshape(-1, row["dim"])
         node, ids = np.frombuffer(row["node"], dtype=np.int32), np.frombuffer(row["ids"], dtype=np.int64)
         first = np.searchsorted(node, np.arange(len(x) + 1))
         q, qid = _matrix(queries.column("embedding")), np.asarray(queries.column("query_id"))
-        exact = x.astype(np.float64)
-        if row["edges"]:
-            graph = np.frombuffer(row["edges"], dtype=np.int32).reshape(len(x), -1).astype(np.int64)
-            wide = np.concatenate([x, np.sqrt(np.maximum(0, top - (exact**2).sum(axis=1)))[:, None].astype(np.float32)], axis=1)
+        graph, wide = np.frombuffer(row["edges"], dtype=np.int32).reshape(len(x), -1).astype(np.int64), _wide(x, top)
         out = [[], [], []]
         step = max(1, min(1024, 16_000_000 // len(x)))
+        met = np.zeros((step, len(x)), dtype=bool)
         for a in range(0, len(q), step):
             part = q[a : a + step]
-            if row["edges"]:
-                near, _ = beam_search(wide, graph, row["start"], np.concatenate([part, np.zeros((len(part), 1), dtype=np.float32)], axis=1), beam)
-            else:
-                near = np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
-            score = np.einsum("ijk,ik->ij", exact[np.maximum(near, 0)], part.astype(np.float64))
+            flat = np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32)
+            near, _ = beam_search(wide, graph, row["start"], flat, beam, met=met)
+            score = np.einsum("ijk,ik->ij", x[np.maximum(near, 0)].astype(np.float64), part.astype(np.float64))
             score[near < 0] = -np.inf
             for i in range(len(part)):
                 best = np.lexsort((ids[first[np.maximum(near[i], 0)]], -score[i]))[: k + 1]
@@ -203,11 +217,16 @@ def _search(top: float, k: int, beam: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = SHARDS, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = SHARDS,
+    shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, beam: int = SEARCH_BEAM,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by inner product of each row that ``is_query`` names."""
     v = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    single = vectors.schema[vector_col].dataType.elementType == T.FloatType()
+    v = v if single else v.cast("array<double>")
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     length = F.aggregate("embedding", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     stats = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("top")).orderBy(F.desc("n"), "dim").first()
     if stats is None:
@@ -218,8 +237,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     index = cut(dealt.groupBy("shard").applyInArrow(_index(stats.top, k + 1), "shard int, dim int, start int, vectors binary, edges binary, node binary, ids binary"), "index")
     blocks = max(1, -(-stats.n // (20 * query_rows)))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("shard"), block.alias("block"), F.col("vec_id").alias("query_id"), "embedding")
+    queries = rows.where("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("shard"), block.alias("block"), F.col("vec_id").alias("query_id"), "embedding")
     ready = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = ready.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(stats.top, k, beam), "query_id long, vec_id long, score double")
+    found = ready.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(stats.top, k, beam, "float32" if single else "float64"), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

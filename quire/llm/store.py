@@ -76,10 +76,10 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, shar
     """``rows.join(table, key, "left")`` without a hot key in one task. ``table`` has one row a key; ``sizes`` (key, c) counts the
     rows of each key. Keys that hold over 1 / ``share`` of all rows are fewer than ``share``, so theirs are broadcast."""
     total = sizes.agg(F.sum("c").alias("n")).first().n or 0
-    hot = sizes.where((F.col("c") * share > total) & (F.col("c") > least)).select(key)
-    found = cut(table.join(F.broadcast(hot), key, "left_semi"), "hot")
-    keys = F.broadcast(found.select(key))
-    return rows.join(keys, key, "left_anti").join(table, key, "left").unionByName(rows.join(F.broadcast(found), key))
+    hot = cut(sizes.where((F.col("c") * share > total) & (F.col("c") > least)).select(key), "hot")
+    found = cut(table.join(F.broadcast(hot), key, "left_semi"), "met")
+    crowd = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(found), key, "left")
+    return rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left").unionByName(crowd)
 
 
 def drop(df: DataFrame) -> None:

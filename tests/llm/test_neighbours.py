@@ -70,3 +70,27 @@ def test_every_node_can_be_reached():
         seen |= set(new)
         new = list(dict.fromkeys(new))
     assert len(seen) > 0.99 * len(x) and (graph >= 0).sum(axis=1).max() <= 24
+
+
+def test_doubles_and_repeated_rows(spark):
+    """Scores are exact in double precision; rows that share an id are one vector and one query."""
+    rng = np.random.RandomState(6)
+    vectors = {i: rng.randn(16).tolist() for i in range(400)}
+    rows = list(vectors.items()) + [(20, vectors[20]), (40, [9.0] + vectors[40][1:]), (7, vectors[7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collect(nearest(df, F.col("vec_id") % 20 == 0, shards=2))
+    assert all(len({v for v, _ in found}) == 20 for found in got.values()) and len(got) == 20
+    x = {i: np.array(v) for i, v in vectors.items()}
+    x[40] = np.array(min(vectors[40], [9.0] + vectors[40][1:]))
+    for q, found in got.items():
+        for v, s in found:
+            assert abs(s - x[v] @ x[q]) < 1e-12
+    want = {q: sorted(((v, float(x[v] @ x[q])) for v in x if v != q), key=lambda r: (-r[1], r[0]))[:20] for q in got}
+    assert recall(got, want) >= 0.9
+
+
+def test_graphs_are_built_for_small_shards():
+    """No size below which the graph is left out."""
+    x = np.random.RandomState(4).randn(30, 4).astype(np.float32)
+    graph, start = build_graph(x)
+    assert graph.shape[0] == 30 and (graph[start] >= 0).any()
