@@ -307,7 +307,7 @@ def _merged(batches):
 
 
 def _earlier(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, pos, ref_id, ref_pos, exact): each paragraph that an earlier document holds, with that place; and the tables that
+    """(doc_id, pos, h, ref_id, ref_pos, exact): each paragraph that an earlier document holds, with that place; and the tables that
     this reads."""
     contents = found.groupBy("h").agg(
         F.first("early").alias("early"), F.first("late").alias("late"), F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("c")
@@ -323,8 +323,9 @@ def _earlier(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     met = join_hot(found.select("doc_id", "pos", "h"), first, "h", contents.select("h", "c")).where("m IS NOT NULL")
     exact = F.col("m.doc_id") != F.col("doc_id")
     ref = F.when(exact, F.col("m")).when(F.col("gm.doc_id") != F.col("doc_id"), F.col("gm"))
-    met = met.select("doc_id", "pos", exact.alias("exact"), ref.alias("ref")).where("ref IS NOT NULL")
-    return met.select("doc_id", "pos", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"), "exact"), [contents, joined, groups, first]
+    met = met.select("doc_id", "pos", "h", exact.alias("exact"), ref.alias("ref")).where("ref IS NOT NULL")
+    met = met.select("doc_id", "pos", "h", F.col("ref.doc_id").alias("ref_id"), F.col("ref.pos").alias("ref_pos"), "exact")
+    return met, [contents, joined, groups, first]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,28 +339,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table.destroy()
     met, used = _earlier(found)
     along = Window.partitionBy("doc_id", "ref_id").orderBy("pos")
-    met = met.withColumn("shift", F.col("ref_pos") - F.col("pos"))
+    # a content said over and over is one chain along its first place
+    again = (F.lag("h").over(along) == F.col("h")) & (F.col("pos") - F.lag("pos").over(along) <= WORDS)
+    met = met.withColumn("new", ~F.coalesce(again, F.lit(False)))
+    begun = F.last(F.when(F.col("new"), F.col("ref_pos") - F.col("pos")), ignorenulls=True)
+    met = met.withColumn("shift", begun.over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     def ends(step) -> Column:
         apart = F.abs(step("pos").over(along) - F.col("pos")) > WORDS
         return ~F.col("exact") | F.coalesce(apart | (step("shift").over(along) != F.col("shift")), F.lit(True))
 
     met = met.withColumn("left", ends(F.lag)).withColumn("right", ends(F.lead))
-    met = cut(met.select("doc_id", "pos", "ref_id", "shift", "left", "right", "exact"), "chains")
+    met = cut(met.select("doc_id", "pos", "ref_id", "ref_pos", "shift", "left", "right", "exact"), "chains")
     for table in (found, *used):
         drop(table)
     sides = F.filter(F.array(F.when(F.col("left"), 0), F.when(F.col("right"), 1)), lambda s: s.isNotNull())
-    asked = met.where("left OR right").select("doc_id", "pos", "ref_id", "shift", F.explode(sides).alias("side"))
-    ref_pos = F.col("pos") + F.col("shift")
-    places = asked.select("doc_id", "pos", "side").union(asked.select("ref_id", ref_pos, "side"))
+    asked = met.where("left OR right").select("doc_id", "pos", "ref_id", "ref_pos", "shift", F.explode(sides).alias("side"))
+    places = asked.select("doc_id", "pos", "side").union(asked.select("ref_id", "ref_pos", "side"))
     table = sc.broadcast(bloom.make(places.mapInArrow(_keyed, "k long")))
     near = texts.mapInArrow(_surroundings(table), "doc_id long, pos int, side int, words binary")
     near = cut(near.select(F.xxhash64("doc_id", "pos", "side").alias("k"), "words"), "around")
     table.destroy()
     near = near.dropDuplicates(["k"])  # rows that share an id
     own = asked.withColumn("k", F.xxhash64("doc_id", "pos", "side")).join(near.withColumnRenamed("words", "x"), "k").drop("k")
-    sizes = cut(asked.groupBy(F.xxhash64("ref_id", ref_pos, "side").alias("k")).agg(F.count(F.lit(1)).alias("c")), "sizes")
-    both = join_hot(own.withColumn("k", F.xxhash64("ref_id", ref_pos, "side")), near, "k", sizes).where("words IS NOT NULL")
+    sizes = cut(asked.groupBy(F.xxhash64("ref_id", "ref_pos", "side").alias("k")).agg(F.count(F.lit(1)).alias("c")), "sizes")
+    both = join_hot(own.withColumn("k", F.xxhash64("ref_id", "ref_pos", "side")), near, "k", sizes).where("words IS NOT NULL")
     grown = both.select("doc_id", "pos", "ref_id", "shift", "side", "x", "words").mapInArrow(_extended, "doc_id long, ref_id long, a int, b int, shift int")
     runs = met.where("exact").select("doc_id", "ref_id", F.col("pos").alias("a"), (F.col("pos") + WORDS).alias("b"), "shift").union(grown)
     marks = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b", "shift", "ref_id"))).alias("runs"))
