@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
+from ..tables import written
 from .rules import PAGE_SCHEMA, classify, wants_fallback
-from .validate import page_valid
+from .validate import page_valid, require_batch
 
 
 def select_pages(pages: DataFrame) -> DataFrame:
@@ -55,12 +56,14 @@ def read_again(selected: DataFrame, reader: Callable[[str, list[int]], list[dict
     return selected.groupBy("doc_id").applyInPandas(run, PAGE_SCHEMA)
 
 
-def retry(pages: DataFrame, reader: Callable[[str, list[int]], list[dict]]) -> DataFrame:
-    """Select, read and merge. Nothing is started where no page is selected."""
-    selected = select_pages(pages).persist()
-    try:
-        if selected.isEmpty():
-            return pages
-        return merge(pages, selected, read_again(selected, reader))
-    finally:
-        selected.unpersist()
+def retry(pages: DataFrame, reader: Callable[[str, list[int]], list[dict]], check_batch: bool = False) -> DataFrame:
+    """Select, read and merge. Nothing is started where no page is selected. The selection and the pages that were read again are
+    written once, so a document is classified and read once, whatever reads the result.
+
+    ``check_batch`` holds the documents to the limits of one interactive batch (:func:`validate.require_batch`)."""
+    selected = written(select_pages(pages), "selected")
+    if selected.isEmpty():
+        return pages
+    if check_batch:
+        require_batch(selected.select(F.col("doc_id").alias("file")).distinct(), selected)
+    return merge(pages, selected, written(read_again(selected, reader), "read_again"))

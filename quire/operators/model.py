@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..functions import text as tf
+from ..tables import written
 from .rules import has_low_line, is_named
 from .validate import InvalidInput, answer_valid, check_options, local_origin
 
@@ -196,9 +197,11 @@ def classify_with_model(classified: DataFrame, backend: Backend | None, allow: b
     routed = route(classified, policy)
     if not allow and not routed.where("route <> 'keep'").isEmpty():
         raise InvalidInput("Model processing requires explicit authorisation to send page text.")
-    state = F.to_json(F.struct("page", "text"))
-    answers = ask_pages(routed.where("route = 'ask'").select(F.concat_ws("/", "doc_id", F.col("page").cast("string"), "textSha256").alias("key"), state.alias("state")), backend).withColumnRenamed("confidence", "answer_confidence").persist()
-    keyed = routed.withColumn("_page_key", F.concat_ws("/", "doc_id", F.col("page").cast("string"), "textSha256"))
+    key = F.concat_ws("/", "doc_id", F.col("page").cast("string"), "textSha256")
+    asked = routed.where("route = 'ask'").select(key.alias("key"), F.to_json(F.struct("page", "text")).alias("state"))
+    # answers cost money: they are written before anything reads them, so no call is made twice
+    answers = written(ask_pages(asked, backend), "answers").withColumnRenamed("confidence", "answer_confidence")
+    keyed = routed.withColumn("_page_key", key)
     return decide(keyed, answers, gate, "_page_key").drop("_page_key")
 
 

@@ -13,6 +13,7 @@ from ..functions import text as tf
 from ..functions.regexes import context_patterns, re2
 from ..operators import catalogue, evaluate, fallback, forms, model, review, rules, validate
 from ..sources.readers import split_form_feeds
+from ..tables import written
 from .synth import quote, synth_pages, synth_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,7 +152,7 @@ def p10_fallback_selector(spark, sf_dir):
   array_to_string(CASE WHEN {_PICK} AND k % 2 = 0 THEN [] WHEN {_PICK} THEN list_concat(coalesce(warnings, []), ['{tx.FALLBACK_FAILED}']) ELSE coalesce(warnings, []) END, ',') AS warnings FROM r""")
 def j2_fallback_merge(spark, sf_dir):
     pages = synth_pages(spark, sf_dir)
-    chosen = rules.classify(pages).where(rules.wants_fallback()).select("doc_id", "page", "k")
+    chosen = written(rules.classify(pages).where(rules.wants_fallback()).select("doc_id", "page", "k"), "selected")
     text = F.concat(F.lit("Tax invoice\nGST 1\nTotal "), F.col("k").cast("string"))
     again = chosen.where("k % 2 = 0").select("doc_id", "page", text.alias("text"), F.lit("ocr").alias("extraction"), F.array().cast("array<string>").alias("warnings"), F.lit(tx.ENGINES[1]).alias("ocr_engine"), F.array(*[F.lit(0.9)] * 3).alias("ocr_line_confidence"))
     merged = fallback.merge(pages, chosen.select("doc_id", "page"), again)
@@ -520,12 +521,6 @@ def v10_gates(spark, sf_dir):
     return evaluate.gates(evaluate.totals(rows, by=("dataset",)), seen).select("dataset", "cases", "correct", "missing", "passed")
 
 
-@query("""SELECT quality, count(*) AS rows, count_if(quality = toxic) AS equal, count_if(quality = toxic) / count(*) AS share FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
-def a3_label_agreement(spark, sf_dir):
-    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return rows.groupBy("quality").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("quality") == F.col("toxic")).alias("equal"), F.try_divide(F.count_if(F.col("quality") == F.col("toxic")), F.count(F.lit(1))).alias("share"))
-
-
 @query("""SELECT l_returnflag AS flag, median(l_quantity) AS median, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1""")
 def a14_medians(spark, sf_dir):
     return evaluate.median_ms(_table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag"), "flag", "l_quantity")
@@ -538,7 +533,8 @@ _DEC = f"""{RULES}, dc AS (SELECT *, k AS pg, CASE k % 6 WHEN 0 THEN NULL WHEN 1
 
 def _reviewed(spark, sf_dir):
     k = F.col("k")
-    results = _classified(spark, sf_dir).withColumn("page", k)
+    shown = ("page", "textSha256", "documentType", "method", "confidence", "reason", "k", "truth")
+    results = written(_classified(spark, sf_dir).withColumn("page", k).select(*shown), "results")
     decisions = results.select("page", "textSha256", F.when(k % 6 == 0, F.lit(None)).when(k % 6 == 1, F.col("truth")).when(k % 6 == 2, "unknown").when(k % 6 == 3, "receipt").otherwise(F.col("documentType")).alias("decision"))
     return results, review.joined(results, decisions, "0", "0")
 

@@ -7,9 +7,9 @@ this library: a reader takes a function from a file's bytes to page records, loa
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Callable, Iterable
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -84,14 +84,18 @@ def read_pdf_pages(spark: SparkSession, path: str, extractor: Callable[[bytes],
 
 
 def ocr_page(page: int, lines: list[tuple[str, float]], engine: str = tx.ENGINES[1]) -> dict:
-    """A page record from recognised lines and scores: the score of a line holds for each line break in it."""
-    text = "\n".join(t for t, _ in lines)
-    conf = [float(s) for t, s in lines for _ in t.split("\n")]
-    if not text.strip() or not lines:
-        conf, warnings = [0.0] * len(text.split("\n")), ["paddle_ocr_requires_review"]
-    else:
-        warnings = [tx.LOW_LINES] if min(s for _, s in lines) < tx.RELIABLE else []
-    return {"page": page, "text": text, "extraction": "ocr", "warnings": warnings, "ocr_engine": engine, "ocr_line_confidence": conf}
+    """A page record from what an engine recognised: (text, score) pairs, whose text may itself hold line breaks.
+
+    A score that is no number from 0 to 1 is an error of the engine, which the caller treats as a failed reading."""
+    printed = [(part, float(score)) for said, score in lines for part in said.split("\n")]
+    if any(not 0 <= score <= 1 for _, score in printed):
+        raise ValueError("an OCR score is not between 0 and 1")
+    record = {"page": page, "text": "\n".join(part for part, _ in printed), "extraction": "ocr", "ocr_engine": engine}
+    if any(part.strip() for part, _ in printed):
+        shaky = any(score < tx.RELIABLE for _, score in printed)
+        return record | {"warnings": [tx.LOW_LINES] * shaky, "ocr_line_confidence": [score for _, score in printed]}
+    # nothing readable: one unreliable line at least, so that no rule relies on the page
+    return record | {"warnings": ["paddle_ocr_requires_review"], "ocr_line_confidence": [0.0] * max(1, len(printed))}
 
 
 def read_pages(spark: SparkSession, path: str, extractor: Callable[[bytes], Iterable[dict]] | None = None) -> DataFrame:
@@ -140,19 +144,44 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", "d.*")
 
 
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def _said(node: ElementTree.Element) -> str:
+    """The text of a string item: its runs joined, without phonetic readings."""
+    if _local(node.tag) == "rPh":
+        return ""
+    return (node.text or "" if _local(node.tag) == "t" else "") + "".join(map(_said, node))
+
+
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The path of the first sheet in the workbook's order."""
+    sheet = next(n for n in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(n.tag) == "sheet")
+    wanted = next(v for k, v in sheet.attrib.items() if _local(k) == "id")
+    links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(n.get("Target") for n in links if n.get("Id") == wanted)
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
 def xlsx_first_cells(content: bytes) -> list[str]:
-    """First cell of each row of a workbook's first sheet."""
+    """What the first cell of each row of a workbook's first sheet says, white space folded; rows whose first cell is empty are
+    left out. Shared, inline and formula strings are read, in any namespace."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = [re.sub(r"<[^>]+>", "", s).replace("&amp;", "&") for s in re.findall(r"<si>(.*?)</si>", book.read("xl/sharedStrings.xml").decode(), re.S)]
-        sheet = book.read("xl/worksheets/sheet1.xml").decode()
-    out = []
-    for row in re.findall(r"<row[^>]*>(.*?)</row>", sheet, re.S):
-        cell = re.search(r"<c\b([^>]*)>(.*?)</c>", row, re.S)
-        value = cell and re.search(r"<v>(.*?)</v>", cell[2])
-        if value:
-            text = shared[int(value[1])] if 't="s"' in cell[1] else value[1]
-            out.append(re.sub(r"\s+", " ", text).strip())
-    return out
+        names = set(book.namelist())
+        whole = {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names
+        sheet = ElementTree.fromstring(book.read(_first_sheet(book) if whole else "xl/worksheets/sheet1.xml"))
+        strings = ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else ()
+    shared = [_said(item) for item in strings if _local(item.tag) == "si"]
+    found = []
+    for row in (n for n in sheet.iter() if _local(n.tag) == "row"):
+        cell = next(iter(row), None)
+        parts = {} if cell is None else {_local(n.tag): n for n in cell}
+        if "is" in parts:
+            found.append(_said(parts["is"]))
+        elif "v" in parts and parts["v"].text:
+            found.append(shared[int(parts["v"].text)] if cell.get("t") == "s" else parts["v"].text)
+    return [" ".join(text.split()) for text in found if text.strip()]
 
 
 def read_form_names(spark: SparkSession, path: str) -> DataFrame:

@@ -185,11 +185,40 @@ def test_fallback_replaces_or_flags_whole_documents(spark):
     wrong = fallback.retry(pages, lambda doc, numbers: [readers.ocr_page(n + 1, [("t", 0.9)]) for n in numbers])
     assert {r.doc_id for r in wrong.where(F.array_contains("warnings", tx.FALLBACK_FAILED)).collect()} == {"a", "b"}
     assert readers.ocr_page(1, [])["warnings"] == ["paddle_ocr_requires_review"] and readers.ocr_page(1, [])["ocr_line_confidence"] == [0.0]
+    for lines in ([("a", 1.5)], [("a", float("nan"))]):
+        with pytest.raises(ValueError):
+            readers.ocr_page(1, lines)
     assert fallback.retry(pages.where("doc_id = 'c'"), None).count() == 1
+    with pytest.raises(validate.InvalidInput):
+        fallback.retry(pages, reader, check_batch=True)
     with pytest.raises(validate.InvalidInput):
         validate.require_batch(spark.createDataFrame([("x.txt",)], "file string"), pages)
 
 
+def test_a_document_is_read_once(spark, tmp_path):
+    """One call a document, however often the result is read; each call leaves a file."""
+    pages = spark.createDataFrame(PAGES, rules.PAGE_SCHEMA)
+
+    def reader(doc, numbers):
+        import uuid
+
+        (tmp_path / f"{doc}-{uuid.uuid4().hex}").write_text("")
+        return [readers.ocr_page(n, [("Receipt", 0.9)]) for n in numbers]
+
+    got = fallback.retry(pages, reader)
+    assert got.count() == len(PAGES) and got.where("extraction = 'ocr'").count() == 2
+    assert sorted(f.name[0] for f in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_reviews_and_second_readings_classify_once(spark, small):
+    """The rules are not copied into each branch of the plan."""
+    from quire.plans.queries import QUERIES
+
+    for name in ("j2_fallback_merge", "r2_per_category", "r2_review_counts", "r2_by_method", "r2_labels"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") < 100, name
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ftwo\f")
     got = [(r.page, r.text) for r in readers.read_pages(spark, str(tmp_path / "a.txt")).orderBy("page").collect()]
