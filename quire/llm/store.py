@@ -74,12 +74,16 @@ def unused(df: DataFrame, name: str) -> str:
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, share: int = 500, least: int = 100) -> DataFrame:
     """``rows.join(table, key, "left")`` without a hot key in one task. ``table`` has one row a key; ``sizes`` (key, c) counts the
-    rows of each key. Keys that hold over 1 / ``share`` of all rows are fewer than ``share``, so theirs are broadcast."""
+    rows of each key. A key that holds over 1 / ``share`` of all rows is salted, so that no salted key does; such keys are fewer
+    than ``share`` (they are broadcast), and their rows of ``table`` are repeated at most 2 * ``share`` times in all."""
     total = sizes.agg(F.sum("c").alias("n")).first().n or 0
-    hot = cut(sizes.where((F.col("c") * share > total) & (F.col("c") > least)).select(key), "hot")
-    found = cut(table.join(F.broadcast(hot), key, "left_semi"), "met")
-    crowd = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(found), key, "left")
-    return rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left").unionByName(crowd)
+    hot = sizes.where((F.col("c") * share > total) & (F.col("c") > least))
+    hot = F.broadcast(cut(hot.select(key, F.ceil(F.col("c") * share / F.lit(max(total, 1))).cast("int").alias("_m")), "hot"))
+    others = [c for c in rows.columns if c != key] or [key]
+    salt = F.pmod(F.xxhash64(*others), F.coalesce("_m", F.lit(1))).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)) - 1))
+    salted = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_m")
+    return salted.join(table.join(hot, key, "left").withColumn("_salt", salts).drop("_m"), [key, "_salt"], "left").drop("_salt")
 
 
 def drop(df: DataFrame) -> None:

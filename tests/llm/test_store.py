@@ -1,6 +1,8 @@
 import pathlib
 
-from quire.llm.store import clear, cut, drop, shared_dir
+from pyspark.sql import functions as F
+
+from quire.llm.store import clear, cut, drop, join_hot, shared_dir, unused
 
 
 def test_tables_are_written_and_dropped(spark):
@@ -13,3 +15,19 @@ def test_tables_are_written_and_dropped(spark):
     clear(spark)
     assert not list(folder.glob(f"quire-{spark.sparkContext.applicationId}/*"))
     assert cut(spark.range(3).where("false"), "c").count() == 0
+
+
+def test_hot_keys_are_salted(spark):
+    """The same rows as a plain left join, with a key that holds half of all rows, one without a partner, and null keys."""
+    k = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, 9).when(F.col("id") % 11 == 0, None).otherwise(F.col("id"))
+    rows = spark.range(3000).select(k.alias("k"), F.col("id").alias("v"))
+    table = rows.where("k < 2000 AND k <> 9").groupBy("k").agg(F.min("v").alias("least"))
+    sizes = rows.groupBy("k").agg(F.count("v").alias("c"))
+    got = join_hot(rows, table, "k", sizes)
+    assert got.columns == ["k", "v", "least"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", "left").collect()))
+
+
+def test_unused_names(spark):
+    df = spark.range(1).select(F.lit(1).alias("A"), F.lit(2).alias("a_"))
+    assert unused(df, "a") == "a__" and unused(df, "b") == "b"
