@@ -14,9 +14,11 @@ from .rules import PAGE_SCHEMA, classify, wants_fallback
 from .validate import page_valid, require_batch
 
 
-def select_pages(pages: DataFrame) -> DataFrame:
-    """(doc_id, page) of pages to read again; documents without any do not appear."""
-    return classify(pages).where(wants_fallback()).select("doc_id", "page")
+def select_pages(pages: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, page, also) of pages to read again; documents without any do not appear. The classification is written before its
+    outcome is tested, as a test on a lazy one would copy the rules."""
+    found = written(classify(pages).select("doc_id", "page", *also, "extraction", "documentType"), "classified")
+    return found.where(wants_fallback()).select("doc_id", "page", *also)
 
 
 def align_responses(jobs: DataFrame, responses: DataFrame) -> DataFrame:
@@ -57,11 +59,11 @@ def read_again(selected: DataFrame, reader: Callable[[str, list[int]], list[dict
 
 
 def retry(pages: DataFrame, reader: Callable[[str, list[int]], list[dict]], check_batch: bool = False) -> DataFrame:
-    """Select, read and merge. Nothing is started where no page is selected. The selection and the pages that were read again are
-    written once, so a document is classified and read once, whatever reads the result.
+    """Select, read and merge. Nothing is started where no page is selected. The classification and the pages that were read again
+    are written once, so a document is classified and read once, whatever reads the result.
 
     ``check_batch`` holds the documents to the limits of one interactive batch (:func:`validate.require_batch`)."""
-    selected = written(select_pages(pages), "selected")
+    selected = select_pages(pages)
     if selected.isEmpty():
         return pages
     if check_batch:

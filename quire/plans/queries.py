@@ -152,7 +152,7 @@ def p10_fallback_selector(spark, sf_dir):
   array_to_string(CASE WHEN {_PICK} AND k % 2 = 0 THEN [] WHEN {_PICK} THEN list_concat(coalesce(warnings, []), ['{tx.FALLBACK_FAILED}']) ELSE coalesce(warnings, []) END, ',') AS warnings FROM r""")
 def j2_fallback_merge(spark, sf_dir):
     pages = synth_pages(spark, sf_dir)
-    chosen = written(rules.classify(pages).where(rules.wants_fallback()).select("doc_id", "page", "k"), "selected")
+    chosen = fallback.select_pages(pages, "k")
     text = F.concat(F.lit("Tax invoice\nGST 1\nTotal "), F.col("k").cast("string"))
     again = chosen.where("k % 2 = 0").select("doc_id", "page", text.alias("text"), F.lit("ocr").alias("extraction"), F.array().cast("array<string>").alias("warnings"), F.lit(tx.ENGINES[1]).alias("ocr_engine"), F.array(*[F.lit(0.9)] * 3).alias("ocr_line_confidence"))
     merged = fallback.merge(pages, chosen.select("doc_id", "page"), again)
