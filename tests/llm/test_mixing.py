@@ -53,7 +53,7 @@ def test_odd_rows(odd, empty):
     got = mix_sources(odd)
     assert got.count() == odd.count() and got.where("taken > 2 * size OR taken < 0").count() == 0
     assert mix_sources(empty).count() == 0 and mixture(empty).count() == 0
-    assert set(mixture(odd).columns) == {*odd.columns, "copies"}
+    assert set(mixture(odd).columns) == {*odd.columns, "copies", "taken"}
 
 
 def test_mixture_takes_the_same_documents(documents):
