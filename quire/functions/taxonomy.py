@@ -108,6 +108,33 @@ FAMILIES: dict[str, str] = {
     "form-5713": "Form 5713 (International Boycott Report) or its Schedules A, B, C",
 }
 NOT_LISTED = "not_in_this_list"
+NOT_LISTED_WHAT = "The page belongs to a form or schedule that is NOT one of the options above"
+NOT_A_MEMBER_WHAT = "The page belongs to a form that is NOT one of the options above"
+# What a model is asked about a page, and what the kinds of pages are.
+KIND_QUESTION = "What kind of page is this?"
+FORM_QUESTION = (
+    'Which IRS form (or form family) is this page from? Read the form number and title in the header and the footer line (e.g. "Form 8880 (2025)", "Schedule A (Form 1040)"). '
+    "An instructions page belongs to the form it instructs. If the form is not among the options, choose not_in_this_list."
+)
+MEMBER_QUESTION = (
+    "Which specific form or schedule is this page from? All options belong to: {family}. "
+    "Read the form number in the header and footer; an instructions page belongs to the form it instructs."
+)
+KIND_OPTIONS: dict[str, dict] = {
+    "form_page": {
+        "what": "A page with at least one fillable entry (numbered lines, boxes, name/TIN fields), even if it also carries instruction text",
+        "examples": ["1 Wages, tips, other compensation $", "Name(s) shown on return  Your social security number", "Line 7 Subtract line 6 from line 5"],
+    },
+    "instructions": {
+        "what": "Only instruction prose — who must file, definitions, box explanations — with no fillable entry anywhere on the page",
+        "examples": ["Instructions for Recipient", "General Instructions", "Purpose of Form", "Future Developments"],
+    },
+    "blank": {"what": "A blank page or one that says it is intentionally left blank; little or no text"},
+    "cover_sheet": {"what": "A cover or notice page (Attention notices, filing warnings, transmittal sheets)"},
+    "state_tax_form": {"what": "A STATE or local income tax form or schedule (e.g. California 540, New York IT-201, New Jersey NJ-1040), issued by a state agency, not the IRS"},
+    "broker_or_bank_statement": {"what": "A brokerage, bank, payroll or custodian statement: consolidated 1099 summary pages, account summaries, transaction detail, realized gain/loss reports"},
+    "letter_or_other": {"what": "Any other page: a cover letter, engagement letter, invoice, filing instructions, e-file authorization, preparer worksheet, or notice"},
+}
 USD_PER_MILLION_TOKENS = 0.042
 
 # Benchmark file stems and the forms that they hold.

@@ -76,7 +76,7 @@ def assert_gates(scores: DataFrame, categories_seen: DataFrame) -> None:
         raise InvalidInput(f"Quality gate failed: {', '.join(sorted(failed))}")
 
 
-def model_metrics(sent: DataFrame, gate: float = tx.GATE) -> DataFrame:
+def model_metrics(sent: DataFrame, gate: float = tx.GATE, by: tuple[str, ...] = ()) -> DataFrame:
     """Metrics of raw answers: rows (id, truth, answered, valid, choice, confidence, truncated), one for each page sent."""
     ok = F.col("answered") & F.col("valid")
     right, wrong = ok & (F.col("choice") == F.col("truth")), ok & (F.col("choice") != F.col("truth"))
@@ -84,7 +84,7 @@ def model_metrics(sent: DataFrame, gate: float = tx.GATE) -> DataFrame:
     def mean(which: Column) -> Column:
         return F.round(F.avg(F.when(which, F.col("confidence"))), 3)
 
-    return sent.agg(
+    return sent.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pagesSent"), F.count_if(~F.col("answered")).alias("failed"), F.count_if(F.col("answered") & ~F.col("valid")).alias("invalid"), F.count_if(ok).alias("valid"),
         F.count_if(right).alias("correct"), F.round(F.try_divide(F.count_if(right), F.count_if(ok)), 3).alias("accuracy"), F.count_if(right & (F.col("confidence") >= gate)).alias("correctAtGate"),
         F.count_if(wrong & (F.col("confidence") >= gate)).alias("wrongAtGate"), mean(right).alias("meanConfidenceCorrect"), mean(wrong).alias("meanConfidenceWrong"), F.count_if(ok & F.col("truncated")).alias("truncated"),

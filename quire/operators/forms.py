@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import taxonomy as tx
 from ..functions import text as tf
-from .model import best
+from ..tables import written
+from .model import Backend, ask_states, best, union_all
 from .validate import InvalidInput
 
 CRITERIA_SCHEMA = "id string, label string, title string, page_count int, parent string, boxes array<string>, not_for array<string>"
@@ -32,7 +33,7 @@ def first_list(criteria: DataFrame) -> DataFrame:
     plain = option(roots)
     family = F.col("id").isin(*tx.FAMILIES)
     plain = plain.select("id", F.when(family, F.try_element_at(described, F.col("id"))).otherwise(F.col("what")).alias("what"), F.when(~family, F.col("examples")).alias("examples"), F.when(~family, F.col("not_for")).alias("not_for"))
-    out = criteria.sparkSession.createDataFrame([(tx.NOT_LISTED, "The page belongs to a form or schedule that is NOT one of the options above", None, None)], "id string, what string, examples array<string>, not_for string")
+    out = criteria.sparkSession.createDataFrame([(tx.NOT_LISTED, tx.NOT_LISTED_WHAT, None, None)], "id string, what string, examples array<string>, not_for string")
     return plain.withColumn("last", F.lit(0)).unionByName(out.withColumn("last", F.lit(1))).orderBy("last", "id").drop("last")
 
 
@@ -46,6 +47,55 @@ def criteria_dict(options: DataFrame) -> dict[str, dict]:
     return {r.id: {k: v for k, v in (("what", r.what), ("examples", r.examples), ("not_for", r.not_for)) if v is not None} for r in options.collect()}
 
 
+def first_questions(criteria: DataFrame) -> dict:
+    """What every page is asked in its first call: its kind, and its form or family."""
+    listed = criteria_dict(first_list(criteria))
+    return {
+        "kind": {"type": "choice", "instructions": tx.KIND_QUESTION, "criteria": tx.KIND_OPTIONS},
+        "form": {"type": "choice", "instructions": tx.FORM_QUESTION, "criteria": listed},
+    }
+
+
+def member_questions(criteria: DataFrame, family: str) -> dict:
+    """What a page of a family is asked in its second call."""
+    options = criteria_dict(option(members(criteria, family)).orderBy("id")) | {tx.NOT_LISTED: {"what": tx.NOT_A_MEMBER_WHAT}}
+    return {"sub": {"type": "choice", "instructions": tx.MEMBER_QUESTION.format(family=tx.FAMILIES[family]), "criteria": options}}
+
+
+def classify_pages(pages: DataFrame, criteria: DataFrame, backend: Backend, gate: float = tx.GATE) -> DataFrame:
+    """The two-step run over pages (doc_id, page, lines, others): adds the fields of :data:`RESULT_FIELDS`.
+
+    A page that is not blank is asked its kind and form in one call; one whose first choice is a family is asked for the member in
+    another, a stage for each of the fixed families. Answers are written before they are read, so no call is made twice; rows that
+    share doc_id and page share their answers. Where a call fails, the page has an empty form with confidence -1 and no kind, and
+    is never gated. The catalogue is one row a form and is read once."""
+    catalogue = criteria.select("id", "parent").collect()
+    families = sorted({r.parent for r in catalogue} & set(tx.FAMILIES) | {r.id for r in catalogue} & set(tx.FAMILIES))
+    questions = first_questions(criteria)
+    first_order = F.array(*map(F.lit, questions["form"]["criteria"]))
+    key = F.concat_ws("/", F.col("doc_id"), F.col("page").cast("string"))
+    keyed = pages.withColumn("_page_key", key)
+    states = written(keyed.where(~tf.is_blank_page(F.col("lines"))).select(F.col("_page_key").alias("key"), F.to_json(tf.page_state(F.col("lines"))).alias("state")), "states")
+    said = written(ask_states(states, backend, questions), "first_answers")
+    form, kind = F.try_element_at("answers", F.lit("form")), F.try_element_at("answers", F.lit("kind"))
+    first = said.select(
+        F.col("key").alias("_page_key"), kind["choice"].alias("kind_choice"), kind["confidence"].alias("kind_confidence"), form["probabilities"].alias("form_probabilities"),
+        F.col("input_tokens").alias("tokens1"), best(form["probabilities"], first_order, tx.NOT_LISTED)["key"].alias("_family"),
+    )
+    empty = states.sparkSession.createDataFrame([], "_page_key string, sub_probabilities map<string, double>, tokens2 bigint")
+    parts, orders = [empty], F.array().cast("array<string>")
+    for family in families:
+        asked = member_questions(criteria, family)
+        chosen = states.join(first.where(F.col("_family") == family).select(F.col("_page_key").alias("key")), "key", "left_semi")
+        sub = F.try_element_at("answers", F.lit("sub"))["probabilities"]
+        parts.append(ask_states(chosen, backend, asked).select(F.col("key").alias("_page_key"), sub.alias("sub_probabilities"), F.col("input_tokens").alias("tokens2")))
+        orders = F.when(F.col("_family") == family, F.array(*map(F.lit, asked["sub"]["criteria"]))).otherwise(orders)
+    second = written(union_all(parts), "second_answers")
+    ready = keyed.join(first, "_page_key", "left").join(second, "_page_key", "left")
+    out = decide_forms(ready, first_order, orders, gate)
+    return out.select(*pages.columns, *(c for c in RESULT_FIELDS))
+
+
 def decide_forms(pages: DataFrame, option_order: Column, member_order: Column, gate: float = tx.GATE) -> DataFrame:
     """Adds the result to pages that carry lines and the answers: kind_choice, kind_confidence, form_probabilities, tokens1,
     and, for pages whose first choice is a family, sub_probabilities and tokens2.

@@ -13,13 +13,13 @@ from .validate import SHA256, InvalidInput
 SUMMARY_SCHEMA = "au-review-summary-1"
 
 
-def decision_template(results: DataFrame, manifest_sha256: str) -> DataFrame:
-    """One undecided row a result, with the suggestion beside it."""
+def decision_template(results: DataFrame, manifest_sha256: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """One undecided row a result, with the suggestion beside it; ``by`` names columns that tell manifests apart."""
     import re
 
     if not re.match(SHA256.replace(r"\z", r"\Z"), manifest_sha256):
         raise InvalidInput("manifestSha256 must be the hex SHA-256 of the manifest file.")
-    return results.select("page", "textSha256", F.col("documentType").alias("suggested"), F.lit(None).cast("string").alias("decision"))
+    return results.select(*by, "page", "textSha256", F.col("documentType").alias("suggested"), F.lit(None).cast("string").alias("decision"))
 
 
 def joined(results: DataFrame, decisions: DataFrame, manifest_sha256: str, decisions_sha256: str) -> DataFrame:

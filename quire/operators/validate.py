@@ -99,6 +99,21 @@ def decision_valid() -> Column:
     return is_page_number(F.col("page")) & F.coalesce(F.col("textSha256").rlike(SHA256), F.lit(False)) & F.coalesce(decided.isin(*tx.OUTCOMES), decided.isNull()) & F.coalesce(suggested.isin(*tx.OUTCOMES), suggested.isNull())
 
 
+def decisions_report(decisions: DataFrame, by: str = "file") -> DataFrame:
+    """(by, decisions, faulty, repeated, valid): each file has 1 to 500 sound decisions, one a page."""
+    pages = decisions.groupBy(by, "page").agg(F.count(F.lit(1)).alias("n"), F.count_if(~decision_valid()).alias("bad"))
+    report = pages.groupBy(by).agg(F.sum("n").alias("decisions"), F.sum("bad").alias("faulty"), F.count_if(F.col("n") > 1).alias("repeated"))
+    return report.withColumn("valid", F.col("decisions").between(1, tx.MAX_PAGES) & (F.col("faulty") == 0) & (F.col("repeated") == 0))
+
+
+def batch_report(selected: DataFrame, by: str = "batch", file: str = "file") -> DataFrame:
+    """(by, documents, pages, valid) from rows (by, file, page) of pages to be read again: 1 to 50 PDF files and at most 500 pages."""
+    files = selected.groupBy(by, file).agg(F.count(F.lit(1)).alias("n"))
+    report = files.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("pages"), F.bool_and(F.lower(file).endswith(".pdf")).alias("_pdf"))
+    valid = F.coalesce("_pdf", F.lit(False)) & F.col("documents").between(1, MAX_BATCH) & (F.col("pages") <= tx.MAX_PAGES)
+    return report.select(by, "documents", "pages", valid.alias("valid"))
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -21,10 +21,14 @@ def manifest_json(results: DataFrame, with_model: bool = False) -> DataFrame:
     return rows.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def template_json(template: DataFrame, manifest_sha256: str) -> DataFrame:
-    rows = template.agg(F.array_sort(F.collect_list(F.struct("page", "textSha256", "suggested", "decision"))).alias("decisions"))
-    body = F.struct(F.lit(DECISIONS_SCHEMA).alias("schemaVersion"), F.lit(manifest_sha256).alias("manifestSha256"), F.lit("").alias("reviewer"), F.lit("").alias("reviewedAt"), F.col("decisions"))
-    return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+def template_json(template: DataFrame, manifest_sha256: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., json): a template to fill in, one for each manifest that ``by`` tells apart; a manifest has at most 500 pages."""
+    rows = template.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page", "textSha256", "suggested", "decision"))).alias("decisions"))
+    body = F.struct(
+        F.lit(DECISIONS_SCHEMA).alias("schemaVersion"), F.lit(manifest_sha256).alias("manifestSha256"), F.lit("").alias("reviewer"),
+        F.lit("").alias("reviewedAt"), F.col("decisions"),
+    )
+    return rows.select(*by, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_report(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -27,8 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="quire-pages-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/quire-pages-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once; the plan of the result starts at its files."""
-    path = f"{shared_folder(df.sparkSession)}/quire-pages-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
