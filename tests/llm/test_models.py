@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.context_tree import build_tree, padded, score_texts
 from quire.llm.quality import fit_rules, quality, statistics
-from quire.llm.toxicity import features, fit_ftrl, toxicity
+from quire.llm.toxicity import features, fit_ftrl, fit_toxicity, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,6 +56,82 @@ def test_rules_are_compiled_as_they_were_fitted(spark):
     assert np.mean([(r.s > 0.5) == ((r.a > 0.5) and (r.b < 0.4)) for r in got]) > 0.97
 
 
+def quality_by_hand(rules, bias, measured):
+    total = bias
+    for terms, weight in rules:
+        if all(measured[n] <= bound if below else measured[n] > bound for n, below, bound in terms):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_scores_are_the_rules_evaluated_plainly(spark, monkeypatch):
+    """Every document's score against its rules in plain Python, over statistics that Spark measured."""
+    from quire.llm import quality as module
+
+    fitted = []
+
+    def spy(*args, **kwargs):
+        fitted.append(fit_rules(*args, **kwargs))
+        return fitted[-1]
+
+    monkeypatch.setattr(module, "fit_rules", spy)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = {r.doc_id: r for r in quality(docs, labels).collect()}
+    measured = docs.select("doc_id", *(c.cast("double").alias(n) for n, c in statistics().items())).collect()
+    (model,) = fitted
+    assert model.rules and len(measured) == len(scored)
+    for row in measured:
+        want = quality_by_hand(model.rules, model.bias, row.asDict())
+        assert scored[row.doc_id].score == pytest.approx(want, abs=1e-12)
+        assert scored[row.doc_id].predicted == int(scored[row.doc_id].score >= 0.7)
+
+
+def test_toxicity_scores_are_dot_products_over_features(spark):
+    """Every document's score against a sum of weights over its distinct features in plain Python."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    weights = dict(zip(model.values.tolist(), model.weights.tolist(), strict=True))
+    assert weights
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    scored = toxicity(docs, labels).collect()
+    assert len(scored) == len(texts)
+    for row in scored:
+        z, _ = features(pa.array([texts[row.doc_id]]))
+        total = model.bias + sum(weights.get(v, 0.0) for v in set(z.tolist()))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, total)))), abs=1e-9)
+
+
+def ftrl_by_hand(rows, labels, order, epochs, alpha=0.3, beta=1.0, l1=5.0, l2=0.5):
+    """FTRL-proximal a coordinate at a time, with an unpenalised intercept."""
+    z, n, bias, bias_n = Counter(), Counter(), 0.0, 0.0
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            w = {f: weight(f) for f in rows[i]}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - labels[i]
+            for f in rows[i]:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + math.sqrt(bias_n))
+    return {f: weight(f) for f in z if weight(f)}, bias
+
+
+def test_ftrl_is_its_definition():
+    rng = np.random.RandomState(3)
+    rows = [np.unique(rng.randint(1, 30, 8)).astype(np.uint64) for _ in range(120)]
+    labels = [int(5 in r or 7 in r) for r in rows]
+    model = fit_ftrl(rows, labels, sum(labels), len(labels) - sum(labels), min_docs=1)
+    want, bias = ftrl_by_hand([r.tolist() for r in rows], labels, np.random.RandomState(7), 12)
+    assert dict(zip(model.values.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(bias) and want
+
+
 def test_statistics(spark):
     row = spark.createDataFrame([("The The cat### | 12\nThe The\nThe The",)], "text string").select(*(c.alias(n) for n, c in statistics().items())).first()
     assert (row.words, row.symbols, row.bars) == (9.0, 3 / 9, 1 / 9)
