@@ -285,3 +285,19 @@ def m6_two_step_calls(spark, sf_dir):
 
 #: Documents of the driver's tables are normalised already, so only the appended forms change.
 q.SQL["t2_nfkc"] = "SELECT doc_id, sha256(text || ' fi1') AS sha, true AS folded FROM documents"
+
+# pages near the length limit: (a line, what is said over and over, how often, a last line)
+_LONG = [
+    ("TAX INVOICE\n", "GST ", 49990, ""), ("Tax invoice\n", "total ", 33000, ""), ("BAS\n", "G1 ", 66000, ""), ("BAS\n", "1A ", 66000, ""), ("", " ", 190000, "\nPlease send the receipt"),
+    ("", "\n", 190000, "Bank statement request"), ("", "\r\n", 95000, "Bank statement request"), ("", " \t\n", 63000, "Bank statement request"), ("", "re: ", 45000, "x"),
+]
+_LONG_SQL = ", ".join(f"('a{i}', {quote(a)} || repeat({quote(b)}, {n}) || {quote(z)})" for i, (a, b, n, z) in enumerate(_LONG))
+q.SQL["p5_adversarial"] = (
+    "WITH "
+    + q.RULES.replace(
+        synth_sql(),
+        f"sp AS (SELECT doc_id, 1 AS page, text, 'native' AS extraction, NULL::VARCHAR[] AS warnings, NULL::VARCHAR AS ocr_engine, NULL::DOUBLE[] AS ocr_line_confidence FROM (VALUES {_LONG_SQL}) v(doc_id, text))",
+        1,
+    )
+    + ' SELECT doc_id, "documentType", reason FROM r'
+)
