@@ -15,6 +15,7 @@ from .neighbours import nearest
 from .paragraphs import repeated_spans
 from .preference import OP9_SQL, neighbour_pairs
 from .quality import quality
+from .sessions import OP13_SQL, conversation_sessions
 from .token_counts import length_histogram, suffix_sums
 from .toxicity import toxicity
 
@@ -74,10 +75,15 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), fold == 2)
 
 
+def op13_session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every user's sessions, with the version that retracts it; events at most 240 seconds apart share one."""
+    return conversation_sessions(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_token_counts, op3_quality, op4_jaccard_join, op5_toxicity, op6_neighbours, op7_paragraph_dedup, op8_decontamination, op9_preference, op10_context_tree)
+    found = (op1_mix_sources, op2_token_counts, op3_quality, op4_jaccard_join, op5_toxicity, op6_neighbours, op7_paragraph_dedup, op8_decontamination, op9_preference, op10_context_tree, op13_session_versions)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op9_preference": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op9_preference": OP9_SQL, "op13_session_versions": OP13_SQL}
