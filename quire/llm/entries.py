@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .context_tree import score_texts
 from .decontamination import contaminated
+from .html_text import OP11_SQL, page_texts
 from .jaccard import jaccard_components
+from .merkle import OP12_SQL, document_proofs
 from .mixing import OP1_SQL, mix_sources
 from .neighbours import nearest
 from .paragraphs import repeated_spans
@@ -75,15 +77,25 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), fold == 2)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, blocks joined by line ends."""
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root folded anew from its leaf, tampered with or not."""
+    return document_proofs(_table(spark, sf_dir, "documents"))
+
+
 def op13_session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every user's sessions, with the version that retracts it; events at most 240 seconds apart share one."""
     return conversation_sessions(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_token_counts, op3_quality, op4_jaccard_join, op5_toxicity, op6_neighbours, op7_paragraph_dedup, op8_decontamination, op9_preference, op10_context_tree, op13_session_versions)
+    found = (op1_mix_sources, op2_token_counts, op3_quality, op4_jaccard_join, op5_toxicity, op6_neighbours, op7_paragraph_dedup, op8_decontamination, op9_preference, op10_context_tree, op11_main_text, op12_merkle_manifest, op13_session_versions)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op9_preference": OP9_SQL, "op13_session_versions": OP13_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op9_preference": OP9_SQL, "op11_main_text": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_session_versions": OP13_SQL}
