@@ -8,16 +8,22 @@ recurses once a turn and overflows the stack on long pages.
 
 from __future__ import annotations
 
+import re
+
 from . import taxonomy as tx
 
 #: White space of ECMAScript's trim and \s.
 BLANK = r"\s\x0B   -     　﻿"
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: A boundary beside a known word character needs one look only.
+_EDGE_BEFORE, _EDGE_AFTER = r"(?<!\w)", r"(?!\w)"
 _LINE_START, _LINE_END = r"(?<![^\n  ])", r"(?![^\n  ])"
 
 
 def jvm(pattern: str, lines: bool = False, fold: bool = True) -> str:
-    out = pattern.replace(r"\b", _EDGE).replace(r"\s", f"[{BLANK}]")
+    out = re.sub(r"\\b(?=[A-Za-z0-9])", lambda _: _EDGE_BEFORE, pattern)
+    out = re.sub(r"(?<=[A-Za-z0-9])(?<!\\[A-Za-z])\\b", lambda _: _EDGE_AFTER, out)
+    out = out.replace(r"\b", _EDGE).replace(r"\s", f"[{BLANK}]")
     if lines:
         out = out.replace("^", _LINE_START, 1)
         if out.endswith("$"):

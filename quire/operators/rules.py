@@ -2,7 +2,7 @@
 
 A page table has doc_id, page, text, extraction, warnings, ocr_engine and ocr_line_confidence. The conditions of all rules
 are unrolled into constant patterns, headings first, so a page's text is rewritten and searched only for the rules whose
-heading occurs.
+heading occurs. Patterns with look-around and wide alternations stand behind the literals that any match must hold.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..functions import text as tf
+from ..functions.literals import matches
 from ..functions.regexes import context_patterns, jvm
 
 PAGE_SCHEMA = "doc_id STRING, page BIGINT, text STRING, extraction STRING, warnings ARRAY<STRING>, ocr_engine STRING, ocr_line_confidence ARRAY<DOUBLE>"
@@ -42,12 +43,16 @@ def needs_extraction(clean: Column) -> Column:
     return F.col("extraction").isin("needs_ocr", "failed") | tf.is_blank(clean) | warned
 
 
-def context_matches(clean: Column) -> dict[str, Column]:
-    return {k: clean.rlike(jvm(p, lines)) for k, (p, lines) in context_patterns().items()}
+def context_matches(clean: Column, low: Column | None = None) -> dict[str, Column]:
+    """Each context pattern, searched only where its literals occur; ``low`` is the text in lower case, if there is a column of it."""
+    low = F.lower(clean) if low is None else low
+    return {k: matches(clean, low, p, jvm(p, lines)) for k, (p, lines) in context_patterns().items()}
 
 
-def heading_matches(window: Column) -> dict[str, Column]:
-    return {t: window.rlike(jvm(h)) for t, h in tx.HEADINGS.items()} | {t: window.rlike(jvm(h)) for t, h, _ in _EXTRA}
+def heading_matches(window: Column, low: Column | None = None) -> dict[str, Column]:
+    """Each type's heading, searched only where its rarest words occur."""
+    low = F.lower(window) if low is None else low
+    return {t: matches(window, low, h, jvm(h)) for t, h in [*tx.HEADINGS.items(), *((t, h) for t, h, _ in _EXTRA)]}
 
 
 def without_heading(clean: Column, type_: str) -> Column:
@@ -78,14 +83,14 @@ def support(text: Column, type_: str) -> Column:
 def classify(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` and the rules' result: documentType, candidates, method, confidence, requiresReview, reason,
     evidence, textSha256, taxonomyVersion, calls and inputTokens."""
-    read = usable_text(pages, "_clean")
+    read = usable_text(pages, "_clean").withColumn("_low", F.lower("_clean"))
     clean = F.col("_clean")
     asked = F.lit(False)
-    for match in context_matches(clean).values():
+    for match in context_matches(clean, F.col("_low")).values():
         asked = asked | match
     read = read.withColumn("_gate", F.when(needs_extraction(clean), "extraction").when(asked, "context").otherwise("rules"))
-    read = read.withColumn("_window", F.when(F.col("_gate") == "rules", tf.heading_window(clean)))
-    headed = heading_matches(F.col("_window"))
+    read = read.withColumn("_window", F.when(F.col("_gate") == "rules", tf.heading_window(clean))).withColumn("_low", F.lower("_window"))
+    headed = heading_matches(F.col("_window"), F.col("_low"))
     hits = [F.when(h & support(without_heading(clean, t), t), F.lit(t)) for t, h in headed.items()]
     read = read.withColumn("candidates", F.when(F.col("_gate") == "rules", F.filter(F.array(*hits), lambda t: t.isNotNull())).otherwise(F.array().cast("array<string>")))
     n, low = F.size("candidates"), has_low_line(F.col("ocr_line_confidence"))
