@@ -5,6 +5,9 @@ Suffix sums over the histogram answer, for every context limit, how many documen
 each is truncated there; prefix sums give quantiles. The sums run in two levels (lengths within a block of ``BLOCK`` lengths,
 then block totals), so no task sees all lengths.
 
+A run of white space is one piece of the pattern, but for its last character where text follows. Long runs are handed to the encoder
+as that piece, as its pattern search overflows the stack on a run of a megabyte; short ones give the same counts either way.
+
 Cases: a null or empty text has length 0; an empty table gives an empty histogram; other columns are ignored. The tokenizer's
 file is read once by the driver and sent to the executors (its size does not depend on the input).
 """
@@ -12,6 +15,7 @@ file is read once by the driver and sent to the executors (its size does not dep
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,9 @@ from .textvec import chunks, tidy
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1024
+#: White space in the sense of the pattern, from so many characters on.
+LONG_RUN = 10_000
+_SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def load_encoder(data: bytes, pattern: str = PATTERN):
@@ -33,13 +40,25 @@ def load_encoder(data: bytes, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(encoder, text: str, pattern: str = PATTERN, long_run: int = LONG_RUN) -> int:
+    """Tokens of a whole text. Another pattern than PATTERN is left to the encoder alone."""
+    if pattern != PATTERN:
+        return len(encoder.encode_ordinary(text))
+    total = at = 0
+    for run in re.finditer(f"(?<!{_SPACE}){_SPACE}{{{max(2, long_run)},}}", text):
+        end = run.end() - (run.end() < len(text))
+        total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:]))
+
+
 def _lengths(data, pattern: str):
     @tidy
     def run(batches):
-        encode = load_encoder(data.value, pattern).encode_ordinary
+        encoder = load_encoder(data.value, pattern)
         for batch in batches:
             for _, part in chunks(batch.column(0)):
-                got = np.fromiter((len(encode(t)) if t else 0 for t in part.to_pylist()), dtype=np.int64, count=len(part))
+                got = np.fromiter((encoded_length(encoder, t, pattern) if t else 0 for t in part.to_pylist()), dtype=np.int64, count=len(part))
                 values, counts = np.unique(got, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["n_tokens", "c"])
 

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.neighbours import build_graph, nearest
+from quire.llm.neighbours import SHARD_ROWS, _wide, beam_search, build_graph, nearest, reached, search_beam
 
 
 def brute(vectors, queries, k):
@@ -62,14 +62,37 @@ def test_ties_and_unsound_rows(spark):
 
 
 def test_every_node_can_be_reached():
-    x = np.random.RandomState(3).randn(1500, 8).astype(np.float32)
-    graph, start = build_graph(x)
-    seen, new = {start}, [start]
-    while new:
-        new = [int(v) for u in new for v in graph[u] if v >= 0 and v not in seen]
-        seen |= set(new)
-        new = list(dict.fromkeys(new))
-    assert len(seen) > 0.99 * len(x) and (graph >= 0).sum(axis=1).max() <= 24
+    rng = np.random.RandomState(3)
+    tight = np.repeat(rng.randn(40, 8), 40, axis=0) + 0.01 * rng.randn(1600, 8)
+    for x in (rng.randn(1500, 8), tight, tight * np.exp(rng.randn(1600, 1))):
+        graph, starts = build_graph(x.astype(np.float32))
+        assert reached(graph, starts[:1]).all() and (graph[:, :32] >= 0).sum(axis=1).max() <= 32 and graph.shape[1] == 34
+
+
+def test_recall_at_the_largest_shard():
+    """Spread vectors without any structure, the hardest; queries are no rows of the shard, as for most shards of a table."""
+    rng = np.random.RandomState(8)
+    x = rng.randn(SHARD_ROWS, 48)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = rng.randn(200, 48)
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    wide = _wide(x)
+    graph, starts = build_graph(wide)
+    assert reached(graph, starts[:1]).all()
+    flat = np.concatenate([q, np.zeros((200, 1))], axis=1).astype(np.float32)
+    ids, _ = beam_search(wide, graph, starts, flat, search_beam(len(x)))
+    want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(ids.tolist(), want.tolist(), strict=True)]) >= 0.9
+
+
+def test_recall_where_lengths_differ(spark):
+    rng = np.random.RandomState(9)
+    n, d = 6000, 32
+    kinds = {"spread": rng.randn(n, d), "long tails": rng.randn(n, d) * np.exp(0.6 * rng.randn(n, 1)), "tight": (2 * rng.randn(100, d))[rng.randint(100, size=n)] + 0.3 * rng.randn(n, d)}
+    for name, x in kinds.items():
+        vectors = {i: v.tolist() for i, v in enumerate(x)}
+        got = collect(nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0))
+        assert recall(got, brute(vectors, [i for i in vectors if i % 20 == 0], 20)) >= 0.9, name
 
 
 def test_doubles_and_repeated_rows(spark):
@@ -89,8 +112,18 @@ def test_doubles_and_repeated_rows(spark):
     assert recall(got, want) >= 0.9
 
 
+def test_lengths_at_the_ends_of_the_range(spark):
+    rng = np.random.RandomState(12)
+    scale = [1e200, 1e-200, 1.0, 1e-3, 5e-308]
+    vectors = {i: (rng.rand(4) * scale[i % 5]).tolist() for i in range(200)}
+    got = collect(nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 2))
+    for q, found in got.items():
+        want = sorted((v for v in vectors if v != q), key=lambda v: (-float(np.dot(vectors[v], vectors[q])), v))[:20]
+        assert len(set(want) & {v for v, _ in found}) >= 18
+
+
 def test_graphs_are_built_for_small_shards():
     """No size below which the graph is left out."""
     x = np.random.RandomState(4).randn(30, 4).astype(np.float32)
-    graph, start = build_graph(x)
-    assert graph.shape[0] == 30 and (graph[start] >= 0).any()
+    graph, starts = build_graph(x)
+    assert graph.shape[0] == 30 and (graph[starts[0]] >= 0).any()

@@ -120,3 +120,28 @@ def test_benchmark_copies_are_found(spark, documents, small, n):
     want = {(r.doc_id, i) for r in documents.collect() for i, t in items if t in norm(r.text)}
     got = {(r.doc_id, r.item_id) for r in contaminated(documents, bench, block_bytes=8 << 20 if n == 1 else 3000).where("distance = 0").collect()}
     assert want == got
+
+
+def test_long_white_space_counts_as_the_encoder_does():
+    import random
+
+    from quire.llm import token_counts as tc
+
+    with open(tc.TOKENIZER, "rb") as file:
+        encoder = tc.load_encoder(file.read())
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", " \n ", " ", " ", "\x1c", "\x85", "word", "a", "9", "--", "é", "'s", "​"]
+    for _ in range(800):
+        text = "".join(rng.choice(parts) * rng.choice([1, 1, 2, 7]) for _ in range(rng.randint(0, 12)))
+        assert all(tc.encoded_length(encoder, text, long_run=n) == len(encoder.encode_ordinary(text)) for n in (1, 2, 5))
+    assert tc.encoded_length(encoder, " " * 1_000_000 + "x") == tc.encoded_length(encoder, " " * 999_999) + len(encoder.encode_ordinary(" x"))
+    assert tc.encoded_length(encoder, "x" + "\n" * 1_000_000) == 1 + len(encoder._encode_single_piece("\n" * 1_000_000))
+
+
+def test_hostile_texts_have_token_counts(spark):
+    from quire.llm import token_counts as tc
+
+    texts = [" " * 1_000_000 + "a", "\n" * 1_000_000, "-" * 1_000_000, "The same sentence again. " * 40_000, "'s" * 500_000, None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.n_tokens: r.n_docs for r in tc.length_histogram(docs).collect()}
+    assert sum(got.values()) == 7 and got[0] == 2
