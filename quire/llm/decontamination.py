@@ -4,7 +4,11 @@ Texts and test items are compared as lower-cased (A-Z) bytes with each run of wh
 be matched with up to ``k = floor(rate * m)`` edits: it is split into k + 1 pieces, one of which must occur exactly wherever
 the item does. All pieces are searched at once by their first eight bytes, a hit's neighbourhood must hold enough of the
 item's 5-byte strings (an edit destroys at most five), and what is left is verified by Myers' bit-parallel distance over the
-window that the piece allows. Whole texts are scanned, in blocks that overlap.
+windows that the pieces allow. Whole texts are scanned, in blocks that overlap.
+
+Repetitive texts stay cheap: a piece that an item says several times, or several items say, is found once; hits whose windows
+overlap are one window, in which 5-byte strings are counted by prefix sums and which is verified in one pass. Work for a text and an
+item with hits is at most linear in the text, times the item's length over 64.
 
 The benchmark is measured first. Up to ``block_bytes`` it is one broadcast; beyond, it is dealt into blocks of that size which
 are searched one after another, so what is broadcast is bounded.
@@ -28,6 +32,8 @@ from .textvec import LOWER, SPACE, U, chunks, text_bytes, tidy
 RATE = 0.1
 BLOCK_BYTES = 8 << 20
 SCAN = 1 << 20
+#: Groups of an item's 5-byte strings that are counted apart.
+GROUPS = 64
 _BREAK = SPACE.copy()
 _BREAK[0] = True
 
@@ -84,21 +90,23 @@ def myers(pattern: bytes, text: bytes, most: int) -> int | None:
 
 @dataclass
 class Items:
-    """Search tables of a block of test items."""
+    """Search tables of a block of test items. A piece is a string that items say; ``uses`` gives, for each, the items with the first
+    and the last place where they say it."""
 
     ids: list[int]
     texts: list[bytes]
     budgets: list[int]
     keys: dict[int, tuple[np.ndarray, np.ndarray]]
-    pieces: np.ndarray
-    grams: list[np.ndarray]
+    pieces: list[bytes]
+    uses: list[list[tuple[int, int, int]]]
+    grams: list[tuple[np.ndarray, np.ndarray]]
     seen: dict[int, np.ndarray]
 
 
 def prepare(rows: list[tuple[int, str]], rate: float = RATE) -> Items:
     ids, texts, budgets, grams = [], [], [], []
-    pieces: list[tuple[int, int, int]] = []
-    by_length: dict[int, list[tuple[int, int]]] = {}
+    known: dict[bytes, int] = {}
+    uses: list[dict[int, tuple[int, int]]] = []
     for item_id, text in rows:
         out, ((start,), (end,)) = normal(pa.array([text], pa.string()))
         body = out[start:end].tobytes()
@@ -108,10 +116,16 @@ def prepare(rows: list[tuple[int, str]], rate: float = RATE) -> Items:
         ids.append(item_id), texts.append(body), budgets.append(k)
         cuts = [m * j // (k + 1) for j in range(k + 2)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            width = min(8, b - a)
-            by_length.setdefault(width, []).append((int.from_bytes(body[a : a + width], "big"), len(pieces)))
-            pieces.append((i, a, b - a))
-        grams.append(np.unique(_packed(np.frombuffer(body + bytes(8), dtype=np.uint8), m) >> U(24))[: max(0, m)])
+            piece = known.setdefault(body[a:b], len(uses))
+            if piece == len(uses):
+                uses.append({})
+            first, _ = uses[piece].get(i, (a, a))
+            uses[piece][i] = (first, a)
+        grams.append(np.unique(_five(np.frombuffer(body, dtype=np.uint8)), return_counts=True))
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for text, piece in known.items():
+        width = min(8, len(text))
+        by_length.setdefault(width, []).append((int.from_bytes(text[:width], "big"), piece))
     keys, seen = {}, {}
     for width, found in by_length.items():
         found.sort()
@@ -119,7 +133,16 @@ def prepare(rows: list[tuple[int, str]], rate: float = RATE) -> Items:
         table = np.zeros(1 << 20, dtype=bool)
         table[_spot(keys[width][0])] = True
         seen[width] = table
-    return Items(ids, texts, budgets, keys, np.array(pieces, dtype=np.int64).reshape(-1, 3), grams, seen)
+    return Items(ids, texts, budgets, keys, list(known), [[(i, a, z) for i, (a, z) in u.items()] for u in uses], grams, seen)
+
+
+def _five(buf: np.ndarray) -> np.ndarray:
+    """The five bytes from each place that has so many."""
+    n = max(0, len(buf) - 4)
+    v = np.zeros(n, dtype=U)
+    for j in range(5):
+        v = (v << U(8)) | buf[j : j + n].astype(U)
+    return v
 
 
 def _spot(v: np.ndarray) -> np.ndarray:
@@ -134,12 +157,9 @@ def _packed(buf: np.ndarray, n: int) -> np.ndarray:
     return v
 
 
-def matches(texts: pa.Array, items: Items) -> list[tuple[int, int, int]]:
-    """(row, item index, distance) of every text and item within the item's budget."""
-    if not items.ids or not len(texts):
-        return []
-    buf, (starts, ends) = normal(texts)
-    place, piece = [], []
+def _hits(buf: np.ndarray, items: Items) -> dict[int, np.ndarray]:
+    """For each piece that occurs, the places where it does."""
+    place, piece = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for a in range(0, max(len(buf) - 8, 0), SCAN):
         n = min(SCAN, len(buf) - 8 - a)
         v = _packed(buf[a : a + n + 8], n)
@@ -147,51 +167,90 @@ def matches(texts: pa.Array, items: Items) -> list[tuple[int, int, int]]:
             value = v >> U(8 * (8 - width))
             maybe = np.flatnonzero(items.seen[width][_spot(value)])
             lo = np.searchsorted(keys, value[maybe], side="left")
-            hi = np.searchsorted(keys, value[maybe], side="right")
-            times = hi - lo
+            times = np.searchsorted(keys, value[maybe], side="right") - lo
             hit = np.repeat(maybe, times)
             nth = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)
             place.append(hit + a)
             piece.append(which[np.repeat(lo, times) + nth])
-    at, which = np.concatenate(place) if place else np.zeros(0, dtype=np.int64), np.concatenate(piece) if piece else np.zeros(0, dtype=np.int64)
-    if not len(at):
+    at, which = np.concatenate(place), np.concatenate(piece)
+    order = np.argsort(which, kind="stable")
+    at, which = at[order], which[order]
+    bounds = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]])) if len(at) else np.zeros(1, dtype=np.int64)
+    found = {}
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        mine, text = at[lo:hi], items.pieces[int(which[lo])]
+        for j in range(8, len(text)):  # the rest of a longer piece
+            mine = mine[buf[np.minimum(mine + j, len(buf) - 1)] == text[j]]
+        if len(mine):
+            found[int(which[lo])] = mine
+    return found
+
+
+def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows sorted by (row, lo) as disjoint ones: row, lo, hi, and which of them holds each window."""
+    reach = np.maximum.accumulate(hi)  # rows follow one another, so a later row's windows end later
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] > reach[:-1])])
+    first = np.flatnonzero(new)
+    return row[first], lo[first], reach[np.concatenate([first[1:], [len(row)]]) - 1], np.cumsum(new) - 1
+
+
+def _enough(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, joined: tuple, grams: tuple[np.ndarray, np.ndarray], need: int) -> np.ndarray:
+    """Which windows hold at least ``need`` of an item's 5-byte strings, none counted more often than the item says it."""
+    _, a, b, inside = joined
+    values, said = grams
+    base = np.concatenate([[0], np.cumsum(b - a)])
+    spots = np.empty(int(base[-1]), dtype=np.int32)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        v = _five(buf[x:y])
+        at = np.minimum(np.searchsorted(values, v), len(values) - 1)
+        spots[base[i] : base[i] + len(v)] = np.where(values[at] == v, at, -1)
+        spots[base[i] + len(v) : base[i + 1]] = -1
+    first, last = base[inside] + lo - a[inside], base[inside] + np.maximum(hi - 4, lo) - a[inside]
+    total = np.concatenate([[0], np.cumsum(spots >= 0, dtype=np.int32)])
+    ok = total[last] - total[first] >= need
+    if ok.sum() > GROUPS:  # many windows: count again by groups of strings, each no more often than the item says them
+        counts, cap = np.zeros(len(lo), dtype=np.int64), np.bincount(np.arange(len(values)) % GROUPS, weights=said, minlength=GROUPS).astype(np.int64)
+        group = np.where(spots >= 0, spots % GROUPS, -1)
+        for g in range(min(GROUPS, len(values))):
+            total = np.concatenate([[0], np.cumsum(group == g, dtype=np.int32)])
+            counts += np.minimum(total[last] - total[first], cap[g])
+        ok &= counts >= need
+    return ok
+
+
+def matches(texts: pa.Array, items: Items) -> list[tuple[int, int, int]]:
+    """(row, item index, distance) of every text and item within the item's budget."""
+    if not items.ids or not len(texts):
         return []
-    item, offset, length = items.pieces[which].T
-    ok = np.ones(len(at), dtype=bool)
-    bodies = np.frombuffer(b"".join(items.texts), dtype=np.uint8)
-    body_at = np.concatenate([[0], np.cumsum([len(t) for t in items.texts])])
-    for j in range(8, int(length.max())):
-        need = np.flatnonzero(ok & (length > j))
-        if len(need):
-            ok[need] = buf[np.minimum(at[need] + j, len(buf) - 1)] == bodies[body_at[item[need]] + offset[need] + j]
-    at, item, offset = at[ok], item[ok], offset[ok]
-    row = np.searchsorted(starts, at, side="right") - 1
-    begin = at - offset
+    buf, (starts, ends) = normal(texts)
+    hits = _hits(buf, items)
+    by_item: dict[int, list[tuple[int, int, int]]] = {}
+    for piece in hits:
+        for i, first, last in items.uses[piece]:
+            by_item.setdefault(i, []).append((piece, first, last))
     found: list[tuple[int, int, int]] = []
-    for i in np.unique(item).tolist():
+    for i, own in sorted(by_item.items()):
         m, k = len(items.texts[i]), items.budgets[i]
-        mine = np.flatnonzero(item == i)
-        _, first = np.unique(np.stack([row[mine], begin[mine]]), axis=1, return_index=True)
-        mine = mine[first]
+        at = np.concatenate([hits[p] for p, _, _ in own])
+        begin = at - np.concatenate([np.full(len(hits[p]), last) for p, _, last in own])
+        end = at - np.concatenate([np.full(len(hits[p]), first) for p, first, _ in own])
+        row = np.searchsorted(starts, at, side="right") - 1
+        lo, hi = np.maximum(begin - k, starts[row]), np.minimum(end + m + k, ends[row])
+        order = np.lexsort((hi, lo, row))
+        row, lo, hi = row[order], lo[order], hi[order]
+        kept = np.concatenate([[True], (row[1:] != row[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        row, lo, hi = row[kept], lo[kept], hi[kept]
         need = m - 4 - 5 * k
         if need > 0:
-            span = begin[mine][:, None] + np.arange(-k, m + k - 4)
-            inside = (span >= starts[row[mine]][:, None]) & (span + 5 <= ends[row[mine]][:, None])
-            span = np.clip(span, 0, len(buf) - 9)
-            v = np.zeros(span.shape, dtype=U)
-            for j in range(5):
-                v = (v << U(8)) | buf[span + j].astype(U)
-            grams = items.grams[i]
-            spot = np.minimum(np.searchsorted(grams, v), len(grams) - 1)
-            mine = mine[((grams[spot] == v) & inside).sum(axis=1) >= need]
+            ok = _enough(buf, lo, hi, _merged(row, lo, hi), items.grams[i], need)
+            row, lo, hi = row[ok], lo[ok], hi[ok]
+        if not len(row):
+            continue
         best: dict[int, int] = {}
-        done: dict[int, int] = {}
-        for x in mine.tolist():
-            r = int(row[x])
-            if best.get(r) == 0 or done.get(r, -(10**9)) + max(k // 2, 1) > begin[x] and r in best:
+        for r, a, b in zip(*(x.tolist() for x in _merged(row, lo, hi)[:3]), strict=True):
+            if best.get(r) == 0:
                 continue
-            done[r] = int(begin[x])
-            window = buf[max(int(starts[r]), int(begin[x]) - k) : min(int(ends[r]), int(begin[x]) + m + k)].tobytes()
+            window = buf[a:b].tobytes()
             d = 0 if items.texts[i] in window else myers(items.texts[i], window, k)
             if d is not None and d < best.get(r, k + 1):
                 best[r] = d

@@ -8,9 +8,11 @@ is at most one for every 45 words, and the longest run between them has 25 words
 
 1. Each paragraph has ``BANDS`` keys of ``ROWS`` MinHash values over its shingles; ``tune`` gives the bands for a recall of 0.95
    of *one* paragraph at 0.8. A key that two documents hold makes its paragraphs candidates; equal ones always collide.
-2. Candidates are verified and linked: equal contents are one node; two different contents of nine different shingles are 0.8
-   alike exactly when they share eight (8 / 10), that is, when they differ in the first or the last word only. So contents with
-   the same ``WORDS`` - 1 words at either side form a star around the smallest, whatever their number, and no pair is missed.
+2. Candidates are verified and linked: equal contents are one node. Two contents are 0.8 alike exactly when, as sets of shingles, they
+   are equal, or one has one shingle more than the other (of four or more), or both have nine and share eight. So each content has a
+   key for its set and for its set without each of its shingles, and the contents of a key form a star: linear work for crowds of
+   any size, and no pair is missed. Where no three words in a row are said twice, only the set without its first or its last shingle
+   can be another's, at either end of it (a paragraph that begins a word later, too), and two keys do.
    Connected components of these links are the clusters.
 3. Each paragraph is held against an earlier place: the first document with the same content, or else the first of its
    cluster. Where a chain of paragraphs along one such document ends, the words around both places (``AROUND``) are aligned
@@ -96,31 +98,52 @@ def anchors(w: Words) -> np.ndarray:
     return at
 
 
-def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first words, content hashes, band keys by band, hashes without the last and without the first word) of the paragraphs
-    of several texts. The last two are 0 for a paragraph that says a shingle twice, which only its like is held to resemble."""
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, content hashes, band keys by band) of the paragraphs of several texts."""
     at = anchors(w)
-    n = WORDS - SHINGLE + 1
-    z, first = grams(w, SHINGLE)
-    s = np.zeros(len(w.h), dtype=U)
-    s[first] = z
-    inside = np.stack([s[at + j] for j in range(n)]) if len(at) else np.zeros((n, 0), dtype=U)
-    ordered = np.sort(inside, axis=0)
-    varied = (ordered[1:] != ordered[:-1]).all(axis=0)
-    content, early = np.zeros(len(at), dtype=U), np.zeros(len(at), dtype=U)
-    late = np.zeros(len(at), dtype=U)
-    for j in range(n):
-        if j:
-            late = late * U(0x9E3779B97F4A7C15) + inside[j]
-        if j == n - 1:
-            early = content
-        content = content * U(0x9E3779B97F4A7C15) + inside[j]
+    inside = _shingles(w, at)
+    content = np.zeros(len(at), dtype=U)
+    for z in inside:
+        content = content * U(0x9E3779B97F4A7C15) + z
     keys = np.zeros((BANDS, len(at)), dtype=U)
     for b in range(BANDS):
         for r in range(ROWS):
             keys[b] = keys[b] * U(0xC2B2AE3D27D4EB4F) + mix((inside * _SEEDS[b * ROWS + r]).min(axis=0))
         keys[b] = mix(keys[b] + U(b + 1))
-    return at, mix(content), keys, np.where(varied, mix(early + U(1)), U(0)), np.where(varied, mix(late + U(2)), U(0))
+    return at, mix(content), keys
+
+
+def _runs_of(w: Words, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words of each paragraph, a run to a row."""
+    z, first = grams(w, k)
+    s = np.zeros(len(w.h), dtype=U)
+    s[first] = z
+    n = WORDS - k + 1
+    return np.stack([s[at + j] for j in range(n)]) if len(at) else np.zeros((n, 0), dtype=U)
+
+
+def _shingles(w: Words, at: np.ndarray) -> np.ndarray:
+    return _runs_of(w, at, SHINGLE)
+
+
+def set_keys(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the paragraphs at ``at``: the number of different shingles, a hash of their set, and hashes of the set without one
+    shingle each, one paragraph's after another, with their bounds."""
+    inside = _shingles(w, at)
+    ordered = np.sort(inside, axis=0)
+    new = np.ones(ordered.shape, dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    each = mix(ordered + U(3))
+    size, whole = new.sum(axis=0), np.where(new, each, U(0)).sum(axis=0, dtype=U)
+    threes = np.sort(_runs_of(w, at, 3), axis=0)
+    plain = (threes[1:] != threes[:-1]).all(axis=0)
+    left = new & ~plain & (size > 4)
+    which, row = np.nonzero(left)
+    ends = np.flatnonzero(plain)
+    owner = np.concatenate([row, ends, ends])
+    gone = np.concatenate([each[which, row], mix(inside[0, ends] + U(3)), mix(inside[-1, ends] + U(3))])
+    order = np.argsort(owner, kind="stable")
+    return size, whole, (whole[owner] - gone)[order], np.searchsorted(owner[order], np.arange(len(at) + 1))
 
 
 @tidy
@@ -128,7 +151,7 @@ def _all_keys(batches):
     for batch in batches:
         for first, part in chunks(batch.column(1)):
             w = words_of(part)
-            at, _, keys, _, _ = paragraphs(w)
+            at, _, keys = paragraphs(w)
             if len(at):
                 owner = np.searchsorted(w.bounds, at, side="right") - 1
                 ids = batch.column(0).slice(first, len(part)).take(pa.array(owner))
@@ -142,16 +165,17 @@ def _candidates(table):
         for batch in batches:
             for first, part in chunks(batch.column(1)):
                 w = words_of(part)
-                at, content, keys, early, late = paragraphs(w)
+                at, content, keys = paragraphs(w)
                 keep = np.flatnonzero(np.logical_or.reduce([bloom.maybe(table.value, k) for k in keys])) if len(at) else []
                 if not len(keep):
                     continue
                 at = at[keep]
                 owner = np.searchsorted(w.bounds, at, side="right") - 1
-                sides = (pa.array(x[keep].view(np.int64), mask=x[keep] == 0) for x in (early, late))
+                size, whole, less, bounds = set_keys(w, at)
+                sets = (pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(less.view(np.int64))))
                 ids = batch.column(0).slice(first, len(part)).take(pa.array(owner))
                 pos = pa.array((at - w.bounds[owner]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids, pos, pa.array(content[keep].view(np.int64)), *sides], names=["doc_id", "pos", "h", "early", "late"])
+                yield pa.RecordBatch.from_arrays([ids, pos, pa.array(content[keep].view(np.int64)), *sets], names=["doc_id", "pos", "h", "size", "whole", "less"])
 
     return run
 
@@ -196,14 +220,16 @@ def _surroundings(table):
 
 
 def near_links(contents: DataFrame) -> DataFrame:
-    """(a, b): stars of contents that agree but for their first or last word. ``contents`` is one row (h, early, late) a content."""
-    links = None
-    for side in ("early", "late"):
-        some = contents.where(F.col(side).isNotNull()).select(F.col(side).alias("k"), "h")
-        sizes = cut(some.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("a")).where("c > 1"), "sides")
-        star = join_hot(some, sizes.select("k", "a"), "k", sizes.select("k", "c")).where("a <> h").select("a", F.col("h").alias("b"))
-        links = star if links is None else links.union(star)
-    return links
+    """(a, b): stars of contents whose shingle sets are 0.8 alike. ``contents`` is one row (h, size, whole, less) a content: the number of its
+    shingles, the key of their set, and keys of the set without one of them."""
+    most = WORDS - SHINGLE + 1
+    whole = contents.where(F.col("size") < most).select(F.col("whole").alias("k"), F.col("size").alias("t"), "h", F.lit(True).alias("full"))
+    less = contents.select(F.explode("less").alias("k"), (F.col("size") - 1).alias("t"), "h", F.lit(False).alias("full"))
+    some = whole.unionByName(less).select(F.xxhash64("k", "t").alias("k"), "t", "h", "full")
+    # sets without one shingle are alike among themselves only if they had all nine; others only resemble a whole set
+    middle = F.when(F.first("t") == most - 1, F.min("h")).otherwise(F.min(F.when(F.col("full"), F.col("h"))))
+    stars = cut(some.groupBy("k").agg(F.count(F.lit(1)).alias("c"), middle.alias("a")).where("c > 1 AND a IS NOT NULL"), "stars")
+    return join_hot(some.select("k", "h"), stars.select("k", "a"), "k", stars.select("k", "c")).where("a <> h").select("a", F.col("h").alias("b"))
 
 
 def _outwards(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -310,10 +336,10 @@ def _earlier(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, pos, h, ref_id, ref_pos, exact): each paragraph that an earlier document holds, with that place; and the tables that
     this reads."""
     contents = found.groupBy("h").agg(
-        F.first("early").alias("early"), F.first("late").alias("late"), F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("c")
+        *(F.first(c).alias(c) for c in ("size", "whole", "less")), F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("c")
     )
     contents = cut(contents, "contents")
-    cluster = components(near_links(contents.select("h", "early", "late")))
+    cluster = components(near_links(contents.select("h", "size", "whole", "less")))
     joined = contents.join(cluster.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").withColumn("g", F.coalesce("g", "h"))
     joined = cut(joined.select("h", "g", "m", "z", "c"), "joined")
     groups = joined.groupBy("g").agg(F.min("m").alias("gm"), F.max("z").alias("gz"), F.count(F.lit(1)).alias("c"))
@@ -335,7 +361,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     keys = texts.mapInArrow(_all_keys, "k long, doc_id long").groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     table = sc.broadcast(bloom.make(keys.where("a <> b").select("k")))
-    found = cut(texts.mapInArrow(_candidates(table), "doc_id long, pos int, h long, early long, late long"), "found")
+    found = cut(texts.mapInArrow(_candidates(table), "doc_id long, pos int, h long, size int, whole long, less array<long>"), "found")
     table.destroy()
     met, used = _earlier(found)
     along = Window.partitionBy("doc_id", "ref_id").orderBy("pos")

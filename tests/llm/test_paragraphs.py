@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quire.llm.paragraphs import BANDS, MIN_WORDS, SHINGLE, WINDOW, WORDS, anchors, near_links, paragraphs, remove_repeats, repeated_spans, tune
+from quire.llm.paragraphs import BANDS, MIN_WORDS, SHINGLE, WINDOW, WORDS, anchors, near_links, paragraphs, remove_repeats, repeated_spans, set_keys, tune
 from quire.llm.textvec import words_of
 
 
@@ -106,19 +106,25 @@ def test_bands():
 
 
 def test_links_of_contents_by_brute_force(spark):
-    """Contents with the same words but the first or the last are linked, in crowds too; all others are not 0.8 alike."""
+    """Contents that are 0.8 alike are linked, in crowds, shifted by a word and with repeated shingles too; all others are not."""
     rng = random.Random(2)
-    base = [b for b in (words(rng, WORDS) for _ in range(200)) if 0 in anchors(words_of(pa.array([" ".join([*b, "tail"])])))][:4]
+    base = [words(rng, WORDS) for _ in range(4)]
     texts = base + [b[:-1] + [f"x{i}"] for b in base[:3] for i in range(150)] + [[f"y{i}"] + b[1:] for b in base[1:3] for i in range(20)]
-    texts += [b[:7] + ["z"] + b[8:] for b in base]
-    # each of the base texts begins with a paragraph; only first paragraphs count here
-    w = words_of(pa.array([" ".join([*t, "tail"]) for t in texts]))
-    at, content, _, early, late = paragraphs(w)
-    some = np.flatnonzero(np.isin(at, w.bounds))
-    rows = [(int(content[i].view(np.int64)), int(early[i].view(np.int64)), int(late[i].view(np.int64))) for i in some]
-    got = near_links(spark.createDataFrame(sorted(set(rows)), "h long, early long, late long")).collect()
-    sets = {rows[j][0]: {tuple(texts[np.searchsorted(w.bounds, at[i])][k : k + SHINGLE]) for k in range(WORDS - SHINGLE + 1)} for j, i in enumerate(some)}
-    up = {h: h for h in sets}
+    texts += [b[:7] + ["z"] + b[8:] for b in base] + [b[1:] + [f"s{i}"] for b in base for i in range(3)] + [[f"t{i}"] + b[:-1] for b in base for i in range(3)]
+    for period in range(1, 13):  # lines said over and over, at every phase, and broken at their ends
+        cycle = [f"p{period}_{i}" for i in range(period)] * 20
+        texts += [cycle[i : i + WORDS] for i in range(period)]
+        texts += [[*cycle[i : i + n], *(f"q{period}_{i}_{j}" for j in range(WORDS - n))] for i in range(min(period, 3)) for n in (9, 11, 12)]
+    for _ in range(300):  # few words, so that shingles and runs of three repeat
+        texts.append([rng.choice(["a", "b", "c"]) for _ in range(WORDS)])
+        texts.append(texts[-1][1:] + ["a"])
+    texts = [list(t) for t in dict.fromkeys(map(tuple, texts))]
+    w = words_of(pa.array([" ".join(t) for t in texts]))
+    size, whole, less, bounds = set_keys(w, w.bounds[:-1])
+    rows = [(i, int(size[i]), int(whole[i].view(np.int64)), [int(x) for x in less[bounds[i] : bounds[i + 1]].view(np.int64)]) for i in range(len(texts))]
+    got = near_links(spark.createDataFrame(rows, "h long, size int, whole long, less array<long>")).collect()
+    sets = [{tuple(t[k : k + SHINGLE]) for k in range(WORDS - SHINGLE + 1)} for t in texts]
+    up = list(range(len(texts)))
 
     def root(h):
         while up[h] != h:
@@ -126,14 +132,13 @@ def test_links_of_contents_by_brute_force(spark):
         return h
 
     for r in got:
-        assert 100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b])
+        assert 100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b]), (texts[r.a], texts[r.b])
         up[root(r.a)] = root(r.b)
-    names = list(sets)
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                assert root(a) == root(b)
-    assert len(got) > 100
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                assert root(i) == root(j), (texts[i], texts[j])
+    assert len(got) > 400
 
 
 def test_exact_copies_reach_their_ends_behind_an_edited_copy(spark):

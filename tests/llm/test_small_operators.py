@@ -145,3 +145,45 @@ def test_hostile_texts_have_token_counts(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     got = {r.n_tokens: r.n_docs for r in tc.length_histogram(docs).collect()}
     assert sum(got.values()) == 7 and got[0] == 2
+
+
+def test_repetitive_texts_by_brute_force():
+    """Items and texts of few letters and repeated parts, where pieces occur many times and windows overlap."""
+    rng = random.Random(3)
+    for trial in range(60):
+        unit = "".join(rng.choice("ab- ") for _ in range(rng.randint(1, 12))).strip() or "a"
+        item = (unit * 60)[: rng.randint(9, 90)].strip()
+        item = item[:20] + rng.choice(["", "xyz", "-" * 15]) + item[20:]
+        texts = [unit * rng.randint(1, 60), "-" * 200, item * 3, ("q" * 7).join([item] * 3), "".join(rng.choice("ab-") for _ in range(150)) + item[: len(item) // 2]]
+        for _ in range(3):
+            edited = list(item)
+            for _ in range(rng.randint(0, max(1, len(item) // 10) + 1)):
+                edited[rng.randrange(len(edited))] = rng.choice("abz")
+            texts.append("pre " + "".join(edited) + unit * 3)
+        table = prepare([(7, item), (8, unit * 2), (9, "-" * 30)], 0.1)
+        got = {(r, table.ids[i]): d for r, i, d in matches(pa.array(texts, pa.string()), table)}
+        norm = lambda s: " ".join("".join(c.lower() if c < "\x80" else c for c in s).split()).encode()
+        want = {}
+        for i, body, k in zip(table.ids, table.texts, table.budgets, strict=True):
+            for r, t in enumerate(texts):
+                if (d := myers(body, norm(t), k)) is not None:
+                    want[(r, i)] = d
+        assert got == want, (trial, item, unit)
+
+
+def test_hostile_texts_take_seconds_and_little_memory():
+    import time
+    import tracemalloc
+
+    rule = "Question one asks for a word. " * 5 + "-" * 40 + " Answer in one of the forms that the list below allows, and say why it is the right one. " * 2
+    sentence = "The same sentence stands here again and again, word for word. "
+    items = prepare([(1, rule), (2, sentence * 5), (3, "ab" * 200), (4, "-" * 300)])
+    for text, want in (("-" * 1_000_000, {4}), (sentence * 16_000, {2}), (" " * 1_000_000, set()), ("ab" * 500_000, {3}), ("x" * 1_000_000, set()), (rule[:300] * 3000, set())):
+        began = time.perf_counter()
+        got = {items.ids[i] for _, i, _ in matches(pa.array([text], pa.string()), items)}
+        assert got == want and time.perf_counter() - began < 20
+    tracemalloc.start()
+    matches(pa.array(["-" * 1_000_000], pa.string()), items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
