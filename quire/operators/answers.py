@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -44,9 +45,10 @@ def digest(value: object) -> str:
 class AnswerTable:
     """Answers kept between runs, in Parquet: one a (state, question, model), where the state is what a model is shown.
 
-    Answers are appended in the folder's newest generation; a failed call leaves none, so it is asked again in a later run. ``compact``
-    writes a new generation of few files with each answer once, which counts from the moment that it is whole; older ones are
-    dropped by ``vacuum``. Readers may run at any time; one run at a time may append or compact.
+    Every append is a folder of its own in the newest generation, so a frame that was read earlier keeps its files, and two reads of
+    different states of the table are never taken for the same scan. A failed call leaves no answer, so it is asked again in a later
+    run. ``compact`` writes a new generation of few files with each answer once, which counts from the moment that it is whole; older
+    ones are dropped by ``vacuum``. Readers may run at any time; one run at a time may append or compact.
     """
 
     SCHEMA = "state_sha256 string, question_sha256 string, model string, body string, input_tokens bigint, truncated boolean"
@@ -55,43 +57,48 @@ class AnswerTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
+    def _whole(self) -> dict[int, list[str]]:
+        """The finished appends of each generation."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return {}
+        found: dict[int, list[str]] = {}
+        for status in fs.globStatus(hadoop(root, "gen-*/add-*/_SUCCESS")) or ():
+            folder = status.getPath().getParent()
+            found.setdefault(int(folder.getParent().getName()[4:]), []).append(folder.toString())
+        return {g: sorted(found[g]) for g in sorted(found)}
 
     def generations(self) -> list[int]:
         """Whole generations, oldest first."""
-        fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("gen=")]
-        whole = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[4:]) for p in whole)
+        return list(self._whole())
 
-    def _folder(self, generation: int) -> str:
-        return f"{self.path}/gen={generation:06d}"
+    def _new(self, generation: int) -> str:
+        return f"{self.path}/gen-{generation:06d}/add-{uuid.uuid4().hex}"
 
     def read(self) -> DataFrame:
         """All answers; a key may occur more than once until the next compaction."""
-        held = self.generations()
+        held = self._whole()
         if not held:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self._folder(held[-1]))
+        return self.spark.read.schema(self.SCHEMA).parquet(*held[max(held)])
 
     def append(self, answers: DataFrame) -> None:
         held = self.generations()
-        answers.select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).write.mode("append").parquet(self._folder(held[-1] if held else 0))
+        answers.select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).write.parquet(self._new(held[-1] if held else 0))
 
     def compact(self, files: int = 1) -> None:
         held = self.generations()
         if held:
             once = self.read().groupBy(*self.KEY).agg(F.min(F.struct("body", "input_tokens", "truncated")).alias("a")).select(*self.KEY, "a.*")
-            once.repartition(files, "state_sha256").write.mode("overwrite").parquet(self._folder(held[-1] + 1))
+            once.repartition(files, "state_sha256").write.parquet(self._new(held[-1] + 1))
 
     def vacuum(self) -> None:
-        fs, _ = self._fs()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         for generation in self.generations()[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(generation)), True)
+            folder = hadoop(f"{self.path}/gen-{generation:06d}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def answer(self, states: DataFrame, model: str, questions: dict, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """(key, answered, body, input_tokens, truncated) for rows (key, state): known states are looked up, each other one is asked

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
+from .quantiles import exact_quantiles
 from .rules import is_named
 from .validate import InvalidInput
 
@@ -92,4 +93,7 @@ def model_metrics(sent: DataFrame, gate: float = tx.GATE, by: tuple[str, ...] =
 
 
 def median_ms(samples: DataFrame, by: str, value: str) -> DataFrame:
-    return samples.groupBy(by).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """Median, least and most of each group; no group is held in one buffer."""
+    ends = samples.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = exact_quantiles(samples, by, value, {"median": 0.5}).withColumnRenamed(by, "_by")
+    return ends.join(middle, ends[by].eqNullSafe(middle["_by"])).select(by, "median", "least", "most")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
+from ..sources.sinks import publish_all
 from ..sources.writers import write_report
 from ..tables import written
 from . import evaluate, model, rules, validate
@@ -38,10 +39,14 @@ def evaluation(cases: DataFrame) -> dict[str, DataFrame]:
 
 
 def run_evaluation(cases: DataFrame, folder: str, overwrite: bool = False) -> dict[str, DataFrame]:
-    """Writes each part of the evaluation to ``folder`` and then refuses a run whose gates fail."""
+    """Writes each part of the evaluation to ``folder``, which appears whole or not at all, and then refuses a run whose gates fail."""
     parts = evaluation(cases)
-    for name, part in parts.items():
-        write_report(part.withColumn("schema", F.lit(EVALUATION)), f"{folder}/{name}", overwrite)
+    named = {name: part.withColumn("schema", F.lit(EVALUATION)) for name, part in parts.items()}
+    if overwrite:
+        for name, part in named.items():
+            write_report(part, f"{folder}/{name}", overwrite)
+    else:
+        publish_all(cases.sparkSession, named, folder)
     failed = sorted(r.dataset for r in parts["gates"].where("NOT passed").collect())
     if failed:
         raise validate.InvalidInput(f"Quality gate failed: {', '.join(failed)}")

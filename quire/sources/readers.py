@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as tx
 from ..operators.rules import PAGE_SCHEMA
 from ..operators.validate import InvalidInput, duplicates, pack_report, page_valid, require
+from ..tables import written_checked
 
 JSON_PAGE = "struct<page:bigint,text:string,extraction:string,warnings:array<string>,ocrEngine:string,ocrLineConfidence:array<double>>"
 CASE = f"struct<id:string,`group`:string,label:string,{JSON_PAGE[len('struct<page:bigint,'):]}"
@@ -99,7 +100,8 @@ def ocr_page(page: int, lines: list[tuple[str, float]], engine: str = tx.ENGINES
 
 
 def read_pages(spark: SparkSession, path: str, extractor: Callable[[bytes], Iterable[dict]] | None = None) -> DataFrame:
-    """Dispatch by extension and validate: a pack has 1 to 500 valid pages whose numbers rise."""
+    """Dispatch by extension and validate: a pack has 1 to 500 valid pages whose numbers rise. Files are parsed once: rows are checked on
+    the pass that writes them, and packs on what was written."""
     kind = path.lower().rsplit(".", 1)[-1] if "." in path.rsplit("/", 1)[-1] else ""
     if kind == "json":
         pages = read_json_pages(spark, path)
@@ -109,7 +111,7 @@ def read_pages(spark: SparkSession, path: str, extractor: Callable[[bytes], Iter
         pages = read_pdf_pages(spark, path, extractor)
     else:
         raise InvalidInput("Supported inputs: text, Markdown, JSON page arrays, and PDF with an extractor.")
-    require(pages, page_valid(), "Invalid page: supply a positive page number, bounded text, extraction status and string warnings.")
+    pages = written_checked(pages, "pages", {"Invalid page: supply a positive page number, bounded text, extraction status and string warnings.": page_valid()}, InvalidInput)
     require(pack_report(pages), F.col("valid"), "Supply 1 to 500 pages with increasing numbers.")
     return pages
 

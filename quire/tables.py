@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -37,3 +38,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        fs.delete(folder, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all such tables of this application; call it when no result is read any more. They can hold page texts."""
+    _delete(spark, f"{shared_folder(spark)}/quire-pages-{spark.sparkContext.applicationId}")
+
+
+def written_checked(df: DataFrame, name: str, checks: dict[str, Column], refuse) -> DataFrame:
+    """``df``, written once, with its rows checked on the same pass: ``checks`` maps a message to a column that holds for every sound row.
+    If a row fails one (a null verdict fails), the files go and ``refuse`` is raised with the first message that was earned."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    seen = Observation()
+    failed = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"check{i}") for i, ok in enumerate(checks.values())]
+    df.observe(seen, *failed).write.parquet(path)
+    for i, message in enumerate(checks):
+        if seen.get[f"check{i}"]:
+            _delete(spark, path)
+            raise refuse(message)
+    return spark.read.schema(df.schema).parquet(path)
