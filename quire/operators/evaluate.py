@@ -36,6 +36,37 @@ def totals(rows: DataFrame, truth: str = "truth", prediction: str = "prediction"
     return out.select(*by, "cases", "correct", F.try_divide("correct", "cases").alias("accuracy"), "knownCases", "suggestions", F.try_divide("suggestions", "cases").alias("suggestionCoverage"), F.try_divide("rightSuggestions", "suggestions").alias("suggestionPrecision"))
 
 
+def counts(rows: DataFrame, truth: str = "truth", prediction: str = "prediction", by: tuple[str, ...] = ()) -> DataFrame:
+    """All counts of an evaluation from one pass: a row for each (by..., category) and, with ``whole`` set, one for each (by...).
+
+    A row counts once under its truth and once under its prediction; grouping sets sum both by category and over all."""
+    right = (F.col(truth) == F.col(prediction)).cast("int")
+    truths = F.struct(F.col(truth).alias("category"), F.lit(1).alias("t"), F.lit(0).alias("p"), right.alias("c"))
+    guesses = F.struct(F.col(prediction).alias("category"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("c"))
+    sides = rows.select(*by, F.explode(F.array(truths, guesses)).alias("s")).select(*by, "s.*")
+    keys = [F.col(c) for c in by]
+    named = lambda c: F.sum(F.when(is_named(F.col("category")), F.col(c)).otherwise(0))
+    return sides.groupingSets([[*keys, F.col("category")], keys], *keys, F.col("category")).agg(
+        (F.grouping("category") == 1).alias("whole"), F.sum("t").alias("cases"), F.sum("p").alias("proposed"), F.coalesce(F.sum("c"), F.lit(0)).alias("correct"),
+        named("t").alias("knownCases"), named("p").alias("suggestions"), F.coalesce(named("c"), F.lit(0)).alias("rightSuggestions"),
+    )
+
+
+def totals_of(counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`totals`, from :func:`counts`."""
+    return counted.where("whole").select(
+        *by, "cases", "correct", F.try_divide("correct", "cases").alias("accuracy"), "knownCases", "suggestions", F.try_divide("suggestions", "cases").alias("suggestionCoverage"),
+        F.try_divide("rightSuggestions", "suggestions").alias("suggestionPrecision"),
+    )
+
+
+def per_category_of(counted: DataFrame, by: tuple[str, ...] = (), names=tx.OUTCOMES) -> DataFrame:
+    """As :func:`per_category`, from :func:`counts`; every category of every group, zero-filled from the list of names."""
+    every = counted.where("whole").select(*by, F.explode(F.array(*map(F.lit, names))).alias("category"))
+    filled = every.join(counted.where("NOT whole").select(*by, "category", "cases", "proposed", "correct"), [*by, "category"], "left").na.fill(0, ["cases", "proposed", "correct"])
+    return filled.select(*by, "category", "cases", "proposed", "correct", F.try_divide("correct", "cases").alias("recall"), F.try_divide("correct", "proposed").alias("precision"))
+
+
 def errors(rows: DataFrame, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     return rows.where(F.col(truth) != F.col(prediction))
 

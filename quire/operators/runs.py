@@ -30,12 +30,12 @@ def predictions(cases: DataFrame) -> DataFrame:
 
 
 def evaluation(cases: DataFrame) -> dict[str, DataFrame]:
-    """Totals, categories and errors by method and dataset, and the gates that the rules must pass."""
-    rows = predictions(cases)
-    by_rules = rows.where("method = 'rules'")
-    totals, categories = evaluate.totals(rows, by=("method", "dataset")), evaluate.per_category(rows, by=("method", "dataset"))
-    seen = by_rules.groupBy("dataset", F.col("truth").alias("category")).agg(F.count(F.lit(1)).alias("cases"))
-    return {"totals": totals, "categories": categories, "errors": evaluate.errors(rows), "gates": evaluate.gates(evaluate.totals(by_rules, by=("dataset",)), seen)}
+    """Totals, categories and errors by method and dataset, and the gates that the rules must pass. All counts are of one pass."""
+    by, rows = ("method", "dataset"), predictions(cases)
+    counted = written(evaluate.counts(rows, by=by), "counts")
+    totals, categories = evaluate.totals_of(counted, by), evaluate.per_category_of(counted, by)
+    seen = counted.where("NOT whole AND method = 'rules'").select("dataset", "category", "cases")
+    return {"totals": totals, "categories": categories, "errors": evaluate.errors(rows), "gates": evaluate.gates(totals.where("method = 'rules'").drop("method"), seen)}
 
 
 def run_evaluation(cases: DataFrame, folder: str, overwrite: bool = False) -> dict[str, DataFrame]:

@@ -151,3 +151,18 @@ def test_reports_of_decision_files_and_batches(spark):
 def test_rules_classify_cases_keep_other_columns(cases):
     pages = cases.withColumn("doc_id", F.col("id")).withColumn("page", F.lit(1))
     assert {"dataset", "label"} <= set(rules.classify(pages).columns)
+
+
+def test_one_pass_gives_all_counts(spark):
+    from quire.operators import evaluate
+
+    names = [*tx.TYPES[:3], "unknown", "ambiguous", "other", None]
+    rows = [(d, names[i % 7], names[(i * 3 + len(d)) % 7]) for d in ("a", "bb") for i in range(60)]
+    df = spark.createDataFrame(rows, "dataset string, truth string, prediction string")
+    counted = evaluate.counts(df, by=("dataset",))
+    plain = lambda frame: sorted(map(repr, frame.collect()))
+    columns = evaluate.totals(df, by=("dataset",)).columns
+    assert plain(evaluate.totals_of(counted, ("dataset",)).select(*columns)) == plain(evaluate.totals(df, by=("dataset",)))
+    assert plain(evaluate.per_category_of(counted, ("dataset",))) == plain(evaluate.per_category(df, by=("dataset",)))
+    assert plain(evaluate.totals_of(evaluate.counts(df))) == plain(evaluate.totals(df).select(*evaluate.totals_of(evaluate.counts(df)).columns))
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
