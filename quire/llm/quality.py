@@ -160,7 +160,8 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, t
     measured = cut(docs.select("doc_id", (fold == held).alias("held_out"), *(c.cast("double").alias(n) for n, c in stats.items())), "stats")
     usable = labels.where((fold != held) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    got = measured.join(F.broadcast(sample), "doc_id").select("y", *stats).toArrow()
+    drawn = measured.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), *stats).limit(sample_rows)  # ids may repeat
+    got = drawn.select("y", *stats).toArrow()
     y = np.asarray(got.column("y"), dtype=np.float64)
     x = np.stack([np.asarray(got.column(n), dtype=np.float64) for n in stats], axis=1) if len(y) else np.zeros((0, len(stats)))
     order = np.lexsort((*x.T, y)) if len(y) else np.zeros(0, dtype=np.int64)

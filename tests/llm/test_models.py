@@ -285,3 +285,18 @@ def test_the_tree_beats_word_frequencies_on_held_out_rows(spark):
     got = score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).where("held_out")
     r = got.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count_if(F.col("score") > F.col("base_score")).alias("up"), F.count(F.lit(1)).alias("n"), F.min("bits_per_byte").alias("least")).first()
     assert r.s > r.b and r.up > 0.9 * r.n and r.least > 0
+
+
+def test_the_quality_fit_is_bounded_where_ids_repeat(spark, documents, labels, monkeypatch):
+    from quire.llm import quality as module
+
+    seen = []
+
+    def fit(x, y, names):
+        seen.append(len(x))
+        return fit_rules(x, y, names)
+
+    monkeypatch.setattr(module, "fit_rules", fit)
+    many = documents.union(documents).union(documents)
+    scored = module.quality(many, labels, sample_rows=40)
+    assert seen == [40] and scored.count() == many.count()
