@@ -58,7 +58,8 @@ def _support(col: str, t: str) -> str:
 
 
 BLANKED = {t: f"regexp_replace(clean, {quote(re2(h))}, ' ', 'g')" for t, h in tx.HEADINGS.items()}
-CLEAN = """cl AS (SELECT *, replace(CASE WHEN ocr_line_confidence IS NULL THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN ocr_line_confidence[i] < 0.8 THEN '' ELSE l END), chr(10)) END, chr(13), '') AS clean FROM sp)"""
+CLEAN = """cl AS (SELECT *, replace(CASE WHEN ocr_line_confidence IS NULL THEN text ELSE array_to_string(list_transform(string_split(text, chr(10)),
+  lambda l, i: CASE WHEN ocr_line_confidence[i] < 0.8 THEN '' ELSE l END), chr(10)) END, chr(13), '') AS clean FROM sp)"""
 NAMED = "(" + ", ".join(map(quote, tx.TYPES)) + ")"
 
 
@@ -73,16 +74,22 @@ CANDIDATES = "list_filter([" + ", ".join(f"CASE WHEN {_m('win', h)} AND {_suppor
 RULES = f"""{synth_sql()}, {CLEAN},
 w AS (SELECT *, {_window("clean")} AS win, CASE WHEN {GATE} THEN 'extraction' WHEN {CONTEXT} THEN 'context' ELSE 'rules' END AS gate, {LOW} AS low FROM cl),
 cd AS (SELECT *, CASE WHEN gate = 'rules' THEN {CANDIDATES} ELSE [] END AS candidates FROM w),
-r AS (SELECT *, CASE WHEN gate = 'extraction' THEN 'unreadable' WHEN gate = 'context' THEN 'unknown' WHEN len(candidates) > 1 THEN 'ambiguous' WHEN len(candidates) = 1 THEN candidates[1] WHEN low THEN 'unreadable' ELSE 'unknown' END AS "documentType",
-  CASE WHEN gate = 'extraction' THEN 'extraction_requires_review' WHEN gate = 'context' THEN 'context_only_or_instructions' WHEN len(candidates) > 1 THEN 'conflicting_category_evidence' WHEN len(candidates) = 1 THEN 'rule_suggestion' WHEN low THEN 'insufficient_reliable_ocr_evidence' ELSE 'no_rule_match' END AS reason,
-  CASE WHEN gate = 'extraction' OR (gate = 'rules' AND len(candidates) = 0 AND low) THEN 'extraction' ELSE 'rules' END AS method, sha256(text) AS "textSha256" FROM cd)"""
+r AS (SELECT *, CASE WHEN gate = 'extraction' THEN 'unreadable' WHEN gate = 'context' THEN 'unknown' WHEN len(candidates) > 1 THEN 'ambiguous'
+  WHEN len(candidates) = 1 THEN candidates[1] WHEN low THEN 'unreadable' ELSE 'unknown' END AS "documentType",
+  CASE WHEN gate = 'extraction' THEN 'extraction_requires_review' WHEN gate = 'context' THEN 'context_only_or_instructions' WHEN len(candidates) > 1
+  THEN 'conflicting_category_evidence' WHEN len(candidates) = 1 THEN 'rule_suggestion' WHEN low THEN 'insufficient_reliable_ocr_evidence'
+  ELSE 'no_rule_match' END AS reason,
+  CASE WHEN gate = 'extraction' OR (gate = 'rules' AND len(candidates) = 0 AND low) THEN 'extraction' ELSE 'rules' END AS method,
+  sha256(text) AS "textSha256" FROM cd)"""
 
 
 def _classified(spark, sf_dir):
     return rules.classify(synth_pages(spark, sf_dir))
 
 
-@query(f"""WITH {RULES} SELECT doc_id, page, "documentType", reason, method, array_to_string(candidates, ',') AS candidates, array_to_string(list_transform(candidates, lambda c: 'heading_and_support:' || c), ',') AS evidence, "textSha256", NULL::DOUBLE AS confidence, true AS "requiresReview" FROM r""")
+@query(f"""WITH {RULES} SELECT doc_id, page, "documentType", reason, method, array_to_string(candidates, ',') AS candidates,
+  array_to_string(list_transform(candidates, lambda c: 'heading_and_support:' || c), ',') AS evidence, "textSha256", NULL::DOUBLE AS confidence,
+  true AS "requiresReview" FROM r""")
 def p8_rule_outcomes(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "page", "documentType", "reason", "method", F.array_join("candidates", ",").alias("candidates"), F.array_join("evidence", ",").alias("evidence"), "textSha256", "confidence", "requiresReview")
 
@@ -104,21 +111,26 @@ def p2_context_only(spark, sf_dir):
     return read.select("doc_id", *(c.alias(k) for k, c in rules.context_matches(F.col("clean")).items()))
 
 
-@query(f"""WITH {synth_sql()}, {CLEAN}, w AS (SELECT *, {_window("clean")} AS win FROM cl), u AS (SELECT doc_id, unnest([{", ".join(f"CASE WHEN {_m('win', h)} THEN '{t}' END" for t, h in tx.HEADINGS.items())}]) AS type FROM w) SELECT doc_id, type FROM u WHERE type IS NOT NULL""")
+@query(f"""WITH {synth_sql()}, {CLEAN}, w AS (SELECT *, {_window("clean")} AS win FROM cl), u AS (SELECT doc_id,
+  unnest([{", ".join(f"CASE WHEN {_m('win', h)} THEN '{t}' END" for t, h in tx.HEADINGS.items())}]) AS type FROM w) SELECT doc_id, type FROM u
+  WHERE type IS NOT NULL""")
 def p3_heading_matrix(spark, sf_dir):
     read = rules.usable_text(synth_pages(spark, sf_dir)).withColumn("win", tf.heading_window(F.col("clean")))
     hits = F.array(*(F.when(c, F.lit(t)) for t, c in rules.heading_matches(F.col("win")).items()))
     return read.select("doc_id", F.explode(F.filter(hits, lambda t: t.isNotNull())).alias("type"))
 
 
-@query(f"""WITH {synth_sql()}, {CLEAN}, u AS (SELECT doc_id, unnest([{", ".join(f"CASE WHEN {_support(BLANKED[t], t)} THEN '{t}' END" for t in tx.HEADINGS)}]) AS type FROM cl) SELECT doc_id, type FROM u WHERE type IS NOT NULL""")
+@query(f"""WITH {synth_sql()}, {CLEAN}, u AS (SELECT doc_id,
+  unnest([{", ".join(f"CASE WHEN {_support(BLANKED[t], t)} THEN '{t}' END" for t in tx.HEADINGS)}]) AS type FROM cl) SELECT doc_id, type FROM u
+  WHERE type IS NOT NULL""")
 def p4_support_matrix(spark, sf_dir):
     read = rules.usable_text(synth_pages(spark, sf_dir))
     hits = F.array(*(F.when(rules.support(rules.without_heading(F.col("clean"), t), t), F.lit(t)) for t in tx.HEADINGS))
     return read.select("doc_id", F.explode(F.filter(hits, lambda t: t.isNotNull())).alias("type"))
 
 
-@query(f"""WITH {synth_sql()} SELECT doc_id, {_order("text", tx.IN_ORDER["business-activity-statement"])} AS activity, {_order("text", tx.IN_ORDER["tax-invoice"])} AS invoice FROM sp""")
+@query(f"""WITH {synth_sql()} SELECT doc_id, {_order("text", tx.IN_ORDER["business-activity-statement"])} AS activity,
+  {_order("text", tx.IN_ORDER["tax-invoice"])} AS invoice FROM sp""")
 def p5_ordered_tokens(spark, sf_dir):
     t = F.col("text")
     return synth_pages(spark, sf_dir).select("doc_id", rules.in_order(t, tx.IN_ORDER["business-activity-statement"]).alias("activity"), rules.in_order(t, tx.IN_ORDER["tax-invoice"]).alias("invoice"))
@@ -132,7 +144,8 @@ def p6_receipt_negation(spark, sf_dir):
 _KEYWORD = rf"CASE WHEN regexp_full_match(text, '\s*') OR extraction IN ('needs_ocr', 'failed') THEN 'unreadable' " + " ".join(f"WHEN contains(lower(text), '{tx.keyword(t)}') THEN '{t}'" for t in tx.TYPES) + " ELSE 'unknown' END"
 
 
-@query(f"""WITH {synth_sql()}, a AS (SELECT doc_id, text, extraction FROM sp UNION ALL SELECT doc_id::VARCHAR, text, 'native' FROM documents) SELECT doc_id, {_KEYWORD} AS outcome FROM a""")
+@query(f"""WITH {synth_sql()}, a AS (SELECT doc_id, text, extraction FROM sp UNION ALL SELECT doc_id::VARCHAR, text, 'native' FROM documents)
+  SELECT doc_id, {_KEYWORD} AS outcome FROM a""")
 def p9_keyword_baseline(spark, sf_dir):
     pages = synth_pages(spark, sf_dir).select("doc_id", "text", "extraction").unionByName(_documents(spark, sf_dir).select(F.col("doc_id").cast("string"), "text", F.lit("native").alias("extraction")))
     return pages.select("doc_id", rules.keyword_baseline(F.col("text"), F.col("extraction")).alias("outcome"))
@@ -149,7 +162,8 @@ def p10_fallback_selector(spark, sf_dir):
 @query(f"""WITH {RULES} SELECT doc_id, page,
   CASE WHEN {_PICK} AND k % 2 = 0 THEN 'Tax invoice' || chr(10) || 'GST 1' || chr(10) || 'Total ' || k::VARCHAR ELSE text END AS text,
   CASE WHEN {_PICK} AND k % 2 = 0 THEN 'ocr' ELSE extraction END AS extraction,
-  array_to_string(CASE WHEN {_PICK} AND k % 2 = 0 THEN [] WHEN {_PICK} THEN list_concat(coalesce(warnings, []), ['{tx.FALLBACK_FAILED}']) ELSE coalesce(warnings, []) END, ',') AS warnings FROM r""")
+  array_to_string(CASE WHEN {_PICK} AND k % 2 = 0 THEN [] WHEN {_PICK} THEN list_concat(coalesce(warnings, []), ['{tx.FALLBACK_FAILED}'])
+  ELSE coalesce(warnings, []) END, ',') AS warnings FROM r""")
 def j2_fallback_merge(spark, sf_dir):
     pages = synth_pages(spark, sf_dir)
     chosen = fallback.select_pages(pages, "k")
@@ -163,7 +177,8 @@ _UNFIT = """("documentType" = 'unreadable' OR len(coalesce(warnings, [])) > 0 OR
 
 
 @query(f"""WITH {RULES} SELECT doc_id, CASE WHEN {_UNFIT} THEN 'keep' WHEN length(text) > 20000 THEN 'too_long' ELSE 'ask' END AS compare,
-  CASE WHEN {_UNFIT} OR "documentType" IN {NAMED} OR reason = 'context_only_or_instructions' THEN 'keep' WHEN length(text) > 20000 THEN 'too_long' ELSE 'ask' END AS uncertain FROM r""")
+  CASE WHEN {_UNFIT} OR "documentType" IN {NAMED} OR reason = 'context_only_or_instructions' THEN 'keep' WHEN length(text) > 20000 THEN 'too_long'
+  ELSE 'ask' END AS uncertain FROM r""")
 def p11_model_routing(spark, sf_dir):
     both = model.route(model.route(_classified(spark, sf_dir), "compare").withColumnRenamed("route", "compare"), "uncertain")
     return both.select("doc_id", "compare", F.col("route").alias("uncertain"))
@@ -182,7 +197,9 @@ def t4_heading_window(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", tf.heading_window(F.col("text")).alias("win"))
 
 
-@query(f"""WITH {synth_sql()} SELECT doc_id, {", ".join(f"regexp_replace(text, {quote(re2(tx.HEADINGS[t]))}, ' ', 'g') AS {n}" for t, n in (("tax-invoice", "invoice"), ("dividend-statement", "dividend"), ("business-activity-statement", "activity")))} FROM sp""")
+@query(f"""WITH {synth_sql()} SELECT doc_id,
+  {", ".join(f"regexp_replace(text, {quote(re2(tx.HEADINGS[t]))}, ' ', 'g') AS {n}" for t, n in (("tax-invoice", "invoice"), ("dividend-statement", "dividend"), ("business-activity-statement", "activity")))}
+  FROM sp""")
 def t5_blank_own_heading(spark, sf_dir):
     t = F.col("text")
     return synth_pages(spark, sf_dir).select("doc_id", *(rules.without_heading(t, k).alias(n) for k, n in (("tax-invoice", "invoice"), ("dividend-statement", "dividend"), ("business-activity-statement", "activity"))))
@@ -205,14 +222,16 @@ def t7_page_state(spark, sf_dir):
     return pages.select("doc_id", tf.page_state(F.col("lines")).alias("s")).select("doc_id", "s.header", "s.body", "s.footer")
 
 
-@query(rf"""WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents), j AS (SELECT *, regexp_replace(regexp_replace(array_to_string(lines, ' '), '^\s+', ''), '\s+$', '') AS t FROM l)
+@query(rf"""WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents), j AS (SELECT *, regexp_replace(regexp_replace(array_to_string(lines, ' '),
+  '^\s+', ''), '\s+$', '') AS t FROM l)
 SELECT doc_id, length(t) < 60 OR regexp_matches(t, '(?i)intentionally left blank|left blank intentionally') AS blank FROM j""")
 def t8_blank(spark, sf_dir):
     pages = _documents(spark, sf_dir).withColumn("lines", tf.lines_of(F.col("text")))
     return pages.select("doc_id", tf.is_blank_page(F.col("lines")).alias("blank"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id, 'Att' AS w, {_LINES} AS lines FROM documents) SELECT doc_id, coalesce(starts_with(regexp_replace(lines[1], '^\s+', ''), 'Attention'), false) AS cover, coalesce(starts_with(regexp_replace(lines[1], '^\s+', ''), 'The'), false) AS the FROM l""")
+@query(rf"""WITH l AS (SELECT doc_id, 'Att' AS w, {_LINES} AS lines FROM documents) SELECT doc_id, coalesce(starts_with(regexp_replace(lines[1],
+  '^\s+', ''), 'Attention'), false) AS cover, coalesce(starts_with(regexp_replace(lines[1], '^\s+', ''), 'The'), false) AS the FROM l""")
 def t9_cover(spark, sf_dir):
     pages = _documents(spark, sf_dir).withColumn("lines", tf.lines_of(F.col("text")))
     return pages.select("doc_id", tf.is_cover_sheet(F.col("lines")).alias("cover"), F.coalesce(F.startswith(tf.strip(F.get("lines", F.lit(0))), F.lit("The")), F.lit(False)).alias("the"))
@@ -233,7 +252,8 @@ def t2_nfkc(spark, sf_dir):
 # --- sources
 
 
-@query("""WITH d AS (SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS text FROM conversations GROUP BY 1), p AS (SELECT conv_id, string_split(text, chr(12)) AS a FROM d)
+@query("""WITH d AS (SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS text FROM conversations GROUP BY 1), p AS (SELECT conv_id,
+  string_split(text, chr(12)) AS a FROM d)
 SELECT conv_id::VARCHAR AS doc_id, i::BIGINT AS page, a[i] AS text FROM (SELECT conv_id, a, unnest(range(1, len(a) + 1)) AS i FROM p)""")
 def s2_formfeed_split(spark, sf_dir):
     packs = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -241,7 +261,8 @@ def s2_formfeed_split(spark, sf_dir):
     return split_form_feeds(texts).select("doc_id", "page", "text")
 
 
-@query("""SELECT p_partkey || '.pdf' AS file, CASE WHEN page % 5 = 0 THEN 'blank' ELSE p_partkey::VARCHAR END AS truth, page::INTEGER AS page, p_size AS "pageCount" FROM (SELECT p_partkey, p_size, unnest(range(1, p_size + 1)) AS page FROM part)""")
+@query("""SELECT p_partkey || '.pdf' AS file, CASE WHEN page % 5 = 0 THEN 'blank' ELSE p_partkey::VARCHAR END AS truth, page::INTEGER AS page,
+  p_size AS "pageCount" FROM (SELECT p_partkey, p_size, unnest(range(1, p_size + 1)) AS page FROM part)""")
 def s12_blank_jobs(spark, sf_dir):
     every = F.sequence(F.lit(1), F.col("p_size"))
     listed = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("pages"), F.filter(every, lambda p: p % 5 == 0).alias("blankPages"))
@@ -249,7 +270,8 @@ def s12_blank_jobs(spark, sf_dir):
 
 
 @query("""WITH s(stem, truth) AS (VALUES """ + ", ".join(f"({quote(a)}, {quote(b)})" for a, b in tx.STEM_FORMS.items()) + """), l AS (SELECT list(stem ORDER BY stem) AS a FROM s),
-f AS (SELECT o_orderkey, a[(o_orderkey % 15) + 1] AS stem FROM orders, l) SELECT 'x/input/' || stem || '_2024_' || o_orderkey || '.pdf' AS path, truth FROM f JOIN s USING (stem)""")
+f AS (SELECT o_orderkey, a[(o_orderkey % 15) + 1] AS stem FROM orders, l) SELECT 'x/input/' || stem || '_2024_' || o_orderkey || '.pdf' AS path, truth
+  FROM f JOIN s USING (stem)""")
 def s13_bench_truth(spark, sf_dir):
     stems = F.array(*map(F.lit, sorted(tx.STEM_FORMS)))
     files = _table(spark, sf_dir, "orders").select(F.concat(F.lit("x/input/"), F.get(stems, (F.col("o_orderkey") % 15).cast("int")), F.lit("_2024_"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("path"))
@@ -275,8 +297,10 @@ _F = "split_part(id, '/', 1)"
 _P = r"'^form-(.+?)(?:-schedule-(.+))?$'"
 
 
-@query(rf"""WITH i AS ({_pick_sql(_IDS, "id")}) SELECT n, id, regexp_full_match(id, {quote(ids.GRAMMAR + "|blank")}) AS valid, {_F} AS form, nullif(regexp_extract(id, '/p(\d+)$', 1), '')::BIGINT AS page, nullif(regexp_extract({_F}, '^(form-.+?)-schedule-', 1), '') AS parent,
- CASE WHEN NOT regexp_matches({_F}, {_P}) THEN id WHEN regexp_extract({_F}, {_P}, 2) <> '' THEN 'Schedule ' || upper(regexp_extract({_F}, {_P}, 2)) || ' (Form ' || upper(regexp_extract({_F}, {_P}, 1)) || ')' ELSE 'Form ' || upper(regexp_extract({_F}, {_P}, 1)) END AS label,
+@query(rf"""WITH i AS ({_pick_sql(_IDS, "id")}) SELECT n, id, regexp_full_match(id, {quote(ids.GRAMMAR + "|blank")}) AS valid, {_F} AS form,
+  nullif(regexp_extract(id, '/p(\d+)$', 1), '')::BIGINT AS page, nullif(regexp_extract({_F}, '^(form-.+?)-schedule-', 1), '') AS parent,
+ CASE WHEN NOT regexp_matches({_F}, {_P}) THEN id WHEN regexp_extract({_F}, {_P}, 2) <> '' THEN 'Schedule ' || upper(regexp_extract({_F}, {_P},
+  2)) || ' (Form ' || upper(regexp_extract({_F}, {_P}, 1)) || ')' ELSE 'Form ' || upper(regexp_extract({_F}, {_P}, 1)) END AS label,
  coalesce(nullif(regexp_extract(id, '(\d{{3,4}})', 1), ''), id) AS stem FROM i""")
 def i1_form_ids(spark, sf_dir):
     i = F.col("id")
@@ -287,7 +311,8 @@ _N1 = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(regexp
 _N2 = r"regexp_replace(regexp_replace(upper(regexp_extract(trim(name), '^Form (\S+)(?: Schedule (\S+))?$', 2)), '^([A-Z])(\d)$', '\1-\2'), '^(\d)([A-Z])$', '\1-\2')"
 
 
-@query(rf"""WITH i AS ({_pick_sql(_NAMES, "name")}) SELECT n, CASE WHEN regexp_matches(trim(name), '^Form (\S+)(?: Schedule (\S+))?$') THEN 'form-' || lower({_N1}) || CASE WHEN {_N2} <> '' THEN '-schedule-' || lower({_N2}) ELSE '' END END AS id FROM i""")
+@query(rf"""WITH i AS ({_pick_sql(_NAMES, "name")}) SELECT n, CASE WHEN regexp_matches(trim(name), '^Form (\S+)(?: Schedule (\S+))?$')
+  THEN 'form-' || lower({_N1}) || CASE WHEN {_N2} <> '' THEN '-schedule-' || lower({_N2}) ELSE '' END END AS id FROM i""")
 def i5_name_ids(spark, sf_dir):
     return _picked(spark, sf_dir, _NAMES, "name").select("n", ids.id_of_name(F.col("name"), strict=False).alias("id"))
 
@@ -295,8 +320,10 @@ def i5_name_ids(spark, sf_dir):
 _B, _S = f"replace(regexp_extract({_F}, {_P}, 1), '-', '')", f"replace(regexp_extract({_F}, {_P}, 2), '-', '')"
 
 
-@query(rf"""WITH i AS ({_pick_sql(_IDS, "id")}) SELECT n, CASE WHEN NOT regexp_matches({_F}, {_P}) THEN NULL WHEN {_S} = '' THEN 'f' || {_B} || '.pdf' WHEN {_B} = '1040' AND {_S} = '8812' THEN 'f1040s8.pdf' WHEN {_B} = '1040' AND {_S} = 'eic' THEN 'f1040sei.pdf'
- WHEN {_B} = '1040nr' THEN 'f1040nr' || {_S}[1] || '.pdf' WHEN {_B} = '1118' AND {_S} = 'i' THEN 'f1118s1.pdf' WHEN {_B} = '8995a' THEN 'f8995a' || {_S} || '.pdf' ELSE 'f' || {_B} || 's' || {_S} || '.pdf' END AS file FROM i""")
+@query(rf"""WITH i AS ({_pick_sql(_IDS, "id")}) SELECT n, CASE WHEN NOT regexp_matches({_F}, {_P}) THEN NULL WHEN {_S} = '' THEN 'f' || {_B} || '.pdf'
+  WHEN {_B} = '1040' AND {_S} = '8812' THEN 'f1040s8.pdf' WHEN {_B} = '1040' AND {_S} = 'eic' THEN 'f1040sei.pdf'
+ WHEN {_B} = '1040nr' THEN 'f1040nr' || {_S}[1] || '.pdf' WHEN {_B} = '1118' AND {_S} = 'i' THEN 'f1118s1.pdf' WHEN {_B} = '8995a'
+  THEN 'f8995a' || {_S} || '.pdf' ELSE 'f' || {_B} || 's' || {_S} || '.pdf' END AS file FROM i""")
 def i7_pdf_name(spark, sf_dir):
     return _picked(spark, sf_dir, _IDS, "id").select("n", ids.pdf_name(F.col("id"), strict=False).alias("file"))
 
@@ -306,8 +333,11 @@ def i7_pdf_name(spark, sf_dir):
 _BAD = "CASE k % 13 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE page END"
 
 
-@query(f"""WITH {synth_sql()}, b AS (SELECT *, {_BAD} AS pg, CASE WHEN k % 11 = 0 THEN 'scan' ELSE extraction END AS ex, CASE WHEN k % 17 = 0 THEN 'other' ELSE ocr_engine END AS en, CASE WHEN k % 19 = 0 THEN list_concat(coalesce(ocr_line_confidence, []), [1.5::DOUBLE]) ELSE ocr_line_confidence END AS cf FROM sp)
-SELECT doc_id, pg BETWEEN 1 AND 9007199254740991 AND length(text) <= 200000 AND ex IN ('native', 'ocr', 'needs_ocr', 'failed') AND (cf IS NULL OR (ex = 'ocr' AND len(cf) = len(string_split(text, chr(10))) AND len(list_filter(cf, lambda c: NOT (c >= 0 AND c <= 1))) = 0))
+@query(f"""WITH {synth_sql()}, b AS (SELECT *, {_BAD} AS pg, CASE WHEN k % 11 = 0 THEN 'scan' ELSE extraction END AS ex, CASE WHEN k % 17 = 0
+  THEN 'other' ELSE ocr_engine END AS en, CASE WHEN k % 19 = 0 THEN list_concat(coalesce(ocr_line_confidence, []), [1.5::DOUBLE])
+  ELSE ocr_line_confidence END AS cf FROM sp)
+SELECT doc_id, pg BETWEEN 1 AND 9007199254740991 AND length(text) <= 200000 AND ex IN ('native', 'ocr', 'needs_ocr', 'failed') AND (cf IS NULL
+  OR (ex = 'ocr' AND len(cf) = len(string_split(text, chr(10))) AND len(list_filter(cf, lambda c: NOT (c >= 0 AND c <= 1))) = 0))
  AND coalesce(en IN ('pdf-inspector-pp-ocrv6-small', 'paddleocr-3.7.0-pp-ocrv6-small'), true) AS valid FROM b""")
 def v1_page_validity(spark, sf_dir):
     k = F.col("k")
@@ -320,14 +350,17 @@ def v1_page_validity(spark, sf_dir):
     return spoilt.select("doc_id", validate.page_valid().alias("valid"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN 1 ELSE turn + 1 END AS page FROM conversations), b AS (SELECT *, lag(page) OVER (PARTITION BY conv_id ORDER BY turn) AS bef FROM p)
-SELECT conv_id AS doc_id, count(*) AS pages, bool_and(page > coalesce(bef, 0)) AS increasing, bool_and(page > coalesce(bef, 0)) AND count(*) BETWEEN 1 AND 500 AS valid FROM b GROUP BY 1""")
+@query("""WITH p AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN 1 ELSE turn + 1 END AS page FROM conversations),
+  b AS (SELECT *, lag(page) OVER (PARTITION BY conv_id ORDER BY turn) AS bef FROM p)
+SELECT conv_id AS doc_id, count(*) AS pages, bool_and(page > coalesce(bef, 0)) AS increasing, bool_and(page > coalesce(bef, 0)) AND count(*) BETWEEN 1
+  AND 500 AS valid FROM b GROUP BY 1""")
 def v2_pack_order(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 1), 1).otherwise(F.col("turn") + 1).alias("page"))
     return validate.pack_report(turns)
 
 
-@query(rf"""WITH {RULES}, b AS (SELECT *, CASE WHEN k % 9 = 0 THEN upper("textSha256") ELSE "textSha256" END AS sha, CASE WHEN k % 10 = 0 THEN 'Bad reason' ELSE reason END AS re, CASE WHEN k % 12 = 0 THEN 'au-0' ELSE 'au-1' END AS v FROM r)
+@query(rf"""WITH {RULES}, b AS (SELECT *, CASE WHEN k % 9 = 0 THEN upper("textSha256") ELSE "textSha256" END AS sha, CASE WHEN k % 10 = 0
+  THEN 'Bad reason' ELSE reason END AS re, CASE WHEN k % 12 = 0 THEN 'au-0' ELSE 'au-1' END AS v FROM r)
 SELECT doc_id, regexp_full_match(sha, '[a-f0-9]{{64}}') AND regexp_full_match(re, '[a-z_]{{1,64}}') AND v = 'au-1' AS valid FROM b""")
 def v3_result_validity(spark, sf_dir):
     k = F.col("k")
@@ -350,11 +383,15 @@ def v4_decisions_validity(spark, sf_dir):
 
 # an answer for each page, with every kind of fault: variant = k % 11
 _MO = tx.MODEL_OUTCOMES
-_ANSWERS = f"""an AS (SELECT *, k % 11 AS va, {quote(_MO)}[(k % 17) + 1] AS choice0, CASE k % 3 WHEN 0 THEN 0.97 WHEN 1 THEN 0.96 ELSE 0.5 END::DOUBLE AS p0 FROM r),
+_ANSWERS = f"""an AS (SELECT *, k % 11 AS va, {quote(_MO)}[(k % 17) + 1] AS choice0, CASE k % 3 WHEN 0 THEN 0.97 WHEN 1 THEN 0.96
+  ELSE 0.5 END::DOUBLE AS p0 FROM r),
 pr AS (SELECT *, CASE va WHEN 1 THEN 'other' WHEN 2 THEN NULL ELSE choice0 END AS choice, CASE va WHEN 3 THEN 0.2 ELSE p0 END::DOUBLE AS conf,
-  list_transform({quote(_MO)}, lambda o, i: CASE WHEN va = 4 AND i = 1 THEN -0.1 WHEN va = 5 AND i = 2 THEN 0.9 WHEN va = 6 AND (o = choice0 OR i = ((k + 1) % 17) + 1) THEN 0.5 WHEN va = 6 THEN 0.0 WHEN o = choice0 THEN p0 ELSE (1 - p0) / 16 END::DOUBLE) AS ps FROM an),
-ok AS (SELECT *, CASE WHEN va = 6 THEN 0.5::DOUBLE ELSE conf END AS cf, list_filter(ps, lambda x: x < 0 OR x > 1) AS outside, ps[list_position({quote(_MO)}, choice)] AS own FROM pr),
-vd AS (SELECT *, coalesce(va <> 7 AND choice IN ({", ".join(map(quote, _MO))}) AND len(outside) = 0 AND abs(list_sum(ps) - 1) < 0.001 AND own >= list_max(ps) AND abs(cf - own) < 0.001, false) AS valid, len(list_filter(ps, lambda x: x = own)) > 1 AS tied FROM ok)"""
+  list_transform({quote(_MO)}, lambda o, i: CASE WHEN va = 4 AND i = 1 THEN -0.1 WHEN va = 5 AND i = 2 THEN 0.9 WHEN va = 6 AND (o = choice0
+  OR i = ((k + 1) % 17) + 1) THEN 0.5 WHEN va = 6 THEN 0.0 WHEN o = choice0 THEN p0 ELSE (1 - p0) / 16 END::DOUBLE) AS ps FROM an),
+ok AS (SELECT *, CASE WHEN va = 6 THEN 0.5::DOUBLE ELSE conf END AS cf, list_filter(ps, lambda x: x < 0 OR x > 1) AS outside,
+  ps[list_position({quote(_MO)}, choice)] AS own FROM pr),
+vd AS (SELECT *, coalesce(va <> 7 AND choice IN ({", ".join(map(quote, _MO))}) AND len(outside) = 0 AND abs(list_sum(ps) - 1) < 0.001
+  AND own >= list_max(ps) AND abs(cf - own) < 0.001, false) AS valid, len(list_filter(ps, lambda x: x = own)) > 1 AS tied FROM ok)"""
 
 
 def _answered(spark, sf_dir, pages=None):
@@ -382,7 +419,8 @@ def v5_valid_answer(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT p_brand AS file, p_partkey % 3 AS m, p_size * 100.5 AS w, p_retailprice AS h, 2.0 + p_partkey % 2 AS s FROM part)
-SELECT file, count(*) AS pages, count(*) FILTER (ceil(w * s) <= 10000 AND ceil(h * s) <= 10000 AND ceil(w * s) * ceil(h * s) <= 20000000) AS fitting FROM g GROUP BY 1""")
+SELECT file, count(*) AS pages, count(*) FILTER (ceil(w * s) <= 10000 AND ceil(h * s) <= 10000 AND ceil(w * s) * ceil(h * s) <= 20000000) AS fitting
+  FROM g GROUP BY 1""")
 def v6_geometry(spark, sf_dir):
     pages = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), (F.col("p_size") * 100.5).alias("w"), F.col("p_retailprice").alias("h"), (F.lit(2.0) + F.col("p_partkey") % 2).alias("s"))
     return pages.groupBy("file").agg(F.count(F.lit(1)).alias("pages"), F.count_if(validate.render_fits(F.col("w"), F.col("h"), F.col("s"))).alias("fitting"))
@@ -391,28 +429,41 @@ def v6_geometry(spark, sf_dir):
 # --- the model decision
 
 _DECIDED = f"""{RULES}, {_ANSWERS}, rt AS (SELECT *, CASE WHEN {_UNFIT} THEN 'keep' ELSE 'ask' END AS route, CASE WHEN choice IN {NAMED} THEN choice END AS cand FROM vd),
-st AS (SELECT *, CASE WHEN route = 'keep' THEN 'keep' WHEN va = 8 THEN 'model_unavailable' WHEN NOT valid OR va = 9 THEN 'invalid_model_response' WHEN va = 10 THEN 'model_input_truncated' WHEN tied THEN 'tied_model_choices'
-  WHEN cand IS NOT NULL AND len(candidates) > 0 AND NOT list_contains(candidates, cand) THEN 'model_rule_disagreement' WHEN "documentType" = 'ambiguous' THEN 'conflicting_category_evidence' WHEN cf < 0.95 THEN 'below_model_gate' ELSE 'model_suggestion_requires_validation' END AS s FROM rt),
-md AS (SELECT *, CASE WHEN s = 'keep' THEN "documentType" WHEN s IN ('model_unavailable', 'invalid_model_response', 'model_input_truncated') THEN CASE WHEN "documentType" = 'ambiguous' THEN 'ambiguous' ELSE 'unknown' END
-  WHEN s IN ('tied_model_choices', 'model_rule_disagreement', 'conflicting_category_evidence') THEN 'ambiguous' WHEN s = 'below_model_gate' THEN 'unknown' ELSE choice END AS outcome,
+st AS (SELECT *, CASE WHEN route = 'keep' THEN 'keep' WHEN va = 8 THEN 'model_unavailable' WHEN NOT valid OR va = 9 THEN 'invalid_model_response'
+  WHEN va = 10 THEN 'model_input_truncated' WHEN tied THEN 'tied_model_choices'
+  WHEN cand IS NOT NULL AND len(candidates) > 0 AND NOT list_contains(candidates, cand) THEN 'model_rule_disagreement'
+  WHEN "documentType" = 'ambiguous' THEN 'conflicting_category_evidence' WHEN cf < 0.95 THEN 'below_model_gate'
+  ELSE 'model_suggestion_requires_validation' END AS s FROM rt),
+md AS (SELECT *, CASE WHEN s = 'keep' THEN "documentType" WHEN s IN ('model_unavailable', 'invalid_model_response', 'model_input_truncated') THEN CASE
+  WHEN "documentType" = 'ambiguous' THEN 'ambiguous' ELSE 'unknown' END
+  WHEN s IN ('tied_model_choices', 'model_rule_disagreement', 'conflicting_category_evidence') THEN 'ambiguous' WHEN s = 'below_model_gate'
+  THEN 'unknown' ELSE choice END AS outcome,
   route = 'ask' AND s NOT IN ('model_unavailable', 'invalid_model_response', 'model_input_truncated') AS used FROM st)"""
 
 
-@query(f"""WITH {_DECIDED} SELECT doc_id, outcome AS "documentType", CASE WHEN s = 'keep' THEN reason ELSE s END AS reason, CASE WHEN route = 'ask' THEN 'model' ELSE method END AS method, CASE WHEN used THEN cf END AS confidence,
- array_to_string(CASE WHEN used AND cand IS NOT NULL AND NOT list_contains(candidates, cand) THEN list_append(candidates, cand) ELSE candidates END, ',') AS candidates, CASE WHEN route = 'ask' THEN 1 ELSE 0 END::BIGINT AS calls, CASE WHEN used OR s = 'model_input_truncated' THEN k % 100 ELSE 0 END::BIGINT AS "inputTokens" FROM md""")
+@query(f"""WITH {_DECIDED} SELECT doc_id, outcome AS "documentType", CASE WHEN s = 'keep' THEN reason ELSE s END AS reason, CASE WHEN route = 'ask'
+  THEN 'model' ELSE method END AS method, CASE WHEN used THEN cf END AS confidence,
+ array_to_string(CASE WHEN used AND cand IS NOT NULL AND NOT list_contains(candidates, cand) THEN list_append(candidates, cand) ELSE candidates END,
+  ',') AS candidates, CASE WHEN route = 'ask' THEN 1 ELSE 0 END::BIGINT AS calls, CASE WHEN used OR s = 'model_input_truncated' THEN k % 100
+  ELSE 0 END::BIGINT AS "inputTokens" FROM md""")
 def m5_model_decision(spark, sf_dir):
     out = model.decided(_answered(spark, sf_dir, model.route(_classified(spark, sf_dir))))
     return out.select("doc_id", "documentType", "reason", "method", "confidence", F.array_join("candidates", ",").alias("candidates"), "calls", "inputTokens")
 
 
-@query(f"""WITH {_DECIDED} SELECT truth, count_if(outcome = "documentType") AS retained, count_if("documentType" <> truth AND outcome = truth) AS recovered, count_if("documentType" = truth AND outcome <> truth) AS degraded, count_if(truth NOT IN {NAMED} AND outcome IN {NAMED}) AS "falseSuggestions" FROM md GROUP BY 1""")
+@query(f"""WITH {_DECIDED} SELECT truth, count_if(outcome = "documentType") AS retained, count_if("documentType" <> truth
+  AND outcome = truth) AS recovered, count_if("documentType" = truth AND outcome <> truth) AS degraded, count_if(truth NOT IN {NAMED}
+  AND outcome IN {NAMED}) AS "falseSuggestions" FROM md GROUP BY 1""")
 def a8_transitions(spark, sf_dir):
     both = model.decided(_answered(spark, sf_dir, model.route(_classified(spark, sf_dir).withColumn("by_rules", F.col("documentType")))))
     return evaluate.transitions(both, F.col("truth"), F.col("by_rules"), F.col("documentType"), ("truth",))
 
 
-@query(f"""WITH {RULES}, {_ANSWERS}, x AS (SELECT *, va <> 8 AS answered, choice = truth AS rt FROM vd) SELECT count(*) AS "pagesSent", count_if(NOT answered) AS failed, count_if(answered AND NOT valid) AS invalid, count_if(answered AND valid) AS valid, count_if(answered AND valid AND choice = truth) AS correct,
- count_if(answered AND valid AND choice = truth AND cf >= 0.95) AS "correctAtGate", count_if(answered AND valid AND choice <> truth AND cf >= 0.95) AS "wrongAtGate", count_if(answered AND valid AND va = 10) AS truncated FROM x""")
+@query(f"""WITH {RULES}, {_ANSWERS}, x AS (SELECT *, va <> 8 AS answered, choice = truth AS rt FROM vd) SELECT count(*) AS "pagesSent",
+  count_if(NOT answered) AS failed, count_if(answered AND NOT valid) AS invalid, count_if(answered AND valid) AS valid, count_if(answered AND valid
+  AND choice = truth) AS correct,
+ count_if(answered AND valid AND choice = truth AND cf >= 0.95) AS "correctAtGate", count_if(answered AND valid AND choice <> truth
+  AND cf >= 0.95) AS "wrongAtGate", count_if(answered AND valid AND va = 10) AS truncated FROM x""")
 def a7_model_metrics(spark, sf_dir):
     rows = _answered(spark, sf_dir).withColumn("valid", validate.answer_valid(F.col("choice"), F.col("answer_confidence"), F.col("probabilities"))).withColumn("confidence", F.col("answer_confidence"))
     return evaluate.model_metrics(rows).select("pagesSent", "failed", "invalid", "valid", "correct", "correctAtGate", "wrongAtGate", "truncated")
@@ -444,9 +495,12 @@ def _argmax_sql(names: list[str], values: str) -> str:
 _E1 = "list_transform(embedding[1:9], lambda v: abs(v)::DOUBLE)"
 _ID = [i for i, _ in _FORMS]
 _SUBS = {f: "[" + ", ".join(f"abs(embedding[{20 + _ID.index(m)}])::DOUBLE" for m in ms) + "]" for f, ms in _MEMBERS.items()}
-_FORM_SQL = f"""b AS (SELECT vec_id, vec_id % 7 = 0 AS blank, {_argmax_sql(_FIRST[:-1], _E1)} AS a, {_argmax_sql(_MEMBERS["form-5471"], _SUBS["form-5471"])} AS s1, {_argmax_sql(_MEMBERS["form-8865"], _SUBS["form-8865"])} AS s2 FROM embeddings),
+_FORM_SQL = f"""b AS (SELECT vec_id, vec_id % 7 = 0 AS blank, {_argmax_sql(_FIRST[:-1], _E1)} AS a,
+  {_argmax_sql(_MEMBERS["form-5471"], _SUBS["form-5471"])} AS s1, {_argmax_sql(_MEMBERS["form-8865"], _SUBS["form-8865"])} AS s2 FROM embeddings),
 f AS (SELECT *, a.k IN ('form-5471', 'form-8865') AS two, CASE WHEN a.k = 'form-5471' THEN s1 ELSE s2 END AS s FROM b),
-fr AS (SELECT vec_id, CASE WHEN blank THEN 'blank' WHEN two THEN s.k ELSE a.k END AS form, CASE WHEN blank THEN 1.0 WHEN two THEN least(a.p, s.p) ELSE a.p END::DOUBLE AS "formConfidence", CASE WHEN blank THEN 0 WHEN two THEN 2 ELSE 1 END::BIGINT AS calls, CASE WHEN blank THEN 0 WHEN two THEN 15 ELSE 10 END::BIGINT AS "inputTokens",
+fr AS (SELECT vec_id, CASE WHEN blank THEN 'blank' WHEN two THEN s.k ELSE a.k END AS form, CASE WHEN blank THEN 1.0 WHEN two THEN least(a.p, s.p)
+  ELSE a.p END::DOUBLE AS "formConfidence", CASE WHEN blank THEN 0 WHEN two THEN 2 ELSE 1 END::BIGINT AS calls, CASE WHEN blank THEN 0 WHEN two THEN 15
+  ELSE 10 END::BIGINT AS "inputTokens",
   CASE WHEN blank THEN 'blank' ELSE {quote(tx.KINDS)}[(vec_id % 7) + 1] END AS kind, {quote(_ID)}[(vec_id % 10) + 1] AS truth FROM f)"""
 
 
@@ -465,7 +519,9 @@ def p12_strict_errors(spark, sf_dir):
     return _scored(spark, sf_dir).select("vec_id", "wrong", "strict")
 
 
-@query(f"""WITH {_FORM_SQL} SELECT count(*) AS pages, count_if(truth <> form) AS wrong, count_if(truth <> form OR "formConfidence" < 0.1) AS strict, count_if(truth <> form OR "formConfidence" < 0.1) / count(*) AS "strictRate", sum(calls)::BIGINT AS calls, sum("inputTokens")::BIGINT AS "inputTokens", sum("inputTokens")::BIGINT * 0.042::DOUBLE / 1e6 AS "estCostUsd" FROM fr""")
+@query(f"""WITH {_FORM_SQL} SELECT count(*) AS pages, count_if(truth <> form) AS wrong, count_if(truth <> form OR "formConfidence" < 0.1) AS strict,
+  count_if(truth <> form OR "formConfidence" < 0.1) / count(*) AS "strictRate", sum(calls)::BIGINT AS calls,
+  sum("inputTokens")::BIGINT AS "inputTokens", sum("inputTokens")::BIGINT * 0.042::DOUBLE / 1e6 AS "estCostUsd" FROM fr""")
 def a6_us_summary(spark, sf_dir):
     return forms.summarise(_scored(spark, sf_dir))
 
@@ -490,8 +546,11 @@ def _truth(spark, sf_dir):
 _CATS = "c(category) AS (VALUES " + ", ".join(f"({quote(o)})" for o in tx.OUTCOMES) + ")"
 
 
-@query(f"""WITH {RULES}, {_CATS} SELECT category, (SELECT count(*) FROM r WHERE truth = category) AS cases, (SELECT count(*) FROM r WHERE truth = category AND "documentType" = category) AS correct,
- (SELECT count(*) FROM r WHERE truth = category AND "documentType" = category) / nullif((SELECT count(*) FROM r WHERE truth = category), 0) AS recall, (SELECT count(*) FROM r WHERE truth = category AND "documentType" = category) / nullif((SELECT count(*) FROM r WHERE "documentType" = category), 0) AS "precision" FROM c""")
+@query(f"""WITH {RULES}, {_CATS} SELECT category, (SELECT count(*) FROM r WHERE truth = category) AS cases, (SELECT count(*) FROM r
+  WHERE truth = category AND "documentType" = category) AS correct,
+ (SELECT count(*) FROM r WHERE truth = category AND "documentType" = category) / nullif((SELECT count(*) FROM r WHERE truth = category), 0) AS recall,
+  (SELECT count(*) FROM r WHERE truth = category AND "documentType" = category) / nullif((SELECT count(*) FROM r WHERE "documentType" = category),
+  0) AS "precision" FROM c""")
 def a4_evaluate(spark, sf_dir):
     return evaluate.per_category(_truth(spark, sf_dir)).select("category", "cases", "correct", "recall", "precision")
 
@@ -513,8 +572,11 @@ def a5_keyword_totals(spark, sf_dir):
 _SETS = list(tx.GATE_CASES)
 
 
-@query(f"""WITH {RULES}, q AS (SELECT {quote(_SETS)}[(k % 4) + 1] AS dataset, truth, "documentType" AS prediction FROM r), s AS (SELECT dataset, count(*) AS cases, count_if(truth = prediction) AS correct, count(DISTINCT truth) FILTER (truth IN {NAMED}) AS kinds FROM q GROUP BY 1)
-SELECT dataset, cases, correct, CASE WHEN dataset IN ('development', 'held-out') THEN 15 - kinds ELSE 0 END AS missing, cases >= CASE dataset WHEN 'development' THEN 15 WHEN 'held-out' THEN 42 WHEN 'regression' THEN 35 ELSE 23 END AND cases = correct AND (dataset NOT IN ('development', 'held-out') OR kinds = 15) AS passed FROM s""")
+@query(f"""WITH {RULES}, q AS (SELECT {quote(_SETS)}[(k % 4) + 1] AS dataset, truth, "documentType" AS prediction FROM r), s AS (SELECT dataset,
+  count(*) AS cases, count_if(truth = prediction) AS correct, count(DISTINCT truth) FILTER (truth IN {NAMED}) AS kinds FROM q GROUP BY 1)
+SELECT dataset, cases, correct, CASE WHEN dataset IN ('development', 'held-out') THEN 15 - kinds ELSE 0 END AS missing, cases >= CASE dataset
+  WHEN 'development' THEN 15 WHEN 'held-out' THEN 42 WHEN 'regression' THEN 35 ELSE 23 END AND cases = correct AND (dataset NOT IN ('development',
+  'held-out') OR kinds = 15) AS passed FROM s""")
 def v10_gates(spark, sf_dir):
     rows = _truth(spark, sf_dir).withColumn("dataset", F.get(F.array(*map(F.lit, _SETS)), F.col("d").cast("int")))
     seen = rows.groupBy("dataset", F.col("truth").alias("category")).agg(F.count(F.lit(1)).alias("cases"))
@@ -544,24 +606,32 @@ def r1_template(spark, sf_dir):
     return review.decision_template(_classified(spark, sf_dir).withColumn("page", F.col("k")), "0" * 64)
 
 
-@query(f"""WITH {_DEC} SELECT count(*) AS pages, count(decision) AS reviewed, count(*) - count(decision) AS "notReviewed", count_if(decision = "documentType") AS accepted, count_if(decision IS NOT NULL AND "documentType" IN {NAMED} AND decision NOT IN {NAMED}) AS "falseSuggestions",
- count_if("documentType" IN {NAMED} AND decision IN {NAMED} AND decision <> "documentType") AS "changedCategory", count_if("documentType" IN ('unknown', 'ambiguous') AND decision IN {NAMED}) AS "missedByPipeline", count_if("documentType" = 'unreadable' AND decision IN {NAMED}) AS "unreadableButNamed" FROM dc""")
+@query(f"""WITH {_DEC} SELECT count(*) AS pages, count(decision) AS reviewed, count(*) - count(decision) AS "notReviewed",
+  count_if(decision = "documentType") AS accepted, count_if(decision IS NOT NULL AND "documentType" IN {NAMED}
+  AND decision NOT IN {NAMED}) AS "falseSuggestions",
+ count_if("documentType" IN {NAMED} AND decision IN {NAMED} AND decision <> "documentType") AS "changedCategory",
+  count_if("documentType" IN ('unknown', 'ambiguous') AND decision IN {NAMED}) AS "missedByPipeline", count_if("documentType" = 'unreadable'
+  AND decision IN {NAMED}) AS "unreadableButNamed" FROM dc""")
 def r2_review_counts(spark, sf_dir):
     return review.review_counts(*_reviewed(spark, sf_dir))
 
 
-@query(f"""WITH {_DEC}, m(method) AS (VALUES ('rules'), ('model'), ('extraction')) SELECT m.method, count(decision) AS pages, count_if(coalesce(decision = "documentType", false)) AS accepted FROM m LEFT JOIN dc ON dc.method = m.method GROUP BY 1""")
+@query(f"""WITH {_DEC}, m(method) AS (VALUES ('rules'), ('model'), ('extraction')) SELECT m.method, count(decision) AS pages,
+  count_if(coalesce(decision = "documentType", false)) AS accepted FROM m LEFT JOIN dc ON dc.method = m.method GROUP BY 1""")
 def r2_by_method(spark, sf_dir):
     return review.by_method(_reviewed(spark, sf_dir)[1])
 
 
-@query(f"""WITH {_DEC}, c(category) AS (VALUES {", ".join(f"({quote(t)})" for t in tx.TYPES)}), x AS (SELECT category, (SELECT count(*) FROM dc WHERE decision IS NOT NULL AND "documentType" = category) AS suggested, (SELECT count(*) FROM dc WHERE decision = category) AS decided, (SELECT count(*) FROM dc WHERE decision = category AND "documentType" = category) AS correct FROM c)
+@query(f"""WITH {_DEC}, c(category) AS (VALUES {", ".join(f"({quote(t)})" for t in tx.TYPES)}), x AS (SELECT category, (SELECT count(*) FROM dc
+  WHERE decision IS NOT NULL AND "documentType" = category) AS suggested, (SELECT count(*) FROM dc WHERE decision = category) AS decided,
+  (SELECT count(*) FROM dc WHERE decision = category AND "documentType" = category) AS correct FROM c)
 SELECT *, correct / nullif(suggested, 0) AS "precision", correct / nullif(decided, 0) AS recall FROM x""")
 def r2_per_category(spark, sf_dir):
     return review.by_category(_reviewed(spark, sf_dir)[1])
 
 
-@query(f"""WITH {_DEC} SELECT k AS page, "textSha256", "documentType" AS suggested, method, NULL::DOUBLE AS confidence, reason, decision FROM dc WHERE decision IS NOT NULL""")
+@query(f"""WITH {_DEC} SELECT k AS page, "textSha256", "documentType" AS suggested, method, NULL::DOUBLE AS confidence, reason, decision FROM dc
+  WHERE decision IS NOT NULL""")
 def r2_labels(spark, sf_dir):
     return review.labels(_reviewed(spark, sf_dir)[1])
 
@@ -569,20 +639,25 @@ def r2_labels(spark, sf_dir):
 # --- catalogue builder
 
 
-@query(rf"""WITH i(id) AS (VALUES {", ".join(f"({quote(i)})" for i in catalogue.INFORMATION_RETURNS)}), s AS (SELECT id, regexp_extract(id, '(\d{{3,4}})', 1) AS st, regexp_extract(id, {_P}, 1) AS b, regexp_extract(id, {_P}, 2) AS sc FROM i), t AS (SELECT id, CASE WHEN st = '' THEN id ELSE st END AS stem, CASE WHEN sc <> '' THEN 'Schedule ' || upper(sc) || ' (Form ' || upper(b) || ')' ELSE 'Form ' || upper(b) END AS label FROM s)
+@query(rf"""WITH i(id) AS (VALUES {", ".join(f"({quote(i)})" for i in catalogue.INFORMATION_RETURNS)}), s AS (SELECT id, regexp_extract(id,
+  '(\d{{3,4}})', 1) AS st, regexp_extract(id, {_P}, 1) AS b, regexp_extract(id, {_P}, 2) AS sc FROM i), t AS (SELECT id, CASE WHEN st = '' THEN id
+  ELSE st END AS stem, CASE WHEN sc <> '' THEN 'Schedule ' || upper(sc) || ' (Form ' || upper(b) || ')' ELSE 'Form ' || upper(b) END AS label FROM s)
 SELECT a.id, string_agg(c.label, '; ' ORDER BY c.id) AS not_for FROM t a JOIN t c ON a.stem = c.stem AND a.id <> c.id GROUP BY 1""")
 def j5_sibling_notfor(spark, sf_dir):
     entries = spark.createDataFrame([(i,) for i in catalogue.INFORMATION_RETURNS], "id string")
     return catalogue.sibling_labels(entries).select("id", F.array_join("not_for", "; ").alias("not_for"))
 
 
-@query("""WITH a(id) AS (VALUES ('form-1040-schedule-a'), ('form-1040-nr-schedule-nec'), ('form-8995-a-schedule-a'), ('form-1040-schedule-1-a'), ('form-w-2g'), ('form-4868'), """ + ", ".join(f"({quote(i)})" for i in catalogue.INFORMATION_RETURNS) + """) SELECT DISTINCT id FROM a""")
+@query("""WITH a(id) AS (VALUES ('form-1040-schedule-a'), ('form-1040-nr-schedule-nec'), ('form-8995-a-schedule-a'), ('form-1040-schedule-1-a'),
+  ('form-w-2g'), ('form-4868'), """ + ", ".join(f"({quote(i)})" for i in catalogue.INFORMATION_RETURNS) + """) SELECT DISTINCT id FROM a""")
 def u1_id_union(spark, sf_dir):
     names = spark.createDataFrame([(n.strip(),) for n in ("Form 1040 Schedule A", "Form 1040NR Schedule NEC", "Form 8995A Schedule A", "Form 1040 Schedule 1A", "Form W2G", "Form 4868", "Form 1098", "Form 499W2PR", "Other")], "name string")
     return catalogue.all_ids(names)
 
 
-@query("""WITH l AS (SELECT 'form-1099-' || chr(97 + (o_custkey % 26)::INTEGER) AS id, (o_orderkey % 12)::INTEGER AS num, o_orderkey AS page FROM orders), o AS (SELECT id, num, min(page) AS page FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page) AS n FROM o)
+@query("""WITH l AS (SELECT 'form-1099-' || chr(97 + (o_custkey % 26)::INTEGER) AS id, (o_orderkey % 12)::INTEGER AS num, o_orderkey AS page
+  FROM orders), o AS (SELECT id, num, min(page) AS page FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page) AS n
+  FROM o)
 SELECT id, string_agg(num || ' Amount withheld ' || page, '; ' ORDER BY n) AS boxes FROM r WHERE n <= 8 GROUP BY 1""")
 def o6_first_boxes(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")

@@ -19,7 +19,8 @@ BUNDLE, A_TASK = 40, 25
 
 
 @query(
-    f"""WITH p AS (SELECT page_id // {BUNDLE} AS d, row_number() OVER (PARTITION BY page_id // {BUNDLE} ORDER BY page_id) AS page, coalesce(html, '') AS t, page_id % 101 = 7 AS big FROM pages WHERE page_id IS NOT NULL),
+    f"""WITH p AS (SELECT page_id // {BUNDLE} AS d, row_number() OVER (PARTITION BY page_id // {BUNDLE} ORDER BY page_id) AS page, coalesce(html,
+  '') AS t, page_id % 101 = 7 AS big FROM pages WHERE page_id IS NOT NULL),
 g AS (SELECT *, bool_or(big) OVER (PARTITION BY d) AS refused FROM p)
 SELECT d::VARCHAR || '.zip' AS doc, page::BIGINT AS page, 'native' AS extraction, sha256(t) AS text_sha256 FROM g WHERE NOT refused
 UNION ALL SELECT DISTINCT d::VARCHAR || '.zip', 1, 'failed', sha256('') FROM g WHERE refused"""
@@ -49,7 +50,8 @@ _CHOICE = f"{quote(tx.MODEL_OUTCOMES)}[(length(text) % {len(tx.MODEL_OUTCOMES)})
 
 
 @query(
-    f"""WITH {synth_sql()}, runs AS (SELECT 1 AS run, k, text FROM sp UNION ALL SELECT 2, k, CASE WHEN k % 5 = 0 THEN text || chr(10) || 'Amended' ELSE text END FROM sp),
+    f"""WITH {synth_sql()}, runs AS (SELECT 1 AS run, k, text FROM sp UNION ALL SELECT 2, k, CASE WHEN k % 5 = 0 THEN text || chr(10) || 'Amended'
+  ELSE text END FROM sp),
 first AS (SELECT text, min(run) AS run FROM runs GROUP BY 1), asked AS (SELECT run, count(*) AS asked FROM first GROUP BY 1)
 SELECT run, {_CHOICE} AS choice, count(*) AS pages, any_value(coalesce(asked, 0)) AS asked FROM runs LEFT JOIN asked USING (run) GROUP BY 1, 2"""
 )
@@ -70,7 +72,8 @@ def m8_answers_across_runs(spark, sf_dir):
     """WITH p AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN 1 ELSE turn + 1 END AS page FROM conversations WHERE conv_id IS NOT NULL),
 b AS (SELECT *, lag(page) OVER (PARTITION BY conv_id ORDER BY turn, page) AS before, count(*) OVER (PARTITION BY conv_id, page) AS same FROM p)
 SELECT conv_id::VARCHAR AS doc_id, count(*) AS pages, CASE WHEN count(*) <= 500 THEN bool_and(page > coalesce(before, 0)) END AS increasing,
- CASE WHEN count(*) <= 500 THEN count(DISTINCT page) FILTER (same > 1) END AS repeated, count(*) <= 500 AND bool_and(page > coalesce(before, 0)) AS valid FROM b GROUP BY 1"""
+ CASE WHEN count(*) <= 500 THEN count(DISTINCT page) FILTER (same > 1) END AS repeated, count(*) <= 500 AND bool_and(page > coalesce(before,
+  0)) AS valid FROM b GROUP BY 1"""
 )
 def v2_stream_verdicts(spark, sf_dir):
     """The packs of the conversations table as a stream of pages out of order, worked off in two runs; a page of a later day closes all."""
@@ -90,7 +93,8 @@ def v2_stream_verdicts(spark, sf_dir):
 
 
 @query(
-    """SELECT l_suppkey AS supplier, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.9) AS p90, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1"""
+    """SELECT l_suppkey AS supplier, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.9) AS p90,
+  min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1"""
 )
 def a14_exact_quantiles(spark, sf_dir):
     lines = q._table(spark, sf_dir, "lineitem")
@@ -103,7 +107,8 @@ _ENTRY_ID = "'form-' || (1000 + o_custkey % 300) || ['', '-a', '-ez', '-schedule
 
 
 @query(
-    f"""WITH e AS (SELECT DISTINCT {_ENTRY_ID} AS id FROM orders), s AS (SELECT id, regexp_extract(id, '(\\d{{3,4}})', 1) AS stem, regexp_extract(id, {q._P}, 1) AS b, regexp_extract(id, {q._P}, 2) AS sc FROM e),
+    f"""WITH e AS (SELECT DISTINCT {_ENTRY_ID} AS id FROM orders), s AS (SELECT id, regexp_extract(id, '(\\d{{3,4}})', 1) AS stem, regexp_extract(id,
+  {q._P}, 1) AS b, regexp_extract(id, {q._P}, 2) AS sc FROM e),
 t AS (SELECT id, stem, CASE WHEN sc <> '' THEN 'Schedule ' || upper(sc) || ' (Form ' || upper(b) || ')' ELSE 'Form ' || upper(b) END AS label FROM s)
 SELECT a.id, string_agg(c.label, '; ' ORDER BY c.id) AS not_for FROM t a JOIN t c ON a.stem = c.stem AND a.id <> c.id GROUP BY 1"""
 )
@@ -114,7 +119,8 @@ def j5_siblings_of_orders(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'form-rrb-1042-s' WHEN p_partkey % 11 = 0 THEN NULL ELSE 'form-' || (1000 + p_partkey % 700) || CASE WHEN p_partkey % 3 = 0 THEN '-schedule-a' ELSE '' END END AS id FROM part)
+    """WITH n AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'form-rrb-1042-s' WHEN p_partkey % 11 = 0 THEN NULL
+  ELSE 'form-' || (1000 + p_partkey % 700) || CASE WHEN p_partkey % 3 = 0 THEN '-schedule-a' ELSE '' END END AS id FROM part)
 SELECT DISTINCT id FROM (SELECT id FROM n WHERE id IS NOT NULL AND id <> 'form-rrb-1042-s' UNION ALL VALUES """ + ", ".join(f"({quote(i)})" for i in catalogue.INFORMATION_RETURNS) + ") u(id)"
 )
 def u1_listed_ids(spark, sf_dir):
