@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
-from ..operators import answers, catalogue, evaluate, model
-from ..sources import paged
+from ..operators import answers, catalogue, evaluate, model, rules, validate
+from ..sources import paged, readers, sinks, writers
 from ..streaming import packs
 from ..tables import new_folder
 from . import queries as q
@@ -128,3 +133,53 @@ def u1_listed_ids(spark, sf_dir):
     listed = F.concat(F.lit("Form "), (1000 + p % 700).cast("string"), F.when(p % 3 == 0, " Schedule A").otherwise(""))
     names = q._table(spark, sf_dir, "part").select(F.when(p % 13 == 0, "Form RRB1042S").when(p % 11 == 0, "Another heading").otherwise(listed).alias("name"))
     return catalogue.all_ids(names)
+
+
+#: Pages of a manifest file.
+MANIFEST_PAGES = 250
+
+
+@query(
+    f"""WITH {q.RULES}, m AS (SELECT k // {MANIFEST_PAGES} AS d, *, k % {MANIFEST_PAGES} + 1 AS pg FROM r)
+SELECT d::VARCHAR AS manifest, '{validate.MANIFEST_SCHEMA}' AS "schemaVersion", pg AS page, "documentType", reason, "textSha256" FROM m"""
+)
+def s9_manifest_files(spark, sf_dir):
+    """Manifests written as a file a pack, and scanned again: every result comes back under its file."""
+    k = F.col("k")
+    pages = synth_pages(spark, sf_dir).withColumn("doc_id", F.floor(k / MANIFEST_PAGES).cast("string")).withColumn("page", k % MANIFEST_PAGES + 1)
+    folder = new_folder(spark, "manifests")
+    named = writers.manifest_json(rules.classify(pages)).select(F.concat("doc_id", F.lit(".json")).alias("name"), F.col("json").alias("body"))
+    sinks.write_files(named, folder)
+    scanned = readers.read_manifest(spark, f"{folder}/*.json").select(F.regexp_extract("file", r"([^/]*)\.json\z", 1).alias("manifest"), "schemaVersion", F.explode("results").alias("r"))
+    return scanned.select("manifest", "schemaVersion", "r.page", "r.documentType", "r.reason", "r.textSha256")
+
+
+def _workbook(names: list[str]) -> bytes:
+    """A workbook whose first sheet lists names in its first column, as shared and as inline strings in turn, with a title and gaps."""
+    shared, rows = [], ['<row><c t="inlineStr"><is><t>List of forms</t></is></c></row>', "<row/>"]
+    for i, name in enumerate(names):
+        if i % 2:
+            rows.append(f'<row><c t="inlineStr"><is><r><t>{escape(name)}</t></r></is></c><c><v>7</v></c></row>')
+        else:
+            rows.append(f'<row><c t="s"><v>{len(shared)}</v></c></row>')
+            shared.append(f"<si><t>{escape(name)}</t></si>")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{''.join(rows)}</sheetData></worksheet>")
+        book.writestr("xl/sharedStrings.xml", f"<sst>{''.join(shared)}</sst>")
+    return out.getvalue()
+
+
+@query("""SELECT 'Form ' || (1000 + p_partkey) || CASE WHEN p_partkey % 3 = 0 THEN ' Schedule A' ELSE '' END AS name FROM part WHERE p_partkey % 11 <> 0""")
+def s10_workbooks(spark, sf_dir):
+    """Form lists as workbooks of 200 names, read again; rows that name no form are left out."""
+    p = F.col("p_partkey")
+    name = F.when(p % 11 == 0, F.concat(F.lit("Other "), p.cast("string"))).otherwise(F.concat(F.lit("Form "), (1000 + p).cast("string"), F.when(p % 3 == 0, " Schedule A").otherwise("")))
+    lists = q._table(spark, sf_dir, "part").select(F.floor(p / 200).alias("book"), name.alias("name"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f"{group['book'].iloc[0]}.xlsx"], "body": [_workbook(group["name"].tolist())]})
+
+    folder = new_folder(spark, "workbooks")
+    sinks.write_files(lists.groupBy("book").applyInPandas(run, "name string, body binary"), folder)
+    return readers.read_form_names(spark, f"{folder}/*.xlsx")

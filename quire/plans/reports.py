@@ -8,7 +8,7 @@ from ..functions import ids
 from ..functions import taxonomy as tx
 from ..functions import text as tf
 from ..operators import catalogue, evaluate, fallback, forms, model, review, rules, runs, validate
-from ..sources import readers, writers
+from ..sources import readers, sinks, writers
 from ..tables import new_folder
 from . import queries as q
 from .queries import query
@@ -49,9 +49,10 @@ SELECT conv_id::VARCHAR AS conv, n AS page, CASE WHEN n = of THEN text || chr(10
 def s1_read_text_files(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     folder = new_folder(spark, "texts")
-    turns.select("conv_id", F.array_join("t.text", "\f").alias("text")).write.partitionBy("conv_id").text(folder)
-    pages = readers.read_pages(spark, f"{folder}/conv_id=*/*.txt")
-    return pages.select(F.regexp_extract("doc_id", r"conv_id=([^/]*)/", 1).alias("conv"), "page", "text", "extraction")
+    body = F.concat(F.array_join("t.text", "\f"), F.lit("\n"))
+    sinks.write_files(turns.select(F.concat(F.col("conv_id").cast("string"), F.lit(".txt")).alias("name"), body.alias("body")), folder)
+    pages = readers.read_pages(spark, f"{folder}/*.txt")
+    return pages.select(F.regexp_extract("doc_id", r"([^/]*)\.txt\z", 1).alias("conv"), "page", "text", "extraction")
 
 
 @query(
@@ -62,10 +63,10 @@ def s3_read_json_files(spark, sf_dir):
     page = F.struct("page", "text", "extraction", "warnings", F.col("ocr_engine").alias("ocrEngine"), F.col("ocr_line_confidence").alias("ocrLineConfidence"))
     packs = _packs(spark, sf_dir).groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(page))).alias("text"))
     folder = new_folder(spark, "packs")
-    packs.withColumnRenamed("doc_id", "doc").write.partitionBy("doc").text(folder)
-    pages = readers.read_json_pages(spark, f"{folder}/doc=*/*.txt")
+    sinks.write_files(packs.select(F.concat("doc_id", F.lit(".json")).alias("name"), F.col("text").alias("body")), folder)
+    pages = readers.read_json_pages(spark, f"{folder}/*.json")
     confidence = F.when(F.col("ocr_line_confidence").isNotNull(), F.size("ocr_line_confidence"))
-    return pages.select(F.regexp_extract("doc_id", r"doc=([^/]*)/", 1).alias("doc"), "page", "text", "extraction", F.array_join("warnings", ",").alias("warnings"), "ocr_engine", confidence.alias("lines"))
+    return pages.select(F.regexp_extract("doc_id", r"([^/]*)\.json\z", 1).alias("doc"), "page", "text", "extraction", F.array_join("warnings", ",").alias("warnings"), "ocr_engine", confidence.alias("lines"))
 
 
 @query(f"""WITH {synth_sql()} SELECT {SET} AS dataset, 'c' || k AS id, 'g' || k AS "group", truth AS label, text || chr(10) || 'Case ' || k AS text,

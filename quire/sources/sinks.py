@@ -16,10 +16,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..tables import written
+
 NAME = "quire_report"
 
 
@@ -132,6 +135,27 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.format(NAME).mode("append").save(path)
 
 
+def write_files(df: DataFrame, folder: str, name: str = "name", body: str = "body") -> DataFrame:
+    """Writes each row as a file of its own in ``folder`` and returns (file, bytes). A body is text or bytes; null is an empty file. Tasks
+    write under a name of their attempt and then rename, so a task that runs again leaves whole files only. Names must be unique."""
+
+    def run(batches):
+        system, base = _store(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            done = []
+            for file, content in zip(batch[name], batch[body], strict=True):
+                data = b"" if content is None else content.encode() if isinstance(content, str) else bytes(content)
+                part = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, f"{base}/{file}")
+                done.append((f"{base}/{file}", len(data)))
+            yield pd.DataFrame(done, columns=["file", "bytes"])
+
+    return written(df.select(name, body).mapInPandas(run, "file string, bytes bigint"), "files")
+
+
 def publish_all(spark: SparkSession, parts: dict[str, DataFrame], target: str) -> None:
     """Several tables as one report: a folder each in ``target``, which appears when all of them are written."""
     head, _, tail = target.rstrip("/").rpartition("/")

@@ -112,3 +112,12 @@ def test_stream_gives_the_batch_verdicts_across_a_restart(spark, tmp_path):
         assert (got[d].pages, got[d].valid) == (w.pages, w.valid), d
         assert got[d].increasing == (w.increasing if w.pages <= 500 else None), d
     assert {d for d, r in got.items() if r.repeated} == {"again", "twice"}
+
+
+def test_files_of_rows(spark, tmp_path):
+    rows = [("a.txt", "é\n"), ("b.txt", ""), ("c.txt", None)]
+    done = sinks.write_files(spark.createDataFrame(rows, "name string, body string"), f"{tmp_path}/out")
+    assert sorted((r.file.rsplit("/", 1)[-1], r.bytes) for r in done.collect()) == [("a.txt", 3), ("b.txt", 0), ("c.txt", 0)]
+    assert sorted(os.listdir(tmp_path / "out")) == ["a.txt", "b.txt", "c.txt"] and (tmp_path / "out" / "a.txt").read_bytes() == "é\n".encode()
+    sinks.write_files(spark.createDataFrame([("x", b"\x00\xff")], "name string, body binary"), f"file:{tmp_path}/out")
+    assert (tmp_path / "out" / "x").read_bytes() == b"\x00\xff"
