@@ -14,9 +14,10 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ..tables import written
 
 NAME = "quire_report"
+#: Bodies that are handed to a Python worker at once, where files are written: a batch ends at the first of these.
+BATCH_BYTES, BATCH_FILES = 4 << 20, 256
 
 
 class ReportExists(FileExistsError):
@@ -144,16 +147,34 @@ def write_files(df: DataFrame, folder: str, name: str = "name", body: str = "bod
         system.create_dir(base, recursive=True)
         for batch in batches:
             done = []
-            for file, content in zip(batch[name], batch[body], strict=True):
-                data = b"" if content is None else content.encode() if isinstance(content, str) else bytes(content)
+            for i in range(batch.num_rows):
+                content = batch.column(1)[i].as_py()
+                data = b"" if content is None else content.encode() if isinstance(content, str) else content
+                file = f"{base}/{batch.column(0)[i].as_py()}"
                 part = f"{base}/_{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as out:
                     out.write(data)
-                system.move(part, f"{base}/{file}")
-                done.append((f"{base}/{file}", len(data)))
-            yield pd.DataFrame(done, columns=["file", "bytes"])
+                system.move(part, file)
+                done.append((file, len(data)))
+            files, sizes = zip(*done, strict=True) if done else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
 
-    return written(df.select(name, body).mapInPandas(run, "file string, bytes bigint"), "files")
+    # a worker holds a batch or two: their bytes are bounded by those of few bodies, whatever a task is given
+    with _set(df.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_FILES)}):
+        return written(df.select(name, body).mapInArrow(run, "file string, bytes bigint"), "files")
+
+
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings, for a result that is written within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def publish_all(spark: SparkSession, parts: dict[str, DataFrame], target: str) -> None:

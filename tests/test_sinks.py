@@ -121,3 +121,18 @@ def test_files_of_rows(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "out")) == ["a.txt", "b.txt", "c.txt"] and (tmp_path / "out" / "a.txt").read_bytes() == "é\n".encode()
     sinks.write_files(spark.createDataFrame([("x", b"\x00\xff")], "name string, body binary"), f"file:{tmp_path}/out")
     assert (tmp_path / "out" / "x").read_bytes() == b"\x00\xff"
+
+
+def test_few_bodies_reach_a_worker_at_once(spark, tmp_path, monkeypatch):
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before, seen, real = [spark.conf.get(n) for n in names], [], sinks.written
+
+    def spy(df, name):
+        seen.append([int(spark.conf.get(n)) for n in names])
+        return real(df, name)
+
+    monkeypatch.setattr(sinks, "written", spy)
+    rows = spark.range(0, 600, 1, 1).select(F.concat("id", F.lit(".txt")).alias("name"), F.repeat(F.lit("x"), 50_000).alias("body"))
+    done = sinks.write_files(rows, f"{tmp_path}/out")
+    assert done.agg(F.sum("bytes")).first()[0] == 600 * 50_000 and len(os.listdir(tmp_path / "out")) == 600
+    assert seen == [[sinks.BATCH_BYTES, sinks.BATCH_FILES]] and [spark.conf.get(n) for n in names] == before
