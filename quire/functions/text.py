@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import taxonomy as tx
+from .literals import matches
 from .regexes import BLANK
 
 NL = "\n"
+#: The same white space as characters: ends are trimmed by Spark's trim, which looks at the ends only, where a pattern is tried at every place.
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{BLANK}]", c, re.ASCII))
+LEFT_BLANK = "(?i)intentionally left blank|left blank intentionally"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with a value that it names several times made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def is_blank(text: Column) -> Column:
@@ -21,11 +32,11 @@ def is_blank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A[{BLANK}]++", ""), rf"(?<![{BLANK}])[{BLANK}]++\z", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<![{BLANK}])[{BLANK}]++\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def utf16_length(text: Column) -> Column:
@@ -35,10 +46,15 @@ def utf16_length(text: Column) -> Column:
 
 def utf16_prefix(text: Column, units: int) -> Column:
     """The first so many UTF-16 units; a pair that would be split is left out."""
-    units_of = F.encode(text, "UTF-16BE")
-    last = F.hex(F.substring(units_of, 2 * units - 1, 1))
-    cut = F.when(last.between("D8", "DB"), F.substring(units_of, 1, 2 * units - 2)).otherwise(F.substring(units_of, 1, 2 * units))
-    return F.when(utf16_length(text) <= units, text).otherwise(F.decode(cut, "UTF-16BE"))
+
+    def prefix(text: Column) -> Column:
+        # code points are no more than units, so no more of them are needed
+        units_of = F.encode(F.substring(text, 1, units), "UTF-16BE")
+        last = F.hex(F.substring(units_of, 2 * units - 1, 1))
+        cut = F.when(last.between("D8", "DB"), F.substring(units_of, 1, 2 * units - 2)).otherwise(F.substring(units_of, 1, 2 * units))
+        return F.when((F.length(text) <= units) & (utf16_length(text) <= units), text).otherwise(F.decode(cut, "UTF-16BE"))
+
+    return let(text, prefix)
 
 
 def mask_lines(text: Column, confidence: Column) -> Column:
@@ -70,7 +86,7 @@ def heading_window(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without trailing white space, blank ones dropped."""
-    return F.filter(F.transform(F.split(text, NL), strip_end), lambda line: ~is_blank(line))
+    return F.filter(F.transform(F.split(text, NL), strip_end), lambda line: line != "")
 
 
 def page_state(lines: Column, body_chars: int = 2500) -> Column:
@@ -85,8 +101,7 @@ def page_state(lines: Column, body_chars: int = 2500) -> Column:
 
 
 def is_blank_page(lines: Column) -> Column:
-    joined = strip(F.array_join(lines, " "))
-    return (F.length(joined) < 60) | joined.rlike("(?i)intentionally left blank|left blank intentionally")
+    return let(strip(F.array_join(lines, " ")), lambda said: (F.length(said) < 60) | let(F.lower(said), lambda low: matches(said, low, LEFT_BLANK, LEFT_BLANK)))
 
 
 def is_cover_sheet(lines: Column) -> Column:

@@ -27,9 +27,13 @@ TITLES = {
 }
 BOXED = r"\Aform-(1099|1098|5498|1095|1097|1042|w-2|3921|3922)"
 TITLE_NOISE = r"(Department of the Treasury|Internal Revenue Service|OMB No\.? ?\d{4}-\d{4}|Go to www\.irs\.gov\S*|www\.irs\.gov\S*|Attach to .*?\.|▶|►|VOID|CORRECTED|\(if checked\)|Cat\. No\. \S+|For Privacy Act.*|\b(19|20)\d\d\b|\d{4,5})"
+#: Characters with which noise begins: the pattern's branches are tried only there.
+NOISE_STARTS = r"DIOGwA▶►VC(F\d"
 BOX = r"(?<![\w$,.\-/])(\d{1,2}[a-z]?)\s{1,4}([A-Z][^\n]{4,70}?)(?=\s{3,}|\z)"
 BOX_STOP = r"(?i)\A(form|schedule|see |go to|attach|enter|if you|for )"
 MOST_BOXES, BOX_CHARS, TITLE_CHARS, TITLE_LINES = 8, 60, 80, 8
+#: Characters of a text without noise in which a title is looked for first.
+TITLE_WITHIN = 1000
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -52,14 +56,24 @@ def file_url(id_: Column) -> Column:
 
 
 def title_of(lines: Column) -> Column:
-    joined = F.regexp_replace(F.array_join(F.slice(lines, 1, TITLE_LINES), " "), TITLE_NOISE, " ")
-    return tf.utf16_prefix(tf.strip(F.regexp_replace(joined, rf"[{tf.BLANK}]+", " ")), TITLE_CHARS)
+    """The first lines without noise, white space folded, cut to TITLE_CHARS. White space is folded in the beginning of the text only, and in all of it where
+    the beginning gives no whole title: folding is local, so the first characters are the same."""
+    joined = F.regexp_replace(F.array_join(F.slice(lines, 1, TITLE_LINES), " "), rf"(?=[{NOISE_STARTS}]){TITLE_NOISE}", " ")
+    folded = lambda text: F.regexp_replace(text, rf"[{tf.BLANK}]+", " ")
+
+    def whole(text: Column) -> Column:
+        begun = F.ltrim(folded(F.substring(text, 1, TITLE_WITHIN)))
+        return tf.let(begun, lambda b: F.when(F.length(b) > TITLE_CHARS + 1, b).otherwise(tf.strip(folded(text))))
+
+    return tf.utf16_prefix(tf.let(joined, whole), TITLE_CHARS)
 
 
 def first_titles(pages: DataFrame) -> DataFrame:
     """(id, title): from the first page, of rows (id, page, lines), that is neither blank nor a cover sheet and gives a title."""
-    good = pages.where(~tf.is_blank_page(F.col("lines")) & ~tf.is_cover_sheet(F.col("lines"))).withColumn("title", title_of(F.col("lines")))
-    return good.where("title <> ''").groupBy("id").agg(F.min_by("title", "page").alias("title"))
+    # generated rows: a test on a projected column would be moved below the projection, and lines that are made of a text made anew for each use
+    seen = lambda lines: F.struct((~tf.is_blank_page(lines) & ~tf.is_cover_sheet(lines)).alias("good"), title_of(lines).alias("title"))
+    found = pages.select("id", "page", F.explode(F.transform(F.array("lines"), seen)).alias("s"))
+    return found.where("s.good AND s.title <> ''").groupBy("id").agg(F.min_by("s.title", "page").alias("title"))
 
 
 def first_boxes(pages: DataFrame) -> DataFrame:

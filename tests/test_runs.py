@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import cli
 from quire.functions import taxonomy as tx
-from quire.operators import forms, model, rules, runs, validate
+from quire.operators import catalogue, forms, model, rules, runs, validate
 
 CASE = "dataset string, id string, label string, text string, extraction string, warnings array<string>, ocr_engine string, ocr_line_confidence array<double>"
 
@@ -166,3 +166,17 @@ def test_one_pass_gives_all_counts(spark):
     assert plain(evaluate.per_category_of(counted, ("dataset",))) == plain(evaluate.per_category(df, by=("dataset",)))
     assert plain(evaluate.totals_of(evaluate.counts(df))) == plain(evaluate.totals(df).select(*evaluate.totals_of(evaluate.counts(df)).columns))
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+
+
+def test_titles_read_lines_once(spark):
+    lines = F.split(F.concat("text", F.lit("|x")), "[|]")
+    pages = spark.createDataFrame([("a", 1, "short"), ("a", 2, "A title 2024 of a page|" + "x" * 70)], "id string, page long, text string").select("id", "page", lines.alias("lines"))
+    found = catalogue.first_titles(pages)
+    assert [(r.id, r.title[:18]) for r in found.collect()] == [("a", "A title of a page ")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_titles_beyond_the_text_that_is_folded_first(spark):
+    far = [" " * 3000 + "Far away", "x" * 3000, "a " * 2000, "For Privacy Act y" + "x" * 2000, "   ", "Cat. No. 1 VOID " * 200 + "end", "w " * 40 + "\U0001f600"]
+    got = [r.t for r in spark.createDataFrame([(i, [t]) for i, t in enumerate(far)], "i int, lines array<string>").select(catalogue.title_of(F.col("lines")).alias("t"), "i").orderBy("i").collect()]
+    assert got == ["Far away", "x" * 80, "a " * 40, "", "", "end", "w " * 40]
