@@ -74,8 +74,13 @@ def classify_pages(pages: DataFrame, criteria: DataFrame, backend: Backend, gate
     questions = first_questions(criteria)
     first_order = F.array(*map(F.lit, questions["form"]["criteria"]))
     key = F.concat_ws("/", F.col("doc_id"), F.col("page").cast("string"))
-    keyed = pages.withColumn("_page_key", key)
-    states = written(keyed.where(~tf.is_blank_page(F.col("lines"))).select(F.col("_page_key").alias("key"), F.to_json(tf.page_state(F.col("lines"))).alias("state")), "states")
+    # written: what is made of a page's lines is made once, however often it is read
+    seen = lambda lines: F.struct(lines.alias("lines"), tf.is_blank_page(lines).alias("blank"), F.to_json(tf.page_state(lines)).alias("state"))
+    others = [c for c in pages.columns if c != "lines"]
+    shown = pages.select(*others, key.alias("_page_key"), F.explode(F.transform(F.array("lines"), seen)).alias("_s"))
+    shown = written(shown.select(*others, "_page_key", "_s.lines", F.col("_s.blank").alias("_blank"), F.when(~F.col("_s.blank"), F.col("_s.state")).alias("_state")), "pages")
+    keyed = shown.drop("_state")
+    states = shown.where("NOT _blank").select(F.col("_page_key").alias("key"), F.col("_state").alias("state"))
     said = written(ask_states(states, backend, questions), "first_answers")
     form, kind = F.try_element_at("answers", F.lit("form")), F.try_element_at("answers", F.lit("kind"))
     first = said.select(
@@ -92,17 +97,17 @@ def classify_pages(pages: DataFrame, criteria: DataFrame, backend: Backend, gate
         orders = F.when(F.col("_family") == family, F.array(*map(F.lit, asked["sub"]["criteria"]))).otherwise(orders)
     second = written(union_all(parts), "second_answers")
     ready = keyed.join(first, "_page_key", "left").join(second, "_page_key", "left")
-    out = decide_forms(ready, first_order, orders, gate)
+    out = decide_forms(ready, first_order, orders, gate, F.col("_blank"))
     return out.select(*pages.columns, *(c for c in RESULT_FIELDS))
 
 
-def decide_forms(pages: DataFrame, option_order: Column, member_order: Column, gate: float = tx.GATE) -> DataFrame:
+def decide_forms(pages: DataFrame, option_order: Column, member_order: Column, gate: float = tx.GATE, blank: Column | None = None) -> DataFrame:
     """Adds the result to pages that carry lines and the answers: kind_choice, kind_confidence, form_probabilities, tokens1,
     and, for pages whose first choice is a family, sub_probabilities and tokens2.
 
-    A blank page is answered without a call. The confidence of two steps is the lower one.
+    A blank page is answered without a call; ``blank`` tells, by default from the lines. The confidence of two steps is the lower one.
     """
-    blank = tf.is_blank_page(F.col("lines"))
+    blank = tf.is_blank_page(F.col("lines")) if blank is None else blank
     pages = pages.withColumn("_1", best(F.col("form_probabilities"), option_order, tx.NOT_LISTED)).withColumn("_2", best(F.col("sub_probabilities"), member_order, tx.NOT_LISTED))
     two = F.col("_1.key").isin(*tx.FAMILIES)
     steps = F.when(blank, F.array(F.lit(1.0))).when(two, F.array("_1.p", "_2.p")).otherwise(F.array("_1.p"))

@@ -168,6 +168,24 @@ def test_one_pass_gives_all_counts(spark):
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
 
 
+def _counted_lines(path):
+    def lines(text):
+        with open(path, "a") as f:
+            f.write("x")
+        return text.split("|")
+
+    return F.udf(lines, "array<string>")(F.col("text"))
+
+
+def test_lines_of_a_page_are_made_once(spark, tmp_path):
+    criteria = spark.createDataFrame([("form-1040", "form-1040", "", 1, None, None, None)], forms.CRITERIA_SCHEMA)
+    rows = [("d", i, f"Form 1040 {i}|" + "x" * 70 if i % 2 else "short") for i in range(6)]
+    pages = spark.createDataFrame(rows, "doc_id string, page long, text string")
+    lined = pages.select("doc_id", "page", _counted_lines(str(tmp_path / "a")).alias("lines"))
+    got = {r.page: r.form for r in forms.classify_pages(lined, criteria, Forms(tmp_path / "calls")).collect()}
+    assert got == {i: "form-1040" if i % 2 else "blank" for i in range(6)} and len((tmp_path / "a").read_text()) == 6
+
+
 def test_titles_read_lines_once(spark):
     lines = F.split(F.concat("text", F.lit("|x")), "[|]")
     pages = spark.createDataFrame([("a", 1, "short"), ("a", 2, "A title 2024 of a page|" + "x" * 70)], "id string, page long, text string").select("id", "page", lines.alias("lines"))
