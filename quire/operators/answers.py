@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import time
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -17,24 +19,55 @@ from ..tables import written
 
 #: Calls in flight in one task.
 IN_FLIGHT = 12
+#: Calls of under QUICK_S seconds are handed to a thread in groups of up to GROUP, as handing one over takes longer than the call.
+QUICK_S, GROUP = 0.001, 128
 A, B = TypeVar("A"), TypeVar("B")
 
 
 def in_order(call: Callable[[A], B], given: Iterable[A], in_flight: int = IN_FLIGHT) -> Iterator[B]:
     """``call`` of each, in order, with at most ``in_flight`` running or waiting to be taken. A call's own retries and pauses hold up no
-    other. An error ends the window: calls that have not begun are cancelled; so does the reader when it stops early."""
+    other thread. Where calls return at once, a thread takes a group of them, one after another; after a slow one, groups are of one call
+    again. An error ends the window: calls that have not begun are cancelled; so does the reader when it stops early."""
     if in_flight < 1:
         raise ValueError("in_flight must be positive")
     pool = ThreadPoolExecutor(max_workers=in_flight)
-    window: deque[Future[B]] = deque()
+    window: deque[Future[tuple[list[B], BaseException | None, float]]] = deque()
+    stopped = threading.Event()
+
+    def several(items: list[A]) -> tuple[list[B], BaseException | None, float]:
+        began, out = time.perf_counter(), []
+        for item in items:
+            if stopped.is_set():
+                break
+            try:
+                out.append(call(item))
+            except BaseException as error:  # noqa: BLE001 - raised by the reader, after the group's earlier answers
+                return out, error, 0.0
+        return out, None, (time.perf_counter() - began) / len(items)
+
+    size, group = 1, []
     try:
         for item in given:
+            group.append(item)
+            if len(group) < size:
+                continue
             if len(window) == in_flight:
-                yield window.popleft().result()
-            window.append(pool.submit(call, item))
+                done, error, each = window.popleft().result()
+                yield from done
+                if error is not None:
+                    raise error
+                size = min(2 * size, GROUP) if each < QUICK_S else 1
+            window.append(pool.submit(several, group))
+            group = []
+        if group:
+            window.append(pool.submit(several, group))
         while window:
-            yield window.popleft().result()
+            done, error, _ = window.popleft().result()
+            yield from done
+            if error is not None:
+                raise error
     finally:
+        stopped.set()
         pool.shutdown(wait=False, cancel_futures=True)
 
 

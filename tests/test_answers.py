@@ -125,3 +125,28 @@ def test_pages_through_the_table(spark, tmp_path):
         assert {(r.documentType, r.calls) for r in out.select("documentType", "calls").collect()} == {("receipt", 1)}
     assert len(calls(log)) == 2  # a page's number is shown beside its text
     assert table.read().select(F.count_distinct("state_sha256")).first()[0] == 2
+
+
+def test_quick_calls_are_handed_over_in_groups(monkeypatch):
+    handed = []
+
+    class Pool(answers.ThreadPoolExecutor):
+        def submit(self, f, *given):
+            handed.append(given)
+            return super().submit(f, *given)
+
+    monkeypatch.setattr(answers, "ThreadPoolExecutor", Pool)
+    assert list(answers.in_order(lambda i: -i, range(20_000), 4)) == [-i for i in range(20_000)] and len(handed) < 2000
+
+    def call(i):
+        if i == 5000:
+            raise OSError("x")
+        return i
+
+    window, got = answers.in_order(call, range(20_000), 4), []
+    with pytest.raises(OSError):
+        for i in window:
+            got.append(i)
+    assert got == list(range(5000))  # what was answered before the error is given, also within its group
+    handed.clear()
+    assert len(list(answers.in_order(lambda i: time.sleep(0.002), range(50), 4))) == len(handed) == 50  # slow calls stay single
