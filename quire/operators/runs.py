@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as tx
 from ..sources.sinks import publish_all
 from ..sources.writers import write_report
-from ..tables import written
+from ..tables import written, written_checked
 from . import evaluate, model, rules, validate
 
 EVALUATION = "au-evaluation-1"
 METHODS = ("rules", "keywordBaseline")
+POLICIES = ("compare", "uncertain")
 
 
 def _as_pages(cases: DataFrame) -> DataFrame:
@@ -54,22 +55,20 @@ def run_evaluation(cases: DataFrame, folder: str, overwrite: bool = False) -> di
 
 
 def policy_evaluation(cases: DataFrame, backend: model.Backend, gate: float = tx.GATE) -> dict[str, DataFrame]:
-    """Policies over one shared answer a case: totals and transitions by policy and dataset, and the raw answers' metrics by dataset."""
-    classified = written(rules.classify(_as_pages(cases)), "classified")
-    outcomes, answers = model.compare_policies(classified, backend, gate=gate)
-    outcomes = written(outcomes, "outcomes")
-    truth = classified.select("dataset", "id", F.col("label").alias("truth"))
-    by_rules = classified.select("id", F.col("documentType").alias("outcome"))
-    judged = []
-    for policy in ("compare", "uncertain"):
-        mine = outcomes.where(F.col("policy") == policy).select("id", F.col("documentType").alias("outcome"))
-        judged.append(evaluate.join_policies(truth, by_rules, mine).withColumnRenamed("policy", "prediction").withColumn("policy", F.lit(policy)))
-    rows = written(model.union_all(judged), "judged")
-    ok = validate.answer_valid(F.col("choice"), F.col("answer_confidence"), F.col("probabilities"))
-    raw = answers.withColumnRenamed("doc_id", "id").join(truth, "id").withColumn("valid", ok).withColumn("confidence", F.col("answer_confidence"))
+    """Policies over one shared answer a case: totals and transitions by policy and dataset, and the raw answers' metrics by dataset. A case
+    is classified once and meets its answer in one join; all parts are read from one written table, a row a case and policy."""
+    classified = rules.classify(_as_pages(cases)).withColumn("_by_rules", F.col("documentType"))
+    outcomes, _, _ = model.under_policies(classified, backend, POLICIES, gate)
+    rows = outcomes.select(
+        "id", "dataset", F.col("label").alias("truth"), F.col("_by_rules").alias("rules"), F.col("documentType").alias("prediction"), "policy",
+        "_sent", "answered", F.col("_valid").alias("valid"), "choice", F.col("answer_confidence").alias("confidence"), "truncated",
+    )
+    recorded = F.col("rules").isNotNull() & F.col("prediction").isNotNull()
+    rows = written_checked(rows, "judged", {"A case has no recorded outcome.": recorded}, validate.InvalidInput)
+    raw = rows.where(F.col("_sent") & (F.col("policy") == POLICIES[0]))
     return {
         "totals": evaluate.totals(rows, by=("policy", "dataset")),
         "transitions": evaluate.transitions(rows, F.col("truth"), F.col("rules"), F.col("prediction"), ("policy", "dataset")),
         "model": evaluate.model_metrics(raw, gate, by=("dataset",)),
-        "outcomes": rows,
+        "outcomes": rows.select("id", "dataset", "truth", "rules", "prediction", "policy"),
     }

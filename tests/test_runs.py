@@ -168,6 +168,21 @@ def test_one_pass_gives_all_counts(spark):
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
 
 
+def test_policies_meet_their_answers_in_one_join(spark, cases, tmp_path):
+    outcomes, answers = model.compare_policies(rules.classify(runs._as_pages(cases)), Counting(tmp_path / "calls"))
+    plan = outcomes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {c for c in answers.columns if c.startswith("_")} == set() and "probabilities" in answers.columns
+    assert outcomes.groupBy("policy").count().collect() and outcomes.count() == 8
+
+
+def test_a_case_is_judged_once_a_policy(spark, cases, tmp_path):
+    twice = cases.union(spark.createDataFrame([case("hardening", "a", "receipt", "Payment receipt\nPaid 6")], CASE))
+    parts = runs.policy_evaluation(twice, Counting(tmp_path / "calls"))
+    assert parts["outcomes"].count() == 10 and sum(r.pagesSent for r in parts["model"].collect()) == 5
+    assert parts["totals"].agg(F.sum("cases")).first()[0] == 10
+
+
 def _counted_lines(path):
     def lines(text):
         with open(path, "a") as f:
