@@ -28,6 +28,18 @@ def test_hot_keys_are_salted(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", "left").collect()))
 
 
+def test_hot_keys_take_no_join_of_all_rows(spark):
+    """Fifteen hot keys, or none: the rows meet their table and no other join, and none is lost or repeated."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, F.col("id") % 15).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    table = cut(rows.select("k").distinct().withColumn("w", F.col("k") * 2), "w")
+    sizes = cut(rows.groupBy("k").agg(F.count("v").alias("c")), "c")
+    for least, hot in ((100, True), (5000, False)):
+        got = join_hot(rows, table, "k", sizes, share=40, least=least)
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert plan.count("Join ") == 1 and ("_salt" in plan) is hot
+        assert got.columns == ["k", "v", "w"] and got.count() == 4000 and not got.where("w <> 2 * k OR w IS NULL").count()
+
+
 def test_unused_names(spark):
     df = spark.range(1).select(F.lit(1).alias("A"), F.lit(2).alias("a_"))
     assert unused(df, "a") == "a__" and unused(df, "b") == "b"
