@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .store import cut, drop, join_hot, text_batches, unused
+from .store import cut, drop, few, join_hot, text_batches, unused
 from .textvec import U, Words, binary_column, chunks, grams, mix, tidy, words_of
 
 WORDS, WINDOW, SHINGLE = 13, 13, 5
@@ -340,7 +340,7 @@ def _earlier(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     )
     contents = cut(contents, "contents")
     cluster = components(near_links(contents.select("h", "size", "whole", "less")))
-    joined = contents.join(cluster.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").withColumn("g", F.coalesce("g", "h"))
+    joined = contents.join(cluster.select(F.col("node").alias("h"), F.col("component").alias("g")).hint("merge"), "h", "left").withColumn("g", F.coalesce("g", "h"))
     joined = cut(joined.select("h", "g", "m", "z", "c"), "joined")
     groups = joined.groupBy("g").agg(F.min("m").alias("gm"), F.max("z").alias("gz"), F.count(F.lit(1)).alias("c"))
     groups = cut(groups.where("gm.doc_id <> gz"), "groups")
@@ -387,7 +387,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = cut(near.select(F.xxhash64("doc_id", "pos", "side").alias("k"), "words"), "around")
     table.destroy()
     near = near.dropDuplicates(["k"])  # rows that share an id
-    own = asked.withColumn("k", F.xxhash64("doc_id", "pos", "side")).join(near.withColumnRenamed("words", "x"), "k").drop("k")
+    own = asked.withColumn("k", F.xxhash64("doc_id", "pos", "side")).join(near.withColumnRenamed("words", "x").hint("merge"), "k").drop("k")
     sizes = cut(asked.groupBy(F.xxhash64("ref_id", "ref_pos", "side").alias("k")).agg(F.count(F.lit(1)).alias("c")), "sizes")
     both = join_hot(own.withColumn("k", F.xxhash64("ref_id", "ref_pos", "side")), near, "k", sizes).where("words IS NOT NULL")
     grown = both.select("doc_id", "pos", "ref_id", "shift", "side", "x", "words").mapInArrow(_extended, "doc_id long, ref_id long, a int, b int, shift int")
@@ -403,7 +403,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = cut(repeated_spans(docs, id_col, text_col), "spans")
     own, cuts = unused(docs, "span_id"), unused(docs, "cuts")
     marks = spans.groupBy(F.col(id_col).alias(own)).agg(F.array_sort(F.collect_list(F.array("first_word", "end_word"))).alias(cuts))
-    marked = docs.join(marks, F.col(id_col) == F.col(own), "left").drop(own)
+    marked = docs.join(few(marks, spans, 100_000), F.col(id_col) == F.col(own), "left").drop(own)
     marked = marked.withColumn(cuts, F.coalesce(F.flatten(cuts), F.array().cast("array<int>")))
     at, spans_at = marked.columns.index(text_col), marked.columns.index(cuts)
 

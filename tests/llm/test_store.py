@@ -2,7 +2,7 @@ import pathlib
 
 from pyspark.sql import functions as F
 
-from quire.llm.store import clear, cut, drop, join_hot, shared_dir, unused
+from quire.llm.store import clear, cut, drop, few, join_hot, shared_dir, unused
 
 
 def test_tables_are_written_and_dropped(spark):
@@ -40,6 +40,16 @@ def test_hot_keys_take_no_join_of_all_rows(spark):
         assert got.columns == ["k", "v", "w"] and got.count() == 4000 and not got.where("w <> 2 * k OR w IS NULL").count()
 
 
+def test_tables_of_keys_are_not_broadcast(spark):
+    """Neither with hot keys nor without; and a table that whole texts meet only while it is small."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, F.col("id") % 15).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    table, sizes = cut(rows.select("k").distinct(), "w"), cut(rows.groupBy("k").agg(F.count("v").alias("c")), "c")
+    made = [join_hot(rows, table, "k", sizes, share=40, least=n) for n in (100, 5000)] + [rows.join(few(table, table, n), "k", "left_anti") for n in (500, 5000)]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in made]
+    assert ["Broadcast" in p for p in plans] == [False, False, False, True]
+    assert made[2].count() == made[3].count() == 0
+
+
 def test_unused_names(spark):
     df = spark.range(1).select(F.lit(1).alias("A"), F.lit(2).alias("a_"))
     assert unused(df, "a") == "a__" and unused(df, "b") == "b"
